@@ -18,6 +18,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -140,6 +141,22 @@ def costs_of(group: pd.DataFrame, last: np.ndarray, whole: np.ndarray) -> pd.Dat
     return pd.DataFrame({"gram": gram, "cost": cost})
 
 
+def _contexts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each context, from parts sorted by context."""
+    held: list[pd.DataFrame] = []
+    for part in parts:
+        cuts = [0, *(np.flatnonzero(np.diff(part["context"].to_numpy())) + 1).tolist(), len(part)]
+        for a, b in pairwise(cuts):
+            group = part.iloc[a:b]
+            if held and len(group) and held[0]["context"].iloc[0] != group["context"].iloc[0]:
+                yield pd.concat(held)
+                held = []
+            if len(group):
+                held.append(group)
+    if held:
+        yield pd.concat(held)
+
+
 def _score(total: int, distinct: int):
     """For one chunk: documents against the costs of its grams and the counts of its tokens."""
 
@@ -186,8 +203,8 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     for r in all_grams.groupBy(pair).agg(F.sum("n").alias("n")).collect():  # at most 65,536 rows
         last[r.pair >> 8, r.pair & 255] = r.n
     whole += last.sum(axis=0)
-    costs = all_grams.groupBy(F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).alias("context")).applyInPandas(lambda g: costs_of(g, last, whole), "gram long, cost double")
-    costs = stored(costs, "lm-costs")
+    dealt = all_grams.withColumn("context", F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))).repartition("context").sortWithinPartitions("context")
+    costs = stored(dealt.mapInPandas(lambda parts: (costs_of(g, last, whole) for g in _contexts(parts)), "gram long, cost double"), "lm-costs")
     counts = stored(tokens_in.groupBy("token").agg(F.sum("n").alias("n")), "lm-tokens")
     total, distinct = counts.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     none = F.lit(None)

@@ -99,8 +99,8 @@ def judged(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     weights = log_ratios(docs, trusted, id_col, text_col, buckets)
     # a constant of a fixed size, 8 bytes a bucket
     table = docs.sparkSession.createDataFrame([(weights,)], "w array<double>").scalar()
-    df = rule_statistics(docs, text_col).withColumn("__f", features(F.col(text_col), buckets))
-    total = F.aggregate(F.col("__f"), F.lit(0.0), lambda a, b: a + F.get(table, b))
+    df = rule_statistics(docs, text_col).withColumn("__f", features(F.col(text_col), buckets)).withColumn("__r", table)
+    total = F.aggregate(F.col("__f"), F.lit(0.0), lambda a, b: a + F.get("__r", b))
     failed = (F.col("rules.n_words") < 20) | (100 * F.col("rules.n_repeat_words") > 30 * F.col("rules.n_words"))
     df = df.withColumn("log_ratio", F.when(F.size("__f") > 0, total / F.size("__f")).otherwise(0.0)).withColumn("base_failed", failed)
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= threshold)).drop("__f")
+    return df.withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= threshold)).drop("__f", "__r")
