@@ -102,7 +102,8 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     by_kind = base_spans(text)
-    plain = docs.select(text.alias("text")).withColumn("base", F.concat(*base_spans(F.col("text")).values()))
+    # a column that isn't deterministic keeps filters above the spans, which would else be worked out twice
+    plain = docs.select(text.alias("text")).select("text", F.concat(*base_spans(F.col("text")).values()).alias("base"), F.spark_partition_id().alias("__part"))
     terms = stored(disclosing_terms(plain), "pii-terms")
     hits = docs.select(F.md5(text).alias("key"), F.explode(F.array_distinct(_terms(text))).alias("term")).join(terms, "term")
     held = stored(hits.groupBy("key").agg(F.collect_set("term").alias("terms")), "pii-held").withColumnRenamed("key", "__key")
