@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import SPACE, match_spans, no_spans, replaced, stored
+from strandline.llm.shared import fixed, match_spans, no_spans, replaced, stored
 
 # Kinds in their order and patterns. The look-behinds only keep a failed
 # run from being tried again at each of its characters.
@@ -82,7 +82,7 @@ def disclosing_terms(found: DataFrame, text_col: str = "text", reach: int = REAC
     pairs = by_place.groupBy("kind", "value", "term").agg(F.sum("count").alias("both"), F.count("*").alias("places")).where(F.col("places") >= support)
     pairs = stored(pairs, "pii-pairs")
     values = spots.groupBy("kind", "value").agg(F.count("*").alias("df_e"))
-    words = found.select(F.explode(F.array_distinct(_terms(text))).alias("term"))
+    words = found.select(fixed(F.array_distinct(_terms(text))).alias("t")).select(F.explode("t").alias("term"))
     seen = words.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_t"))
     n = F.lit(float(max(found.count(), 1)))
     ic = F.log2(n / F.col("df_e"))
@@ -102,10 +102,9 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     by_kind = base_spans(text)
-    # a column that isn't deterministic keeps filters above the spans, which would else be worked out twice
-    plain = docs.select(text.alias("text")).select("text", F.concat(*base_spans(F.col("text")).values()).alias("base"), F.spark_partition_id().alias("__part"))
+    plain = docs.select(text.alias("text")).withColumn("base", fixed(F.concat(*base_spans(F.col("text")).values())))
     terms = stored(disclosing_terms(plain), "pii-terms")
-    hits = docs.select(F.md5(text).alias("key"), F.explode(F.array_distinct(_terms(text))).alias("term")).join(terms, "term")
+    hits = docs.select(F.md5(text).alias("key"), fixed(F.array_distinct(_terms(text))).alias("t")).select("key", F.explode("t").alias("term")).join(terms, "term")
     held = stored(hits.groupBy("key").agg(F.collect_set("term").alias("terms")), "pii-held").withColumnRenamed("key", "__key")
     df = docs.drop("terms").join(held, F.md5(text) == F.col("__key"), "left").drop("__key")
     term = F.filter(match_spans(text, r"\p{L}{2,}", "term", len(KINDS)), lambda s: F.array_contains(F.col("terms"), F.lower(s["hit"])))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import SPACE
+from strandline.llm.shared import SPACE, fixed
 
 #: Hash buckets of the two multinomials; the table of ratios that scoring carries has so many doubles.
 BUCKETS = 1 << 16
@@ -22,19 +22,17 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), lambda w: w != "")
 
 
-def _tokens(text: Column) -> Column:
-    """Runs of letters and digits, and runs of other signs, in lower case."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"), F.lit(0))
+def with_features(df: DataFrame, text: Column, name: str, buckets: int = BUCKETS) -> DataFrame:
+    """``df`` with an array of the buckets of every token and of every two tokens in a row.
 
-
-def features(text: Column, buckets: int = BUCKETS) -> Column:
-    """The bucket of every token and of every two tokens in a row."""
-    toks = _tokens(text)
-    hashed = F.transform(toks, lambda t: F.xxhash64(t))
+    Tokens are runs of letters and digits, and runs of other signs, in lower case.
+    """
+    toks = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"), F.lit(0))
     at = lambda h: F.pmod(h, F.lit(buckets)).cast("int")
-    single = F.transform(hashed, at)
-    double = F.zip_with(F.slice(hashed, 1, F.greatest(F.size(hashed) - 1, F.lit(0))), F.slice(hashed, 2, F.greatest(F.size(hashed), F.lit(1))), lambda a, b: at(F.xxhash64(a, b)))
-    return F.when(F.size(hashed) > 1, F.concat(single, double)).otherwise(single)
+    df = df.withColumn(name, fixed(F.transform(toks, lambda t: F.xxhash64(t))))
+    # after each token's own bucket, that of it and the next one; none after the last
+    both = F.transform(F.col(name), lambda h, i: F.array(at(h), at(F.xxhash64(h, F.get(F.col(name), i + 1)))))
+    return df.withColumn(name, fixed(F.slice(F.flatten(both), 1, F.greatest(2 * F.size(name) - 1, F.lit(0)))))
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> list[float]:
@@ -42,15 +40,14 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
 
     Raw counts cover all documents; target counts those whose id is in
     ``trusted``. Counting is one partial aggregation onto at most
-    2 x ``buckets`` keys, so what reaches the driver is bounded.
+    ``buckets`` keys, so what reaches the driver is bounded.
     """
     ids = trusted.where(F.col(trusted.columns[0]).isNotNull()).select(F.col(trusted.columns[0]).alias("__id")).distinct()
     slim = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
-    raw = slim.select(F.explode(features(F.col("__text"), buckets)).alias("b")).groupBy("b").count()
-    good = slim.join(ids, F.col("__doc") == F.col("__id"), "left_semi").select(F.explode(features(F.col("__text"), buckets)).alias("b")).groupBy("b").count()
-    both = raw.select("b", F.col("count").alias("raw"), F.lit(0).cast("long").alias("good")).unionByName(good.select("b", F.lit(0).cast("long").alias("raw"), F.col("count").alias("good")))
+    marked = slim.join(ids.withColumn("__good", F.lit(1)), F.col("__doc") == F.col("__id"), "left").select("__text", F.coalesce("__good", F.lit(0)).cast("long").alias("__good"))
+    counts = with_features(marked, F.col("__text"), "__f", buckets).select("__good", F.explode("__f").alias("b"))
     r, g = [1] * buckets, [1] * buckets
-    for row in both.groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect():  # at most ``buckets`` rows
+    for row in counts.groupBy("b").agg(F.count("*").alias("raw"), F.sum("__good").alias("good")).collect():  # at most ``buckets`` rows
         r[row.b] += row.raw
         g[row.b] += row.good
     all_r, all_g = math.log(sum(r)), math.log(sum(g))
@@ -67,15 +64,15 @@ def rule_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(f"[^{SPACE}]"))
     no_space = F.regexp_replace(text, f"[{SPACE}]+", "")
-    df = docs.withColumn("__w", words_of(F.col(text_col))).withColumn("__l", lines)
-    df = df.withColumn("__v", F.transform(F.col("__w"), lambda w: F.xxhash64(w)))
+    df = docs.withColumn("__w", fixed(words_of(F.col(text_col)))).withColumn("__l", fixed(lines))
+    df = df.withColumn("__v", fixed(F.transform(F.col("__w"), lambda w: F.xxhash64(w))))
     window = lambda i: F.xxhash64(*[F.get(F.col("__v"), i + k) for k in range(WINDOW)])
-    df = df.withColumn("__h", F.when(F.size("__v") > WINDOW, F.transform(F.sequence(F.lit(0), F.size("__v") - WINDOW), window)).otherwise(F.array().cast("array<bigint>")))
+    df = df.withColumn("__h", fixed(F.when(F.size("__v") > WINDOW, F.transform(F.sequence(F.lit(0), F.size("__v") - WINDOW), window)).otherwise(F.array().cast("array<bigint>"))))
     some = F.size(F.array_distinct("__h")) < F.size("__h")
-    df = df.withColumn("__s", F.when(some, F.sort_array(F.transform(F.col("__h"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    df = df.withColumn("__s", fixed(F.when(some, F.sort_array(F.transform(F.col("__h"), lambda h, i: F.struct(h.alias("h"), i.alias("i")))))))
     same = lambda i: (F.get(F.col("__s"), i)["h"] == F.get(F.col("__s"), i + 1)["h"])
     twice = F.filter(F.col("__s"), lambda x, i: F.coalesce(same(i), F.lit(False)) | F.coalesce(F.when(i > 0, same(i - 1)), F.lit(False)))
-    df = df.withColumn("__p", F.sort_array(F.transform(twice, lambda x: x["i"])))
+    df = df.withColumn("__p", fixed(F.sort_array(F.transform(twice, lambda x: x["i"]))))
     after = lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("__p"), i + 1) - p, F.lit(WINDOW)))
     covered = F.aggregate(F.transform(F.col("__p"), after), F.lit(0), lambda a, b: a + b)
     rules = F.struct(
@@ -85,7 +82,7 @@ def rule_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
     )
-    return df.withColumn("rules", rules).drop("__w", "__l", "__v", "__h", "__s", "__p")
+    return df.withColumn("rules", fixed(rules)).drop("__w", "__l", "__v", "__h", "__s", "__p")
 
 
 def judged(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
@@ -99,8 +96,8 @@ def judged(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     weights = log_ratios(docs, trusted, id_col, text_col, buckets)
     # a constant of a fixed size, 8 bytes a bucket
     table = docs.sparkSession.createDataFrame([(weights,)], "w array<double>").scalar()
-    df = rule_statistics(docs, text_col).withColumn("__f", features(F.col(text_col), buckets)).withColumn("__r", table)
+    df = with_features(rule_statistics(docs, text_col), F.col(text_col), "__f", buckets).withColumn("__r", table)
     total = F.aggregate(F.col("__f"), F.lit(0.0), lambda a, b: a + F.get("__r", b))
     failed = (F.col("rules.n_words") < 20) | (100 * F.col("rules.n_repeat_words") > 30 * F.col("rules.n_words"))
-    df = df.withColumn("log_ratio", F.when(F.size("__f") > 0, total / F.size("__f")).otherwise(0.0)).withColumn("base_failed", failed)
+    df = df.withColumn("log_ratio", fixed(F.when(F.size("__f") > 0, total / F.size("__f")).otherwise(0.0))).withColumn("base_failed", failed)
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= threshold)).drop("__f", "__r")

@@ -45,6 +45,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fixed(value: Column) -> Column:
+    """``value``, worked out once a row where it stands.
+
+    The condition always holds, but isn't deterministic: the optimiser neither
+    copies the expression into lambdas nor pushes filters on it below.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def match_spans(text: Column, pattern: str, kind: str, rank: int) -> Column:
     """Every match of ``pattern`` as struct(start, rank, end, kind, hit), by start.
 
