@@ -13,6 +13,8 @@ from strandline.llm.shared import SPACE, fixed
 BUCKETS = 1 << 16
 #: Nats per n-gram below which a document is unlike the trusted target.
 THRESHOLD = -0.25
+#: Trusted documents that the target multinomial is fitted on at most: those of the smallest hashed ids.
+TRUSTED = 20_000
 #: Words in a window for the repetition rule.
 WINDOW = 8
 
@@ -38,13 +40,14 @@ def with_features(df: DataFrame, text: Column, name: str, buckets: int = BUCKETS
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> list[float]:
     """log(p_target / p_raw) per bucket, each multinomial with one count added per bucket.
 
-    Raw counts cover all documents; target counts those whose id is in
-    ``trusted``. Counting is one partial aggregation onto at most
+    Raw counts cover all documents. The target is fitted on a sample of
+    ``trusted`` ids of at most TRUSTED, so that they can be broadcast and no
+    text is shuffled. Counting is one partial aggregation onto at most
     ``buckets`` keys, so what reaches the driver is bounded.
     """
-    ids = trusted.where(F.col(trusted.columns[0]).isNotNull()).select(F.col(trusted.columns[0]).alias("__id")).distinct()
+    ids = trusted.where(F.col(trusted.columns[0]).isNotNull()).select(F.col(trusted.columns[0]).alias("__id")).distinct().orderBy(F.xxhash64("__id"), "__id").limit(TRUSTED)
     slim = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
-    marked = slim.join(ids.withColumn("__good", F.lit(1)), F.col("__doc") == F.col("__id"), "left").select("__text", F.coalesce("__good", F.lit(0)).cast("long").alias("__good"))
+    marked = slim.join(F.broadcast(ids.withColumn("__good", F.lit(1))), F.col("__doc") == F.col("__id"), "left").select("__text", F.coalesce("__good", F.lit(0)).cast("long").alias("__good"))
     counts = with_features(marked, F.col("__text"), "__f", buckets).select("__good", F.explode("__f").alias("b"))
     r, g = [1] * buckets, [1] * buckets
     for row in counts.groupBy("b").agg(F.count("*").alias("raw"), F.sum("__good").alias("good")).collect():  # at most ``buckets`` rows
