@@ -1,6 +1,263 @@
-"""The registered queries and their SQL."""
+"""The registered queries and their SQL.
+
+Operators are declared on the driver's tables. Where both engines read the same
+SQL, one text serves Spark (over the views that an operator makes) and the
+oracle (over its own definition of these views).
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import re
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandline.functions import sequences
+from strandline.operators import kernels, regions, seeding
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+#: Words that the two engines spell differently: name -> (Spark, DuckDB).
+DIALECT = {
+    "SECONDS": (r"CAST(unix_timestamp(\1) AS BIGINT)", r"CAST(floor(epoch(\1)) AS BIGINT)"),
+    "DAYS": (r"CAST(datediff(\1, DATE '1970-01-01') AS BIGINT)", r"CAST(date_diff('day', DATE '1970-01-01', CAST(\1 AS DATE)) AS BIGINT)"),
+    "DIGIT_TRIM": (r"regexp_replace(\1, '(?<=.)/[0-9]$', '')", r"regexp_replace(\1, '^(.+)/[0-9]$', '\\1')"),
+}
+
+
+def spelled(sql: str, engine: int) -> str:
+    for name, forms in DIALECT.items():
+        sql = re.sub(rf"{name}\{{([^}}]*)\}}", forms[engine], sql)
+    return sql
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def mems(k: int) -> str:
+    """The oracle's own definition of the view ``mems``."""
+    cut = lambda key, name, pos: f"SELECT {key}, CAST(i AS BIGINT) AS {pos}, substr(text, CAST(i AS INT) + 1, {k}) AS kmer FROM (SELECT {key}, text, unnest(range(0, length(text) - {k - 1})) AS i FROM {name})"
+    return f"""qk AS ({cut("doc_id", "documents", "qpos")}), rk AS ({cut("item_id", "benchmark", "rpos")}),
+hits AS (SELECT doc_id, item_id, qpos, rpos, qpos - rpos AS diag FROM qk JOIN rk USING (kmer)),
+isles AS (SELECT *, qpos - row_number() OVER (PARTITION BY doc_id, item_id, diag ORDER BY qpos) AS isle FROM hits),
+mems AS (SELECT doc_id, item_id, CAST(min(qpos) AS BIGINT) AS qbeg, CAST(max(qpos) + {k} AS BIGINT) AS qend, CAST(min(rpos) AS BIGINT) AS rbeg, CAST(count(*) + {k - 1} AS BIGINT) AS len FROM isles GROUP BY doc_id, item_id, diag, isle)"""
+
+
+#: Intervals of a read that no other of its intervals contains, and how often each occurs.
+SMEMS = """spans AS (SELECT doc_id, qbeg, qend, CAST(count(*) AS BIGINT) AS s FROM mems GROUP BY doc_id, qbeg, qend),
+reach AS (SELECT *, max(qend) OVER (PARTITION BY doc_id ORDER BY qbeg, qend DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM spans),
+smems AS (SELECT doc_id, qbeg, qend, s FROM reach WHERE far IS NULL OR far < qend)"""
+#: Matches of one read and item on near diagonals, as chains of seeds.
+CHAINS = """seeds AS (SELECT doc_id, item_id, floor((qbeg - rbeg) / 64.0) AS band, qbeg, qend, rbeg, rbeg + len AS rend FROM mems),
+ends AS (SELECT *, max(qend) OVER (PARTITION BY doc_id, item_id, band ORDER BY qbeg, qend ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS qfar,
+ max(rend) OVER (PARTITION BY doc_id, item_id, band ORDER BY rbeg, rend ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS rfar FROM seeds),
+chains AS (SELECT doc_id, item_id, CAST(band AS BIGINT) AS band, min(qbeg) AS qbeg, max(qend) AS qend, CAST(count(*) AS BIGINT) AS n_seeds, max(qend - qbeg) AS anchor,
+ CAST(least(sum(greatest(0, qend - greatest(qbeg, coalesce(qfar, 0)))), sum(greatest(0, rend - greatest(rbeg, coalesce(rfar, 0))))) AS BIGINT) AS w FROM ends GROUP BY doc_id, item_id, band)"""
+
+
+def sql(name: str, tables: str, body: str, k: int = 0, parts: str = "") -> None:
+    """Registers a query whose SQL both engines read; ``k`` makes the view ``mems`` first."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for t in tables.split():
+            table(spark, sf_dir, t).createOrReplaceTempView(t)
+        if k:
+            seeding.mem_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k).createOrReplaceTempView("mems")
+        return spark.sql(spelled(f"WITH {parts} {body}" if parts else body, 0))
+
+    QUERIES[name] = run
+    SQL[name] = spelled("WITH " + ",\n".join(x for x in (mems(k) if k else "", parts) if x) + "\n" + body if k or parts else body, 1)
+
+
+def query(name: str, oracle: str = ""):
+    """Registers a function (spark, sf_dir); ``oracle`` is its SQL, if SQL can express it."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = f
+        if oracle:
+            SQL[name] = spelled(oracle, 1)
+        return f
+
+    return add
+
+
+def _view(spark: SparkSession, sf_dir: str, k: int, parts: str, body: str) -> DataFrame:
+    seeding.mem_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k).createOrReplaceTempView("mems")
+    return spark.sql(f"WITH {parts} {body}")
+
+
+# Seeding
+for _k in (19, 10, 8):
+    sql(f"mem_hits_k{_k}", "", "SELECT doc_id, item_id, qbeg, qend, rbeg, len FROM mems", k=_k)
+sql("smem_intervals", "", "SELECT doc_id, qbeg, qend, s FROM smems", k=8, parts=SMEMS)
+sql("smem_dedup", "", "SELECT DISTINCT doc_id, qbeg, qend, s FROM (SELECT * FROM smems UNION ALL SELECT * FROM smems WHERE qend - qbeg >= 9)", k=8, parts=SMEMS)
+sql("reseed_intervals", "", "SELECT DISTINCT b.doc_id, b.qbeg, b.qend FROM bounds b JOIN smems m ON b.doc_id = m.doc_id AND m.s = 1 AND m.qend - m.qbeg >= 9 AND b.qbeg <= floor((m.qbeg + m.qend + 1) / 2.0) AND b.qend > floor((m.qbeg + m.qend + 1) / 2.0) WHERE b.prior IS NULL OR b.prior < b.qend", k=8, parts=SMEMS + """,
+places AS (SELECT a.doc_id, a.qbeg, b.qend FROM (SELECT DISTINCT doc_id, qbeg FROM mems) a JOIN mems b ON a.doc_id = b.doc_id AND b.qbeg <= a.qbeg AND b.qend >= a.qbeg + 8),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, qbeg ORDER BY qend DESC) AS t FROM places),
+bounds AS (SELECT doc_id, qbeg, qend, max(qend) OVER (PARTITION BY doc_id ORDER BY qbeg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM ranked WHERE t = 2)""")
+sql("occ_cap_stride", "", "SELECT doc_id, qbeg, qend, item_id, rbeg FROM numbered WHERE (rn - 1) % step = 0 AND floor((rn - 1) / (step * 1.0)) < 2", k=8, parts="""counted AS (SELECT *, count(*) OVER (PARTITION BY doc_id, qbeg, qend) AS s, row_number() OVER (PARTITION BY doc_id, qbeg, qend ORDER BY item_id, rbeg) AS rn FROM mems),
+numbered AS (SELECT *, CASE WHEN s > 2 THEN CAST(floor(s / 2.0) AS BIGINT) ELSE 1 END AS step FROM counted)""")
+sql("distinct_interval_resolve", "documents", "SELECT m.doc_id, m.qbeg, m.qend, r.places FROM (SELECT DISTINCT doc_id, qbeg, qend, seed FROM named) m JOIN (SELECT seed, CAST(count(DISTINCT item_id * 1000000 + rbeg) AS BIGINT) AS places FROM named GROUP BY seed) r ON m.seed = r.seed", k=8, parts="named AS (SELECT m.*, substr(d.text, CAST(m.qbeg + 1 AS INT), CAST(m.len AS INT)) AS seed FROM mems m JOIN documents d ON m.doc_id = d.doc_id)")
+sql("seed_order_global", "", "SELECT doc_id, item_id, qbeg, qend, rbeg, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY len DESC, qbeg, item_id, rbeg) AS BIGINT) AS seed_ix FROM mems", k=10)
+sql("seed_order_local", "", "SELECT doc_id, item_id, qbeg, qend, rbeg, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY qbeg, len DESC, item_id, rbeg) AS BIGINT) AS seed_ix FROM mems", k=10)
+sql("seed_absorb_count", "", "SELECT a.doc_id, a.item_id, a.qbeg, a.qend, a.rbeg, CAST(count(b.qbeg) AS BIGINT) AS absorbed FROM mems a LEFT JOIN mems b ON a.doc_id = b.doc_id AND b.qbeg >= a.qbeg AND b.qend <= a.qend AND b.len < a.len GROUP BY a.doc_id, a.item_id, a.qbeg, a.qend, a.rbeg", k=10)
+sql("seed_prune_spec30", "", "SELECT doc_id, item_id, qbeg, qend, rbeg, len FROM (SELECT *, max(len) OVER (PARTITION BY doc_id) AS longest, count(*) OVER (PARTITION BY doc_id, qbeg, qend) AS s FROM mems) x WHERE longest < 12 OR len = longest OR len >= 11 OR (s = 1 AND len >= 10)", k=8)
+sql("kmer_diagonal_votes", "", "SELECT doc_id, item_id, diag, votes FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY votes DESC, diag) AS rn FROM (SELECT doc_id, item_id, qbeg - rbeg AS diag, CAST(sum(len - 7) AS BIGINT) AS votes FROM mems GROUP BY doc_id, item_id, qbeg - rbeg) v) x WHERE rn = 1 AND votes >= 3", k=8)
+
+
+@query("round3_walk")
+def _round3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seeding.round_three(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 8, 20)
+
+
+@query("kmer_index", "SELECT kmer, CAST(min(rpos) AS BIGINT) AS first_pos, CAST(count(*) AS BIGINT) AS n FROM (SELECT CAST(i AS BIGINT) AS rpos, substr(text, CAST(i AS INT) + 1, 10) AS kmer FROM (SELECT text, unnest(range(0, length(text) - 9)) AS i FROM benchmark)) GROUP BY kmer")
+def _kmer_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seeding.kmers(table(spark, sf_dir, "benchmark"), "item_id", "text", 10).groupBy("kmer").agg(F.min("pos").alias("first_pos"), F.count("*").alias("n"))
+
+
+@query("base_counts", "SELECT base, n, CAST(sum(n) OVER (ORDER BY base) - n AS BIGINT) AS before FROM (SELECT base, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(string_split(text, '')) AS base FROM benchmark) WHERE base <> '' GROUP BY base)")
+def _base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the window runs over one row per distinct character
+    return table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "")).alias("base")).where("base <> ''").groupBy("base").agg(F.count("*").alias("n")).selectExpr("base", "n", "sum(n) over (order by base) - n as before")
+
+
+# Chains
+sql("chain_weight", "", "SELECT doc_id, item_id, band, qbeg, qend, n_seeds, w FROM chains", k=8, parts=CHAINS)
+sql("min_chain_weight", "", "SELECT doc_id, item_id, band, w FROM chains WHERE w >= 12", k=8, parts=CHAINS)
+sql("min_ext_len", "", "SELECT m.doc_id, m.item_id, m.qbeg, m.qend, m.rbeg FROM mems m JOIN chains c ON m.doc_id = c.doc_id AND m.item_id = c.item_id AND floor((m.qbeg - m.rbeg) / 64.0) = c.band WHERE c.anchor < 12 OR m.len >= 12", k=8, parts=CHAINS)
+sql("chain_cap_topn", "", "SELECT doc_id, item_id, band, w, CAST(coalesce(max(CASE WHEN rn > 3 THEN w END) OVER (PARTITION BY doc_id), 0) AS BIGINT) AS capped_w, CAST(rn AS BIGINT) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, item_id, band) AS rn FROM chains) x", k=8, parts=CHAINS)
+sql("chain_tie_frac", "", "SELECT doc_id, item_id, band, w FROM (SELECT *, max(w) OVER (PARTITION BY doc_id) AS best FROM chains) x WHERE w >= floor(0.95 * best)", k=8, parts=CHAINS)
+sql("capped_sub", "", "SELECT doc_id, CAST(max(CASE WHEN rn = 1 THEN w END) AS BIGINT) AS score, CAST(least(coalesce(max(CASE WHEN rn > 3 THEN w END), 0), max(CASE WHEN rn = 1 THEN w END) - 1) AS BIGINT) AS csub FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, item_id, band) AS rn FROM chains) x GROUP BY doc_id", k=8, parts=CHAINS)
+sql("repeat_fraction", "documents", "SELECT d.doc_id, CAST(coalesce(sum(greatest(0, x.qend - greatest(x.qbeg, coalesce(x.far, 0)))), 0) AS BIGINT) AS covered, CAST(length(max(d.text)) AS BIGINT) AS total FROM documents d LEFT JOIN (SELECT doc_id, qbeg, qend, max(qend) OVER (PARTITION BY doc_id ORDER BY qbeg, qend ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM spans WHERE s >= 2) x ON d.doc_id = x.doc_id GROUP BY d.doc_id", k=8, parts=SMEMS)
+
+
+@query("chain_filter")
+def _chain_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.filtered_chains(_view(spark, sf_dir, 8, CHAINS, "SELECT doc_id, qbeg, qend, w FROM chains"), seed=1)
+
+
+# Regions
+def _regions(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    return _view(spark, sf_dir, k, "r AS (SELECT *, len AS score FROM mems)", "SELECT doc_id, item_id, qbeg, qend, rbeg, score FROM r")
+
+
+@query("primary_mark")
+def _primary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.marked_primary(_regions(spark, sf_dir))
+
+
+sql("region_rank", "", "SELECT doc_id, item_id, qbeg, qend, len AS score, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY len DESC, rbeg, qbeg, item_id) AS BIGINT) AS rank_ix FROM mems", k=10)
+sql("region_emit_filter", "", "SELECT doc_id, item_id, qbeg, qend, len AS score FROM mems WHERE len >= 12", k=10)
+sql("region_dedup", "", "SELECT DISTINCT a.doc_id, a.qbeg, a.qend FROM spans a LEFT JOIN spans b ON a.doc_id = b.doc_id AND (b.qend - b.qbeg > a.qend - a.qbeg OR (b.qend - b.qbeg = a.qend - a.qbeg AND b.qbeg < a.qbeg)) AND least(a.qend, b.qend) - greatest(a.qbeg, b.qbeg) > 0.95 * (a.qend - a.qbeg) WHERE b.doc_id IS NULL", k=8, parts=SMEMS)
+
+
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each best seed, 64 characters of the document and of the item from its beginning."""
+    spark_docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    best = _regions(spark, sf_dir).groupBy("doc_id").agg(F.max_by(F.struct("item_id", "qbeg", "rbeg"), F.struct("score", -F.col("item_id"), -F.col("qbeg"), -F.col("rbeg"))).alias("b")).select("doc_id", "b.*")
+    joined = best.join(spark_docs.select("doc_id", F.col("text").alias("q")), "doc_id").join(items.select("item_id", F.col("text").alias("t")), "item_id")
+    return joined.select("doc_id", "item_id", F.expr("substring(q, int(qbeg + 1), 64)").alias("q"), F.expr("substring(t, int(rbeg + 1), 64)").alias("t"))
+
+
+def _kernel(name: str, f: Callable[[str, str], tuple], schema: str) -> None:
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        def batch(parts):
+            for p in parts:
+                jobs = p[["q", "t"]].drop_duplicates()  # equal jobs are worked out once
+                rows = pd.DataFrame([f(q, t) for q, t in zip(jobs["q"], jobs["t"], strict=True)], columns=names, index=jobs.index)
+                yield p.merge(pd.concat([jobs, rows], axis=1), on=["q", "t"])[["doc_id", "item_id", *names]]
+
+        return _windows(spark, sf_dir).mapInPandas(batch, f"doc_id long, item_id long, {schema}")
+
+    QUERIES[name] = run
+
+
+_kernel("local_sw", kernels.local_score, "score long, t_end long, q_end long")
+_kernel("extend_score", lambda q, t: kernels.extended(q[10:], t[10:], 10), "score long, t_taken long, q_taken long")
+_kernel("global_cigar", kernels.global_cigar, "cigar string, nm long, score long")
+
+# Scores of numbers
+_MAPQ_ARGS = "CAST(50 + l_partkey % 100 AS DOUBLE) AS span, CAST(40 + (l_orderkey + l_partkey) % 61 AS DOUBLE) AS score, CAST(CASE WHEN l_linenumber % 3 = 0 THEN 0 ELSE 20 + l_suppkey % 60 END AS DOUBLE) AS sub, CAST(l_linenumber % 4 AS DOUBLE) AS sub_n, l_discount AS frac_rep"
+
+
+@query("mapq_se", f"""WITH a AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, {_MAPQ_ARGS} FROM lineitem),
+b AS (SELECT *, CASE WHEN sub > 0 THEN sub ELSE 19 END AS rival, 3 / ln(span) * pow(1 - (span - score) / 5 / span, 2) AS weight FROM a),
+c AS (SELECT *, trunc(6.02 * (score - rival) * weight * weight + 0.499) - CASE WHEN sub_n > 0 THEN trunc(4.343 * ln(sub_n + 1.0) + 0.499) ELSE 0 END AS q FROM b)
+SELECT l_orderkey, l_linenumber, CAST(CASE WHEN rival >= score THEN 0 ELSE trunc(least(greatest(q, 0), 60) * (1 - frac_rep) + 0.499) END AS BIGINT) AS mapq FROM c""")
+def _mapq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "CAST(l_linenumber AS BIGINT) AS l_linenumber", *re.split(r", (?=CAST|l_)", _MAPQ_ARGS))
+    zero = F.lit(0.0)
+    return a.select("l_orderkey", "l_linenumber", sequences.single_mapq(F.col("score"), F.col("sub"), zero, F.col("span"), F.col("span"), F.col("sub_n"), F.col("frac_rep")).alias("mapq"))
+
+
+sql("orientation", "lineitem", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CASE WHEN (b1 >= 1000) = (b2 >= 1000) THEN (CASE WHEN p2 > b1 THEN 0 ELSE 3 END) ELSE (CASE WHEN p2 > b1 THEN 1 ELSE 2 END) END AS dir, abs(p2 - b1) AS dist FROM p", parts="""b AS (SELECT l_orderkey, l_linenumber, l_partkey % 2000 AS b1, (l_partkey * 7 + l_suppkey * 13) % 2000 AS b2 FROM lineitem),
+p AS (SELECT *, CASE WHEN (b1 >= 1000) = (b2 >= 1000) THEN b2 ELSE 1999 - b2 END AS p2 FROM b)""")
+sql("flag_compose", "lineitem", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(1 + CASE WHEN l_returnflag = 'A' THEN 2 ELSE 0 END + CASE WHEN l_linestatus = 'O' THEN 16 ELSE 0 END + CASE WHEN l_linenumber = 1 THEN 64 ELSE 128 END + CASE WHEN l_linenumber > 3 THEN 256 ELSE 0 END + CASE WHEN l_linenumber > 5 THEN 2048 ELSE 0 END AS BIGINT) AS flag FROM lineitem")
+sql("qcfail_propagate", "lineitem", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(max(CASE WHEN l_quantity >= 49 THEN 512 ELSE 0 END) OVER (PARTITION BY l_orderkey) AS BIGINT) AS qcfail FROM lineitem")
+sql("supp_rep_hard_cap", "lineitem", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(CASE WHEN l_linenumber > 1 AND l_quantity >= 40 THEN 0 ELSE l_suppkey % 61 END AS BIGINT) AS mapq FROM lineitem")
+sql("insert_size_stats", "lineitem", """SELECT q.l_returnflag, CAST(max(q.n) AS BIGINT) AS n, max(q.p25) AS p25, max(q.p50) AS p50, max(q.p75) AS p75, round(avg(x.v), 6) AS mean, round(stddev_pop(x.v), 6) AS std, max(q.n) < 10 OR max(q.n) < 0.05 * max(q.most) AS failed
+FROM quart q JOIN cnt x ON q.l_returnflag = x.l_returnflag AND x.v BETWEEN q.p25 - 2 * (q.p75 - q.p25) AND q.p75 + 2 * (q.p75 - q.p25) JOIN ones o ON o.one <= x.c GROUP BY q.l_returnflag""", parts="""src AS (SELECT l_returnflag, CAST(floor(l_extendedprice / 1000) AS BIGINT) AS v FROM lineitem),
+cnt AS (SELECT l_returnflag, v, CAST(1 AS BIGINT) AS c, CAST(row_number() OVER (PARTITION BY l_returnflag ORDER BY v) - 1 AS BIGINT) AS r, count(*) OVER (PARTITION BY l_returnflag) AS n FROM src),
+ones AS (SELECT CAST(1 AS BIGINT) AS one),
+quart AS (SELECT l_returnflag, max(n) AS n, max(max(n)) OVER () AS most, max(CASE WHEN r = floor(0.25 * n + 0.499) THEN v END) AS p25, max(CASE WHEN r = floor(0.5 * n + 0.499) THEN v END) AS p50, max(CASE WHEN r = floor(0.75 * n + 0.499) THEN v END) AS p75 FROM cnt GROUP BY l_returnflag)""")
+
+# Sequences and names
+sql("dedup_exact_reads", "documents", "SELECT doc_id, CAST(min(doc_id) OVER (PARTITION BY text) AS BIGINT) AS first_id, CAST(count(*) OVER (PARTITION BY text) AS BIGINT) AS copies FROM documents")
+sql("name_trim", "customer", "SELECT c_custkey, DIGIT_TRIM{n} AS trimmed FROM (SELECT c_custkey, concat(c_name, '/', CAST(c_custkey % 3 AS VARCHAR(9))) AS n FROM customer) x")
+sql("meth_projection", "benchmark", "SELECT item_id, translate(text, 'Cc', 'TT') AS r1, translate(text, 'Gg', 'AA') AS r2 FROM benchmark")
+sql("meth_index", "benchmark", "SELECT item_id, 'r' AS chain, translate(text, 'acgtG', 'ACATA') AS seq FROM benchmark UNION ALL SELECT item_id, 'f' AS chain, translate(text, 'acgtC', 'ATGTT') AS seq FROM benchmark")
+sql("longest_run_qc", "", "SELECT doc_id, CAST(max(len) AS BIGINT) AS longest, CAST(sum(len) AS BIGINT) AS total, CASE WHEN max(len) < 0.44 * sum(len) THEN 512 ELSE 0 END AS fail FROM mems GROUP BY doc_id", k=10)
+sql("smart_pairing", "conversations", "SELECT conv_id, turn, CAST((rn - 1) % 2 AS BIGINT) AS mate, CASE WHEN rn % 2 = 1 AND rn = n THEN 'single' ELSE 'paired' END AS kind FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) x")
+
+
+@query("revcomp", "SELECT doc_id, reverse(translate(text, 'ACGTacgt', 'TGCAtgca')) AS rc FROM documents WHERE length(text) > 0")
+def _revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", sequences.reverse_complement(F.col("text")).alias("rc"))
+
+
+@query("encode", "SELECT item_id, regexp_replace(translate(text, 'ACGTacgt', '01230123'), '[^0-3]', '4', 'g') AS code FROM benchmark")
+def _encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", sequences.encoded(F.col("text")).alias("code"))
+
+
+sql("xm_calls", "benchmark", """SELECT item_id, pos, CASE WHEN c <> 'C' THEN '.' WHEN c1 IS NULL OR c1 NOT IN ('A', 'C', 'G', 'T') THEN 'U' WHEN c1 = 'G' THEN 'Z' WHEN c2 IS NULL OR c2 NOT IN ('A', 'C', 'G', 'T') THEN 'U' WHEN c2 = 'G' THEN 'X' ELSE 'H' END AS call
+FROM (SELECT item_id, CAST(pos AS BIGINT) AS pos, c, lead(c, 1) OVER (PARTITION BY item_id ORDER BY pos) AS c1, lead(c, 2) OVER (PARTITION BY item_id ORDER BY pos) AS c2 FROM bases) x WHERE c = 'C'""", parts="bases AS (SELECT item_id, pos, translate(substr(text, CAST(pos AS INT), 1), 'acgt', 'ACGT') AS c FROM (SELECT item_id, text, explode(sequence(1, length(text))) AS pos FROM benchmark) y)")
+SQL["xm_calls"] = SQL["xm_calls"].replace("explode(sequence(1, length(text)))", "unnest(range(1, length(text) + 1))")
+
+# Joins on ranges
+_PAIR = "ev AS (SELECT event_id, user_id, event_type, value, SECONDS{ts} AS t FROM events)"
+_PAIRED = "SELECT a.user_id, a.event_id AS e1, b.event_id AS e2, b.t - a.t AS dist, CAST(floor(a.value + b.value) AS BIGINT) AS q FROM (SELECT *, CAST(floor(t / 3600.0) AS BIGINT) AS slot FROM ev WHERE event_type = 'click') a JOIN (SELECT *, explode(array(CAST(floor(t / 3600.0) AS BIGINT), CAST(floor(t / 3600.0) AS BIGINT) - 1)) AS slot FROM ev WHERE event_type = 'view') b ON a.user_id = b.user_id AND a.slot = b.slot AND b.t - a.t BETWEEN 60 AND 3600"
+sql("pair_range_join", "events", _PAIRED, parts=_PAIR)
+sql("pair_top1", "events", f"SELECT user_id, e1, e2, q, sub, n_sub FROM (SELECT *, CAST(coalesce(lead(q) OVER (PARTITION BY e1 ORDER BY q DESC, e2), 0) AS BIGINT) AS sub, CAST(sum(CASE WHEN top - q <= 7 THEN 1 ELSE 0 END) OVER (PARTITION BY e1) - 1 AS BIGINT) AS n_sub, row_number() OVER (PARTITION BY e1 ORDER BY q DESC, e2) AS rn FROM (SELECT *, max(q) OVER (PARTITION BY e1) AS top FROM ({_PAIRED}) p) p2) x WHERE rn = 1", parts=_PAIR)
+for _name in ("pair_range_join", "pair_top1"):  # the oracle joins on the range alone
+    SQL[_name] = SQL[_name].replace("SELECT *, explode(array(CAST(floor(t / 3600.0) AS BIGINT), CAST(floor(t / 3600.0) AS BIGINT) - 1)) AS slot FROM ev", "SELECT * FROM ev").replace(" AND a.slot = b.slot", "")
+sql("rescue_skip_anti", "events", "SELECT a.event_id, a.user_id, a.t FROM ev a LEFT ANTI JOIN ev b ON a.user_id = b.user_id AND b.event_type = 'purchase' AND b.t BETWEEN a.t - 1800 AND a.t + 1800 WHERE a.event_type = 'click'", parts=_PAIR)
+SQL["rescue_skip_anti"] = SQL["rescue_skip_anti"].replace("LEFT ANTI JOIN", "ANTI JOIN")
+sql("rescue_anchor_topm", "lineitem", "SELECT l_orderkey, l_linenumber, anchor_ix FROM (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey, l_suppkey) AS BIGINT) AS anchor_ix, l_quantity, max(l_quantity) OVER (PARTITION BY l_orderkey) AS best FROM lineitem) x WHERE l_quantity >= best - 17 AND anchor_ix <= 3")
+sql("pos_to_bucket_asof", "events orders", "SELECT event_id, coalesce(contig, -1) AS contig FROM (SELECT event_id, kind, max(CASE WHEN kind = 0 THEN k END) OVER (PARTITION BY who ORDER BY t, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS contig FROM (SELECT user_id AS who, SECONDS{ts} % 86400 AS t, 1 AS kind, event_id, CAST(NULL AS BIGINT) AS k FROM events UNION ALL SELECT o_custkey AS who, (o_orderkey * 37) % 86400 AS t, 0 AS kind, CAST(NULL AS BIGINT) AS event_id, (o_orderkey * 37) % 86400 AS k FROM orders) u) x WHERE kind = 1")
+sql("interval_overlap_sum", "lineitem", "SELECT a.l_orderkey, CAST(a.l_linenumber AS BIGINT) AS l_linenumber, CAST(sum(greatest(0, least(a.e, b.e) - greatest(a.s, b.s))) AS BIGINT) AS overlap FROM iv a JOIN iv b ON a.l_orderkey = b.l_orderkey AND a.s < b.e AND b.s < a.e GROUP BY a.l_orderkey, a.l_linenumber", parts="iv AS (SELECT l_orderkey, l_linenumber, DAYS{l_shipdate} AS s, DAYS{l_shipdate} + CAST(l_quantity AS BIGINT) AS e FROM lineitem)")
+sql("bed_merge_islands", "lineitem", "SELECT l_suppkey, isle, min(s) AS s, max(e) AS e, CAST(count(*) AS BIGINT) AS n FROM (SELECT *, CAST(sum(CASE WHEN far IS NULL OR s > far THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY s, e, l_orderkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS isle FROM (SELECT *, max(e) OVER (PARTITION BY l_suppkey ORDER BY s, e, l_orderkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM iv) x) y GROUP BY l_suppkey, isle", parts="iv AS (SELECT l_suppkey, l_orderkey, l_linenumber, DAYS{l_shipdate} AS s, DAYS{l_shipdate} + CAST(l_quantity AS BIGINT) AS e FROM lineitem)")
+sql("bed_exclude_anti", "orders lineitem", "SELECT a.o_orderkey, a.s FROM (SELECT o_orderkey, DAYS{o_orderdate} AS s FROM orders) a LEFT ANTI JOIN (SELECT l_orderkey, DAYS{l_shipdate} AS s, DAYS{l_shipdate} + CAST(l_quantity AS BIGINT) AS e FROM lineitem) b ON a.o_orderkey = b.l_orderkey AND b.s <= a.s + 60 AND b.e > a.s")
+SQL["bed_exclude_anti"] = SQL["bed_exclude_anti"].replace("LEFT ANTI JOIN", "ANTI JOIN")
+sql("lift_interval", "part", "SELECT brand, CAST(sum(CASE WHEN op = 'M' THEN least(qe, 60) - greatest(qs, 10) ELSE 0 END) AS BIGINT) AS aligned, CAST(sum(CASE WHEN op = 'I' THEN least(qe, 60) - greatest(qs, 10) ELSE 0 END) AS BIGINT) AS inserted, CAST(max(abs(diag)) AS BIGINT) AS max_diag FROM steps WHERE qs < 60 AND qe > 10 GROUP BY brand", parts="""ops AS (SELECT p_brand AS brand, p_partkey AS k, CASE WHEN p_size % 5 = 0 THEN 'I' WHEN p_size % 5 = 1 THEN 'D' ELSE 'M' END AS op, CAST(p_size AS BIGINT) AS len FROM part),
+steps AS (SELECT brand, op, len, (sum(CASE WHEN op <> 'D' THEN len ELSE 0 END) OVER w) - CASE WHEN op <> 'D' THEN len ELSE 0 END AS qs, sum(CASE WHEN op <> 'D' THEN len ELSE 0 END) OVER w AS qe, sum(CASE WHEN op = 'I' THEN len WHEN op = 'D' THEN -len ELSE 0 END) OVER w AS diag FROM ops WINDOW w AS (PARTITION BY brand ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""")
+sql("alt_shadow_list", "lineitem", "SELECT l_orderkey, CAST(count(*) AS BIGINT) AS hn, CASE WHEN count(*) <= 5 THEN max(xa) END AS xa_last FROM (SELECT l_orderkey, l_linenumber, l_quantity, max(l_quantity) OVER (PARTITION BY l_orderkey) AS best, concat(CAST(l_partkey AS VARCHAR(12)), ',', CAST(l_suppkey AS VARCHAR(12)), ';') AS xa FROM lineitem) x WHERE l_quantity >= 0.8 * best GROUP BY l_orderkey")
+
+
+@query("pair_erfc_score")
+def _erfc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.pandas_udf("long")
+    def score(s: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series([kernels.pair_score(int(a), 0, float(b), 1800.0, 600.0) for a, b in zip(s, d, strict=True)])
+
+    pairs = QUERIES["pair_range_join"](spark, sf_dir)
+    return pairs.select("user_id", "e1", "e2", score("q", "dist").alias("score"))
+
+
+sql("sam_text", "", "SELECT doc_id, concat('d', CAST(doc_id AS VARCHAR(12)), chr(9), '0', chr(9), 'b', CAST(item_id AS VARCHAR(12)), chr(9), CAST(rbeg + 1 AS VARCHAR(12)), chr(9), '60', chr(9), CASE WHEN qbeg > 0 THEN concat(CAST(qbeg AS VARCHAR(12)), 'S') ELSE '' END, CAST(len AS VARCHAR(12)), 'M', chr(9), '*', chr(9), '0', chr(9), '0', chr(9), '*', chr(9), '*', chr(9), 'NM:i:0', chr(9), 'AS:i:', CAST(len AS VARCHAR(12))) AS line FROM mems", k=19)
