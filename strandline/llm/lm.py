@@ -30,6 +30,8 @@ from strandline.llm.shared import stored
 
 #: Bytes of text in a chunk (a longer text is a chunk of its own).
 CHUNK = 16 << 20
+#: Grams in an array.
+STEP = 1 << 20
 # UTF-8 never has these two: the context before the first byte, and the end of a text.
 BEFORE, END = 0xFE, 0xFF
 #: Symbols: the bytes that UTF-8 may have, and the end.
@@ -43,13 +45,46 @@ def held_out(key: int | None, folds: int = 7, fold: int = 2) -> bool:
     return zlib.crc32(("null" if key is None else str(key)).encode()) % folds == fold
 
 
-def grams(text: bytes) -> np.ndarray:
-    """Of each byte and the end: the three bytes before it and itself, as one number."""
-    a = np.empty(len(text) + 4, np.int64)
-    a[:3] = BEFORE
-    a[3:-1] = np.frombuffer(text, np.uint8)
-    a[-1] = END
-    return a[:-3] << 24 | a[1:-2] << 16 | a[2:-1] << 8 | a[3:]
+def steps(text: bytes) -> Iterator[np.ndarray]:
+    """Of each byte and the end: the three bytes before it and itself, as one number; about STEP at a time."""
+    for at in range(0, len(text) + 1, STEP):
+        part = text[max(0, at - 3) : at + STEP]
+        last = at + STEP > len(text)
+        a = np.empty(len(part) + 3 * (not at) + last, np.uint32)
+        a[: 3 * (not at)] = BEFORE
+        a[3 * (not at) : len(a) - last] = np.frombuffer(part, np.uint8)
+        if last:
+            a[-1] = END
+        yield a[:-3] << np.uint32(24) | a[1:-2] << np.uint32(16) | a[2:-1] << np.uint32(8) | a[3:]
+
+
+class Grams:
+    """Counts of grams, summed up a megabyte at a time."""
+
+    def __init__(self) -> None:
+        self.held: list[np.ndarray] = []
+        self.size = 0
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, text: bytes) -> None:
+        for part in steps(text):
+            self.held.append(part)
+            self.size += len(part)
+            if self.size >= STEP:
+                self._flush()
+
+    def _flush(self) -> None:
+        if self.held:
+            self.parts.append(np.unique(np.concatenate(self.held), return_counts=True))
+            self.held, self.size = [], 0
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        self._flush()
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        codes, at = np.unique(np.concatenate([c for c, _ in self.parts]), return_inverse=True)
+        counts = np.bincount(at, weights=np.concatenate([n for _, n in self.parts]), minlength=len(codes))
+        return codes.astype(np.int64), counts.astype(np.int64)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, bytes]]]:
@@ -85,7 +120,7 @@ def _shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for k, docs in enumerate(_chunks(batches)):
         chunk = part << 24 | k
         train, other = Counter(), set()
-        pieces, trained = [], []
+        trained, rest = Grams(), Grams()
         for key, text in docs:
             out = held_out(key)
             words = text.split()
@@ -94,15 +129,13 @@ def _shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 train.update(words)
                 train[STOP] += 1
-            pieces.append(grams(text))
-            trained.append(np.full(len(text) + 1, not out))
+            (rest if out else trained).add(text)
         other.add(STOP)
         tokens = [*train, *(w for w in other if w not in train)]
         yield from _rows(chunk, 0, tokens, [*train.values(), *[0] * (len(tokens) - len(train))])
-        every, mask = np.concatenate(pieces), np.concatenate(trained)
-        codes, counts = np.unique(every[mask], return_counts=True)
-        rest = np.setdiff1d(every[~mask], codes)
-        yield from _rows(chunk, 1, np.concatenate((codes, rest)), np.concatenate((counts, np.zeros(len(rest), np.int64))))
+        codes, counts = trained.total()
+        new = np.setdiff1d(rest.total()[0], codes)
+        yield from _rows(chunk, 1, np.concatenate((codes, new)), np.concatenate((counts, np.zeros(len(new), np.int64))))
         for at in range(0, len(docs), 512):
             some = docs[at : at + 512]
             n = len(some)
@@ -164,20 +197,18 @@ def _score(total: int, distinct: int):
         kind = facts["gram"].is_valid().to_numpy(zero_copy_only=False)
         tokens, told = facts.filter(pa.array(~kind)), facts.filter(pa.array(kind))
         counts = tokens["value"].to_numpy()
-        weight = dict(zip(tokens["token"].to_pylist(), np.log10((counts + 1) / (total + distinct + 1)).tolist(), strict=True))
-        known = dict(zip(tokens["token"].to_pylist(), (counts > 0).tolist(), strict=True))
+        unknown = -float(np.log10(total + distinct + 1))
+        weight = dict(zip(tokens["token"].to_pylist(), np.where(counts > 0, np.log10(counts + 1) + unknown, unknown).tolist(), strict=True))
         codes, costs = told["gram"].to_numpy(), told["value"].to_numpy()
         order = np.argsort(codes)
-        codes, costs = codes[order], costs[order]
+        codes, costs = codes[order].astype(np.uint32), costs[order]
         ids, out = docs["id"].to_pylist(), [[] for _ in range(5)]
-        for i, text in zip(ids, docs["token"].to_pylist(), strict=True):
+        for i, text in zip(ids, docs["token"], strict=True):
+            text = text.as_py()
             words = [*text.split(), STOP]
-            score = 0.0
-            for at in range(0, len(text) + 1, 1 << 20):  # in steps, with the three bytes before each
-                part = grams(text[max(0, at - 3) : at + (1 << 20)])
-                part = part[3 if at else 0 :] if at + (1 << 20) > len(text) else part[3 if at else 0 : -1]
-                score += float(costs[np.searchsorted(codes, part)].sum())
-            row = held_out(i), len(words), sum(map(known.__getitem__, words)), sum(map(weight.__getitem__, words)), score
+            weights = list(map(weight.__getitem__, words))
+            score = sum(float(costs[np.searchsorted(codes, part)].sum()) for part in steps(text))
+            row = held_out(i), len(words), len(words) - weights.count(unknown), sum(weights), score
             for column, x in zip(out, row, strict=True):
                 column.append(x)
         kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
