@@ -21,20 +21,28 @@ WINDOW = 8
 
 def words_of(text: Column) -> Column:
     """Runs of anything but ASCII white space; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), "")
 
 
-def with_features(df: DataFrame, text: Column, name: str, buckets: int = BUCKETS) -> DataFrame:
-    """``df`` with an array of the buckets of every token and of every two tokens in a row.
+def tokens_of(text: Column) -> Column:
+    """Runs of letters and digits, and runs of other signs, in lower case; none for null."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"), F.lit(0))
 
-    Tokens are runs of letters and digits, and runs of other signs, in lower case.
+
+def _bucket(h: Column, buckets: int) -> Column:
+    return F.pmod(h, F.lit(buckets)).cast("int")
+
+
+def exploded_buckets(df: DataFrame, text: Column, *keep: str, buckets: int = BUCKETS) -> DataFrame:
+    """``keep`` and the bucket b of every token and of every two tokens in a row, a row each.
+
+    Tokens meet their successors in native arrays, so hashing is compiled code.
     """
-    toks = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"), F.lit(0))
-    at = lambda h: F.pmod(h, F.lit(buckets)).cast("int")
-    df = df.withColumn(name, fixed(F.transform(toks, lambda t: F.xxhash64(t))))
-    # after each token's own bucket, that of it and the next one; none after the last
-    both = F.transform(F.col(name), lambda h, i: F.array(at(h), at(F.xxhash64(h, F.get(F.col(name), i + 1)))))
-    return df.withColumn(name, fixed(F.slice(F.flatten(both), 1, F.greatest(2 * F.size(name) - 1, F.lit(0)))))
+    toks = df.select(*keep, fixed(tokens_of(text)).alias("__t"))
+    pairs = toks.select(*keep, F.explode(F.arrays_zip(F.col("__t").alias("x"), F.slice("__t", 2, F.greatest(F.size("__t"), F.lit(1))).alias("y"))).alias("p"))
+    first = F.xxhash64("p.x")
+    both = F.when(F.col("p.y").isNotNull(), F.array(_bucket(first, buckets), _bucket(F.xxhash64(first, F.xxhash64("p.y")), buckets))).otherwise(F.array(_bucket(first, buckets)))
+    return pairs.select(*keep, F.explode(both).alias("b"))
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> list[float]:
@@ -48,7 +56,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     ids = trusted.where(F.col(trusted.columns[0]).isNotNull()).select(F.col(trusted.columns[0]).alias("__id")).distinct().orderBy(F.xxhash64("__id"), "__id").limit(TRUSTED)
     slim = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
     marked = slim.join(F.broadcast(ids.withColumn("__good", F.lit(1))), F.col("__doc") == F.col("__id"), "left").select("__text", F.coalesce("__good", F.lit(0)).cast("long").alias("__good"))
-    counts = with_features(marked, F.col("__text"), "__f", buckets).select("__good", F.explode("__f").alias("b"))
+    counts = exploded_buckets(marked, F.col("__text"), "__good", buckets=buckets)
     r, g = [1] * buckets, [1] * buckets
     for row in counts.groupBy("b").agg(F.count("*").alias("raw"), F.sum("__good").alias("good")).collect():  # at most ``buckets`` rows
         r[row.b] += row.raw
@@ -66,11 +74,10 @@ def rule_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(f"[^{SPACE}]"))
-    no_space = F.regexp_replace(text, f"[{SPACE}]+", "")
     df = docs.withColumn("__w", fixed(words_of(F.col(text_col)))).withColumn("__l", fixed(lines))
     df = df.withColumn("__v", fixed(F.transform(F.col("__w"), lambda w: F.xxhash64(w))))
-    window = lambda i: F.xxhash64(*[F.get(F.col("__v"), i + k) for k in range(WINDOW)])
-    df = df.withColumn("__h", fixed(F.when(F.size("__v") > WINDOW, F.transform(F.sequence(F.lit(0), F.size("__v") - WINDOW), window)).otherwise(F.array().cast("array<bigint>"))))
+    windows = F.arrays_zip(*[F.slice("__v", k + 1, F.size("__v") - WINDOW + 1).alias(f"v{k}") for k in range(WINDOW)])
+    df = df.withColumn("__h", fixed(F.when(F.size("__v") > WINDOW, F.transform(windows, lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))))
     some = F.size(F.array_distinct("__h")) < F.size("__h")
     df = df.withColumn("__s", fixed(F.when(some, F.sort_array(F.transform(F.col("__h"), lambda h, i: F.struct(h.alias("h"), i.alias("i")))))))
     same = lambda i: (F.get(F.col("__s"), i)["h"] == F.get(F.col("__s"), i + 1)["h"])
@@ -80,7 +87,7 @@ def rule_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     covered = F.aggregate(F.transform(F.col("__p"), after), F.lit(0), lambda a, b: a + b)
     rules = F.struct(
         F.size("__w").cast("long").alias("n_words"),
-        F.char_length(no_space).cast("long").alias("word_chars"),
+        F.char_length(F.array_join("__w", "")).cast("long").alias("word_chars"),
         F.char_length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
@@ -99,8 +106,11 @@ def judged(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     weights = log_ratios(docs, trusted, id_col, text_col, buckets)
     # a constant of a fixed size, 8 bytes a bucket
     table = docs.sparkSession.createDataFrame([(weights,)], "w array<double>").scalar()
-    df = with_features(rule_statistics(docs, text_col), F.col(text_col), "__f", buckets).withColumn("__r", table)
-    total = F.aggregate(F.col("__f"), F.lit(0.0), lambda a, b: a + F.get("__r", b))
+    df = rule_statistics(docs, text_col).withColumn("__f", fixed(F.transform(tokens_of(F.col(text_col)), lambda t: F.xxhash64(t)))).withColumn("__r", table)
+    ratio = lambda h: F.get("__r", _bucket(h, buckets))
+    pair = lambda h, i: F.xxhash64(h, F.get("__f", i + 1))
+    each = F.transform(F.col("__f"), lambda h, i: F.when(i < F.size("__f") - 1, ratio(h) + ratio(pair(h, i))).otherwise(ratio(h)))
+    total = F.aggregate(each, F.lit(0.0), lambda a, b: a + b)
     failed = (F.col("rules.n_words") < 20) | (100 * F.col("rules.n_repeat_words") > 30 * F.col("rules.n_words"))
-    df = df.withColumn("log_ratio", fixed(F.when(F.size("__f") > 0, total / F.size("__f")).otherwise(0.0))).withColumn("base_failed", failed)
+    df = df.withColumn("log_ratio", fixed(F.when(F.size("__f") > 0, total / (2 * F.size("__f") - 1)).otherwise(0.0))).withColumn("base_failed", failed)
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= threshold)).drop("__f", "__r")
