@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,29 +96,29 @@ def replaced(text: Column, spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), zero, step, lambda z: F.concat(z["out"], text.substr(z["at"] + 1, F.char_length(text))))
 
 
-def signature(df: DataFrame, cols: Iterable[str]) -> tuple:
-    """Row count and an order-free hash of the rows."""
-    return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64(*cols))).first())
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges(u, v)``: root is the smallest node it is connected to.
 
     Alternating large-star and small-star rounds: each round is a minimum per
     node (combined before the shuffle) and an equi-join; rounds grow with the
-    logarithm of the longest path. Every round is checkpointed.
+    logarithm of the longest path. Every round is checkpointed. Rounds end when
+    every node has one edge, to a node that has none itself: then all are stars
+    on their smallest nodes.
     """
     e = checkpointed(edges.where("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct())
-    seen = signature(e, ("a", "b"))
-    while True:
+    while not is_stars(e):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("n"), F.least("a", "low").alias("low"))
-        large = both.join(low, F.col("a") == F.col("n")).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        large = both.join(low, F.col("a") == F.col("n")).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("low")).withColumnRenamed("a", "n")
         pair = F.explode(F.array(F.struct(F.col("a"), F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b"))))
         small = large.join(low, F.col("a") == F.col("n")).select(pair.alias("p")).select("p.a", "p.b").where("a <> b").distinct()
         e = checkpointed(small)
-        now = signature(e, ("a", "b"))
-        if now == seen:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        seen = now
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def is_stars(e: DataFrame) -> bool:
+    """Whether every a of ``e(a, b)`` has one row and is no b."""
+    sides = e.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.lit(1).alias("up")), F.struct(F.col("b").alias("n"), F.lit(0).alias("up")))).alias("s")).select("s.*")
+    per = sides.groupBy("n").agg(F.sum("up").alias("ups"), F.min("up").alias("low"))
+    return per.where((F.col("ups") > 1) | ((F.col("ups") == 1) & (F.col("low") == 0))).limit(1).count() == 0

@@ -56,21 +56,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return slim.mapInArrow(run, "id long, fp long")
 
 
-def _forest(x: np.ndarray, distance: int) -> list[tuple[int, np.ndarray]]:
-    """A spanning forest of the fingerprints within ``distance``: (parent, children)."""
-    out, left = [], np.arange(1, len(x))
-    front = [0]
+def _stars(x: np.ndarray, distance: int) -> list[tuple[np.uint64, np.ndarray]]:
+    """The components of the fingerprints within ``distance``: (smallest, others) of each that has others."""
+    out, left = [], np.arange(len(x))
     while left.size:
-        if not front:
-            front, left = [int(left[0])], left[1:]
-            continue
-        p = front.pop()
-        near = np.bitwise_count(x[left] ^ x[p]) <= distance
-        if near.any():
-            hit = left[near]
-            out.append((x[p], x[hit]))
-            front.extend(hit.tolist())
-            left = left[~near]
+        front, left = [int(left[0])], left[1:]
+        found = [np.array(front)]
+        while front and left.size:
+            near = np.bitwise_count(x[left] ^ x[front.pop()]) <= distance
+            if near.any():
+                found.append(left[near])
+                front.extend(found[-1].tolist())
+                left = left[~near]
+        if len(found) > 1:
+            members = np.sort(x[np.concatenate(found)].view(np.int64)).view(np.uint64)
+            out.append((members[0], members[1:]))
     return out
 
 
@@ -91,9 +91,9 @@ def _links(distance: int):
             u.append(x[near])
             v.append(x[near + 1])
             for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                for parent, children in _forest(x[s : s + n], distance):
-                    u.append(np.full(len(children), parent, np.uint64))
-                    v.append(children)
+                for smallest, others in _stars(x[s : s + n], distance):
+                    u.append(np.full(len(others), smallest, np.uint64))
+                    v.append(others)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u).view(np.int64)), pa.array(np.concatenate(v).view(np.int64))], ["u", "v"])
 
         for batch in batches:
@@ -129,7 +129,8 @@ def near_links(fps: DataFrame, distance: int = 4, blocks: int = 6, tile: int = 1
     """Edges (u, v) that connect all distinct values of ``fps(fp)`` linked through distances up to ``distance``.
 
     No link between components is lost, and a bucket never emits its pairs: a
-    unit of at most about two tiles yields a spanning forest. A bucket of more
+    unit of at most about two tiles yields a star on the smallest of each of its
+    components, so that paths are short from the outset. A bucket of more
     than ``tile`` fingerprints is cut into tiles, and every pair of tiles is a
     unit of its own, so no task gathers a large bucket.
     """
