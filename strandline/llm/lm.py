@@ -1,7 +1,7 @@
 """Language-model scores: prediction by partial matching over bytes, and a unigram base.
 
-The model is a byte-context trie of depth three, trained on the corpus: the
-counts of every byte after every context of up to three bytes. A symbol's
+The model is a byte-context trie of depth five, trained on the corpus: the
+counts of every byte after every context of up to five bytes. A symbol's
 probability starts at the longest context that training has; where the symbol
 is new, the context escapes with q / (n + q) (n symbols seen, q of them
 distinct) to the next shorter one, from which the symbols seen so far are
@@ -18,7 +18,6 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -32,6 +31,8 @@ from strandline.llm.shared import stored
 CHUNK = 16 << 20
 #: Grams in an array.
 STEP = 1 << 20
+#: Bytes of the longest context; a gram is a context and its symbol, in 64 bits.
+DEPTH = 5
 # UTF-8 never has these two: the context before the first byte, and the end of a text.
 BEFORE, END = 0xFE, 0xFF
 #: Symbols: the bytes that UTF-8 may have, and the end.
@@ -46,16 +47,21 @@ def held_out(key: int | None, folds: int = 7, fold: int = 2) -> bool:
 
 
 def steps(text: bytes) -> Iterator[np.ndarray]:
-    """Of each byte and the end: the three bytes before it and itself, as one number; about STEP at a time."""
+    """Of each byte and the end: the DEPTH bytes before it and itself, as one number; about STEP at a time."""
     for at in range(0, len(text) + 1, STEP):
-        part = text[max(0, at - 3) : at + STEP]
+        part = text[max(0, at - DEPTH) : at + STEP]
         last = at + STEP > len(text)
-        a = np.empty(len(part) + 3 * (not at) + last, np.uint32)
-        a[: 3 * (not at)] = BEFORE
-        a[3 * (not at) : len(a) - last] = np.frombuffer(part, np.uint8)
+        a = np.empty(len(part) + DEPTH * (not at) + last, np.uint8)
+        a[: DEPTH * (not at)] = BEFORE
+        a[DEPTH * (not at) : len(a) - last] = np.frombuffer(part, np.uint8)
         if last:
             a[-1] = END
-        yield a[:-3] << np.uint32(24) | a[1:-2] << np.uint32(16) | a[2:-1] << np.uint32(8) | a[3:]
+        n = len(a) - DEPTH
+        grams = np.zeros(n, np.int64)
+        for k in range(DEPTH + 1):
+            grams <<= 8
+            grams |= a[k : k + n]
+        yield grams
 
 
 class Grams:
@@ -84,7 +90,7 @@ class Grams:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         codes, at = np.unique(np.concatenate([c for c, _ in self.parts]), return_inverse=True)
         counts = np.bincount(at, weights=np.concatenate([n for _, n in self.parts]), minlength=len(codes))
-        return codes.astype(np.int64), counts.astype(np.int64)
+        return codes, counts.astype(np.int64)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, bytes]]]:
@@ -142,52 +148,64 @@ def _shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.full(n, 2, np.int32)), pa.array([t for _, t in some], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([i for i, _ in some], pa.int64())], FIELDS)
 
 
-def costs_of(group: pd.DataFrame, last: np.ndarray, whole: np.ndarray) -> pd.DataFrame:
-    """log10 probabilities of the grams of one two-byte context: at most 65,536 (first byte, symbol) rows.
+def _log(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """log10(a / b), each taken as 1 where there is no such node."""
+    return np.log10(np.where(a > 0, a, 1)) - np.log10(np.where(b > 0, b, 1))
 
-    ``last`` has the counts of each symbol after each single byte, ``whole``
-    those after none.
+
+def costs_of(gram: np.ndarray, n: np.ndarray, last: np.ndarray, whole: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """log10 probabilities of distinct grams; ``n`` has their training counts.
+
+    The grams are all those of their contexts' last two bytes, so that shorter
+    contexts down to these sum up here. ``last`` has the counts of each symbol
+    after each single byte, ``whole`` those after none.
     """
-    gram, n = group["gram"].to_numpy(), group["n"].to_numpy()
-    first, symbol = gram >> 24 & 255, gram & 255
-    b3 = int(gram[0] >> 8 & 255)
-    rows, row = np.unique(first, return_inverse=True)
-    c3 = np.zeros((len(rows), 256), np.int64)
-    c3[row, symbol] = n
-    c2, c1, c0 = c3.sum(axis=0), last[b3], whole
-    s3, s2, s1, s0 = c3 > 0, c2 > 0, c1 > 0, c0 > 0
-    n3, q3 = c3.sum(axis=1), s3.sum(axis=1)
-    # what is left of the shorter contexts once the symbols of the longer ones are excluded
-    n2, q2 = c2.sum() - (s3 * c2).sum(axis=1), s2.sum() - q3
-    n1, q1 = c1.sum() - c1[s2].sum(), s1.sum() - s2.sum()
-    n0, q0 = c0.sum() - c0[s1].sum(), s0.sum() - s1.sum()
-    log = lambda a, b: np.log10(np.where(a > 0, a, 1)) - np.log10(np.where(b > 0, b, 1))  # noqa: E731  1 where there is no such node
-    e3, e2 = log(q3, n3 + q3), log(q2, n2 + q2)
-    e1, e0 = (float(log(np.asarray(q), np.asarray(n + q))) for q, n in ((q1, n1), (q0, n0)))
-    k3, k2, k1, k0 = c3[row, symbol], c2[symbol], c1[symbol], c0[symbol]
-    at2, at1 = e3[row], e3[row] + e2[row]
-    cost = at1 + e1 + e0 - np.log10(max(1, ALPHABET - int(s0.sum())))
-    cost = np.where(k0 > 0, at1 + e1 + log(k0, np.asarray(n0 + q0)), cost)
-    cost = np.where(k1 > 0, at1 + log(k1, np.asarray(n1 + q1)), cost)
-    cost = np.where(k2 > 0, at2 + log(k2, (n2 + q2)[row]), cost)
-    cost = np.where(k3 > 0, log(k3, (n3 + q3)[row]), cost)
-    return pd.DataFrame({"gram": gram, "cost": cost})
+    seen, symbol, before = last > 0, gram & 255, gram >> 8 & 255
+    cost, escaped, new = np.zeros(len(gram)), np.zeros(len(gram)), np.ones(len(gram), bool)
+
+    def level(count: np.ndarray, left: np.ndarray, kinds: np.ndarray) -> None:
+        """Ends the grams that a context has; the others escape. ``left`` and ``kinds`` leave excluded symbols out."""
+        nonlocal escaped
+        cost[:] = np.where(new & (count > 0), escaped + _log(count, left + kinds), cost)
+        new[count > 0] = False
+        escaped = escaped + _log(kinds, left + kinds)
+
+    keys, count, of, told_n, told_q = gram, n, np.arange(len(gram)), None, None
+    for k in range(depth, 1, -1):
+        contexts, at = np.unique(keys >> 8, return_inverse=True)
+        sums = np.bincount(at, count).astype(np.int64)
+        kinds = np.bincount(at, count > 0).astype(np.int64)
+        here = at[of]
+        level(count[of], sums[here] - (told_n if k < depth else 0), kinds[here] - (told_q if k < depth else 0))
+        if k > 2:
+            fewer, up = np.unique(keys & (1 << 8 * k) - 1, return_inverse=True)
+            shorter = np.bincount(up, count).astype(np.int64)
+        else:
+            fewer, up, shorter = keys, np.arange(len(keys)), last[keys >> 8 & 255, keys & 255]
+        # what the next shorter context has of the symbols that this one has
+        told_n = np.bincount(at, np.where(count > 0, shorter[up], 0)).astype(np.int64)[here]
+        told_q = kinds[here]
+        keys, count, of = fewer, shorter, up[of]
+    level(last[before, symbol], last.sum(axis=1)[before] - told_n, seen.sum(axis=1)[before] - told_q)
+    level(whole[symbol], whole.sum() - (seen * whole).sum(axis=1)[before], (whole > 0).sum() - seen.sum(axis=1)[before])
+    return np.where(new, escaped - np.log10(max(1, ALPHABET - int((whole > 0).sum()))), cost)
 
 
 def _contexts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rows of each context, from parts sorted by context."""
+    """Rows of whole contexts, about STEP rows at a time, from parts sorted by context."""
     held: list[pd.DataFrame] = []
+    size = 0
     for part in parts:
-        cuts = [0, *(np.flatnonzero(np.diff(part["context"].to_numpy())) + 1).tolist(), len(part)]
-        for a, b in pairwise(cuts):
-            group = part.iloc[a:b]
-            if held and len(group) and held[0]["context"].iloc[0] != group["context"].iloc[0]:
-                yield pd.concat(held)
-                held = []
-            if len(group):
-                held.append(group)
-    if held:
-        yield pd.concat(held)
+        held.append(part)
+        size += len(part)
+        if size >= STEP:
+            rows = pd.concat(held)
+            rest = rows["context"].to_numpy() == rows["context"].iloc[-1]
+            if not rest.all():
+                yield rows[~rest]
+            held, size = [rows[rest]], int(rest.sum()) if not rest.all() else 0
+    if held and len(rows := pd.concat(held)):
+        yield rows
 
 
 def _score(total: int, distinct: int):
@@ -201,7 +219,7 @@ def _score(total: int, distinct: int):
         weight = dict(zip(tokens["token"].to_pylist(), np.where(counts > 0, np.log10(counts + 1) + unknown, unknown).tolist(), strict=True))
         codes, costs = told["gram"].to_numpy(), told["value"].to_numpy()
         order = np.argsort(codes)
-        codes, costs = codes[order].astype(np.uint32), costs[order]
+        codes, costs = codes[order], costs[order]
         ids, out = docs["id"].to_pylist(), [[] for _ in range(5)]
         for i, text in zip(ids, docs["token"], strict=True):
             text = text.as_py()
@@ -235,7 +253,12 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         last[r.pair >> 8, r.pair & 255] = r.n
     whole += last.sum(axis=0)
     dealt = all_grams.withColumn("context", F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))).repartition("context").sortWithinPartitions("context")
-    costs = stored(dealt.mapInPandas(lambda parts: (costs_of(g, last, whole) for g in _contexts(parts)), "gram long, cost double"), "lm-costs")
+
+    def priced(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _contexts(parts):
+            yield pd.DataFrame({"gram": rows["gram"], "cost": costs_of(rows["gram"].to_numpy(), rows["n"].to_numpy(), last, whole)})
+
+    costs = stored(dealt.mapInPandas(priced, "gram long, cost double"), "lm-costs")
     counts = stored(tokens_in.groupBy("token").agg(F.sum("n").alias("n")), "lm-tokens")
     total, distinct = counts.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     none = F.lit(None)

@@ -79,13 +79,13 @@ def test_quality(docs, none, spark):
 def test_lm(docs, none):
     rows = docs.collect()
     train, contexts = Counter(), {}
-    coded = lambda t: bytes([254] * 3) + (t or "").encode().lower() + b"\xff"
+    coded = lambda t: bytes([254] * lm.DEPTH) + (t or "").encode().lower() + b"\xff"
     for r in rows:
         if not lm.held_out(r.doc_id):
             train.update([*(r.text or "").encode().lower().split(), lm.STOP])
             b = coded(r.text)
-            for i in range(3, len(b)):
-                for o in range(4):
+            for i in range(lm.DEPTH, len(b)):
+                for o in range(lm.DEPTH + 1):
                     contexts.setdefault(b[i - o : i], Counter())[b[i]] += 1
     assert lm.held_out(5) == (zlib.crc32(b"5") % 7 == 2)
     n, v = sum(train.values()), len(train)
@@ -94,9 +94,9 @@ def test_lm(docs, none):
     for r in rows:
         w = [*(r.text or "").encode().lower().split(), lm.STOP]
         b, score = coded(r.text), 0.0
-        for i in range(3, len(b)):
+        for i in range(lm.DEPTH, len(b)):
             gone: set = set()
-            for o in (3, 2, 1, 0):
+            for o in range(lm.DEPTH, -1, -1):
                 c = contexts.get(b[i - o : i])
                 if not c:
                     continue
