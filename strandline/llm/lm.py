@@ -10,18 +10,23 @@ the sum over its bytes and an end symbol.
 
 Neither the trie nor the vocabulary has a bound, so no task or driver holds
 them: documents are cut into chunks, each chunk lists the distinct grams and
-tokens that it has, and joins bring it just their costs and counts.
+tokens that it has, and gets back just their costs and counts. Tokens are joined
+row by row. Grams travel as compressed arrays, one a chunk and bucket; a bucket
+has all grams of some two-byte contexts. A bucket's arrays are summed up as they
+stream by, and its costs stream along the arrays that ask for them, so a task
+holds the distinct grams of one bucket, however many chunks there are.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +38,10 @@ CHUNK = 16 << 20
 STEP = 1 << 20
 #: Bytes of the longest context; a gram is a context and its symbol, in 64 bits.
 DEPTH = 5
+#: Buckets that two-byte contexts are dealt to.
+BUCKETS = 1024
+#: Chunks that are answered by one task.
+ASKING = 1 << 16
 # UTF-8 never has these two: the context before the first byte, and the end of a text.
 BEFORE, END = 0xFE, 0xFF
 #: Symbols: the bytes that UTF-8 may have, and the end.
@@ -106,20 +115,34 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None
         yield held
 
 
-def _rows(chunk: int, kind: int, keys: list[bytes] | np.ndarray, values: np.ndarray | list[int]) -> Iterator[pa.RecordBatch]:
-    """Rows (chunk, kind, token, gram, n)."""
-    n = len(keys)
-    token = pa.array(keys, pa.binary()) if kind == 0 else pa.nulls(n, pa.binary())
-    gram = pa.array(keys, pa.int64()) if kind == 1 else pa.nulls(n, pa.int64())
-    arrays = [pa.array(np.full(n, chunk)), pa.array(np.full(n, kind, np.int32)), token, gram, pa.array(values, pa.int64()), pa.nulls(n, pa.int64())]
-    yield pa.RecordBatch.from_arrays(arrays, FIELDS)
+def packed(a: np.ndarray) -> bytes:
+    """``a`` of 64-bit numbers, compressed by byte planes."""
+    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
-FIELDS = ["chunk", "kind", "token", "gram", "n", "id"]
+def unpacked(b: bytes, kind: type = np.int64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def _bucket(gram: np.ndarray) -> np.ndarray:
+    return ((gram >> 8 & 0xFFFF) * 40503 >> 6) % BUCKETS
+
+
+FIELDS = ["chunk", "kind", "token", "n", "id", "bucket", "grams", "counts"]
+KINDS = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+SUMS = "bucket int, grams binary, counts binary"
+SHREDS = "chunk long, kind int, token binary, n long, id long, bucket int, grams binary, counts binary"
+
+
+def _rows(chunk: int, kind: int, **columns: list) -> pa.RecordBatch:
+    """Rows of the given columns; the others are null."""
+    n = len(next(iter(columns.values())))
+    columns |= {"chunk": np.full(n, chunk), "kind": np.full(n, kind)}
+    return pa.RecordBatch.from_arrays([pa.array(columns[f], t) if f in columns else pa.nulls(n, t) for f, t in zip(FIELDS, KINDS, strict=True)], FIELDS)
 
 
 def _shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each chunk: its tokens (kind 0) and grams (kind 1) with training counts, and its documents (kind 2)."""
+    """Of each chunk: its tokens (kind 0) and packed grams by bucket (kind 1) with training counts, and its documents (kind 2)."""
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
@@ -138,14 +161,70 @@ def _shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             (rest if out else trained).add(text)
         other.add(STOP)
         tokens = [*train, *(w for w in other if w not in train)]
-        yield from _rows(chunk, 0, tokens, [*train.values(), *[0] * (len(tokens) - len(train))])
+        yield _rows(chunk, 0, token=tokens, n=[*train.values(), *[0] * (len(tokens) - len(train))])
         codes, counts = trained.total()
         new = np.setdiff1d(rest.total()[0], codes)
-        yield from _rows(chunk, 1, np.concatenate((codes, new)), np.concatenate((counts, np.zeros(len(new), np.int64))))
+        codes, counts = np.concatenate((codes, new)), np.concatenate((counts, np.zeros(len(new), np.int64)))
+        bucket = _bucket(codes)
+        order = np.lexsort((codes, bucket))
+        codes, counts, bucket = codes[order], counts[order], bucket[order]
+        starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        cuts = [slice(a, b) for a, b in zip(starts, [*starts[1:], len(codes)], strict=True)]
+        yield _rows(chunk, 1, bucket=bucket[starts], grams=[packed(codes[c]) for c in cuts], counts=[packed(counts[c]) for c in cuts])
         for at in range(0, len(docs), 512):
             some = docs[at : at + 512]
-            n = len(some)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.full(n, 2, np.int32)), pa.array([t for _, t in some], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([i for i, _ in some], pa.int64())], FIELDS)
+            yield _rows(chunk, 2, token=[t for _, t in some], id=[i for i, _ in some])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, grams, counts), sorted by bucket or by part of one, to one row each."""
+    now, held, size = None, [], 0
+
+    def total() -> tuple[np.ndarray, np.ndarray]:
+        codes, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+        return codes, np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64)
+
+    def row() -> pa.RecordBatch:
+        codes, counts = total()
+        return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([packed(codes)]), pa.array([packed(counts)])], ["bucket", "grams", "counts"])
+
+    for batch in batches:
+        for *key, grams, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if now != key:
+                if held:
+                    yield row()
+                now, held, size = key, [], 0
+            held.append((unpacked(grams), unpacked(counts)))
+            size += len(held[-1][0])
+            if size > 2 * max(STEP, len(held[0][0])):
+                held = [total()]
+                size = len(held[0][0])
+    if held:
+        yield row()
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of (last byte of the context, symbol)."""
+    sums = np.zeros(1 << 16, np.int64)
+    for batch in batches:
+        for grams, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            sums += np.bincount(unpacked(grams) & 0xFFFF, unpacked(counts), 1 << 16).astype(np.int64)
+    at = np.flatnonzero(sums)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["pair", "n"])
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, grams, costs) of rows (bucket, chunk, grams, costs), in which a bucket's own costs, of chunk null, come first."""
+    codes = costs = None
+    for batch in batches:
+        out: list[list] = [[], [], []]
+        for _, chunk, grams, told in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if chunk is None:
+                codes, costs = unpacked(grams), unpacked(told, np.float64)
+                continue
+            for column, x in zip(out, (chunk, grams, packed(costs[np.searchsorted(codes, unpacked(grams))])), strict=True):
+                column.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["chunk", "grams", "costs"])
 
 
 def _log(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -191,33 +270,17 @@ def costs_of(gram: np.ndarray, n: np.ndarray, last: np.ndarray, whole: np.ndarra
     return np.where(new, escaped - np.log10(max(1, ALPHABET - int((whole > 0).sum()))), cost)
 
 
-def _contexts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of whole contexts, about STEP rows at a time, from parts sorted by context."""
-    held: list[pd.DataFrame] = []
-    size = 0
-    for part in parts:
-        held.append(part)
-        size += len(part)
-        if size >= STEP:
-            rows = pd.concat(held)
-            rest = rows["context"].to_numpy() == rows["context"].iloc[-1]
-            if not rest.all():
-                yield rows[~rest]
-            held, size = [rows[rest]], int(rest.sum()) if not rest.all() else 0
-    if held and len(rows := pd.concat(held)):
-        yield rows
-
-
 def _score(total: int, distinct: int):
     """For one chunk: documents against the costs of its grams and the counts of its tokens."""
 
     def run(key: tuple, docs: pa.Table, facts: pa.Table) -> pa.Table:
-        kind = facts["gram"].is_valid().to_numpy(zero_copy_only=False)
+        kind = facts["grams"].is_valid().to_numpy(zero_copy_only=False)
         tokens, told = facts.filter(pa.array(~kind)), facts.filter(pa.array(kind))
         counts = tokens["value"].to_numpy()
         unknown = -float(np.log10(total + distinct + 1))
         weight = dict(zip(tokens["token"].to_pylist(), np.where(counts > 0, np.log10(counts + 1) + unknown, unknown).tolist(), strict=True))
-        codes, costs = told["gram"].to_numpy(), told["value"].to_numpy()
+        codes = np.concatenate([unpacked(x.as_py()) for x in told["grams"]])
+        costs = np.concatenate([unpacked(x.as_py(), np.float64) for x in told["costs"]])
         order = np.argsort(codes)
         codes, costs = codes[order], costs[order]
         ids, out = docs["id"].to_pylist(), [[] for _ in range(5)]
@@ -244,26 +307,34 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     dealt. Repeated rows train as often as they occur. Extra columns are ignored.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    shreds = stored(slim.mapInArrow(_shred, "chunk long, kind int, token binary, gram long, n long, id long"), "lm")
-    grams_in, tokens_in = shreds.where("kind = 1").select("chunk", "gram", "n"), shreds.where("kind = 0").select("chunk", "token", "n")
-    all_grams = stored(grams_in.groupBy("gram").agg(F.sum("n").alias("n")), "lm-grams")
-    last, whole = np.zeros((256, 256), np.int64), np.zeros(256, np.int64)
-    pair = F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("pair")
-    for r in all_grams.groupBy(pair).agg(F.sum("n").alias("n")).collect():  # at most 65,536 rows
+    shreds = stored(slim.mapInArrow(_shred, SHREDS), "lm")
+    packs, tokens_in = shreds.where("kind = 1").select("chunk", "bucket", "grams", "counts"), shreds.where("kind = 0").select("chunk", "token", "n")
+    chunks = shreds.where("kind = 1").agg(F.count_distinct("chunk")).first()[0]
+    # parts of a bucket first, about as many as each has chunks
+    part = F.pmod(F.xxhash64("chunk"), F.lit(max(1, math.isqrt(chunks)))).alias("part")
+    parts = packs.select("bucket", part, "grams", "counts").repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(_summed, SUMS)
+    sums = stored(parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_summed, SUMS), "lm-grams")
+    last = np.zeros((256, 256), np.int64)
+    for r in sums.select("grams", "counts").mapInArrow(_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most 65,536 rows
         last[r.pair >> 8, r.pair & 255] = r.n
-    whole += last.sum(axis=0)
-    dealt = all_grams.withColumn("context", F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))).repartition("context").sortWithinPartitions("context")
-
-    def priced(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _contexts(parts):
-            yield pd.DataFrame({"gram": rows["gram"], "cost": costs_of(rows["gram"].to_numpy(), rows["n"].to_numpy(), last, whole)})
-
-    costs = stored(dealt.mapInPandas(priced, "gram long, cost double"), "lm-costs")
+    whole = last.sum(axis=0)
+
+    def priced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, grams, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                costs = packed(costs_of(unpacked(grams), unpacked(counts), last, whole))
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([grams]), pa.array([costs])], ["bucket", "grams", "costs"])
+
+    costs = stored(sums.mapInArrow(priced, "bucket int, grams binary, costs binary"), "lm-costs")
+    none, groups = F.lit(None), -(-chunks // ASKING) or 1
+    to_all = costs.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("part"), none.cast("long").alias("chunk"), "grams", "costs")
+    asked = packs.select("bucket", F.pmod(F.xxhash64("chunk"), F.lit(groups)).cast("long").alias("part"), "chunk", "grams", none.cast("binary").alias("costs"))
+    dealt = to_all.unionByName(asked).repartition("bucket", "part").sortWithinPartitions("bucket", "part", F.col("chunk").asc_nulls_first())
+    answers = dealt.select("bucket", "chunk", "grams", "costs").mapInArrow(_answered, "chunk long, grams binary, costs binary")
     counts = stored(tokens_in.groupBy("token").agg(F.sum("n").alias("n")), "lm-tokens")
     total, distinct = counts.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    none = F.lit(None)
-    by_gram = grams_in.select("chunk", "gram").join(costs, "gram").select("chunk", none.cast("binary").alias("token"), "gram", F.col("cost").alias("value"))
-    by_token = tokens_in.select("chunk", "token").join(counts, "token").select("chunk", "token", none.cast("long").alias("gram"), F.col("n").cast("double").alias("value"))
+    by_gram = answers.select("chunk", none.cast("binary").alias("token"), none.cast("long").alias("value"), "grams", "costs")
+    by_token = tokens_in.select("chunk", "token").join(counts, "token").select("chunk", "token", F.col("n").alias("value"), none.cast("binary").alias("grams"), none.cast("binary").alias("costs"))
     facts = by_gram.unionByName(by_token)
     texts = shreds.where("kind = 2").select(F.col("chunk").alias("of"), "id", "token")
     schema = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
