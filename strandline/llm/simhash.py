@@ -8,7 +8,7 @@ with a common key are compared, and the Hamming distance is then verified.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -24,13 +24,10 @@ SEED = 42
 STEP = 1 << 16
 
 
-def fingerprint(text: bytes, width: int = 4) -> int:
-    """The 64-bit SimHash of a text's word shingles; 0 for a text without words."""
+def shingle_hashes(text: bytes, width: int) -> Iterator[np.ndarray]:
+    """The 64-bit hashes of a text's word shingles, or of all its words if they are fewer; nothing for a text without words."""
     words = text.lower().split()  # ASCII white space and letters only, as bytes have no other
-    if not words:
-        return 0
-    count = max(1, len(words) - width + 1)
-    ones = np.zeros(64, np.int64)
+    count = max(1, len(words) - width + 1) if words else 0
     for at in range(0, count, STEP):
         part = words[at : min(at + STEP, count) + width - 1]
         line = b" ".join(part)
@@ -38,9 +35,16 @@ def fingerprint(text: bytes, width: int = 4) -> int:
         starts = np.concatenate(([0], ends[:-1] + 1))
         n = max(1, len(part) - width + 1)
         digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[s:e], SEED) for s, e in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
+        yield np.array([digest(line[s:e], SEED) for s, e in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)], "<u8")
+
+
+def fingerprint(text: bytes, width: int = 4) -> int:
+    """The 64-bit SimHash of a text's word shingles; 0 for a text without words."""
+    ones, count = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, width):
+        bits = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64)
         ones += bits.sum(axis=0, dtype=np.int64)
+        count += len(hashes)
     return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
 
 
@@ -142,6 +146,14 @@ def near_links(fps: DataFrame, distance: int = 4, blocks: int = 6, tile: int = 1
     return units.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_links(distance), "u long, v long").distinct()
 
 
+def lowest_of(firsts: DataFrame, linked: DataFrame) -> DataFrame:
+    """(f, component_id) of every fp of ``firsts(fp, first)``: the smallest first of its component in ``linked(node, root)``."""
+    rooted = linked.join(firsts, linked["node"] == firsts["fp"]).select("fp", "root", "first")
+    lows = rooted.groupBy("root").agg(F.min("first").alias("low")).withColumnRenamed("root", "r")
+    named = rooted.join(lows, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "low")
+    return firsts.join(named, F.col("fp") == F.col("f"), "left").select(F.col("fp").alias("f"), F.when(F.col("f").isNull(), F.col("first")).otherwise(F.col("low")).alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4, blocks: int = 6) -> DataFrame:
     """One row per row of ``docs``: id, fingerprint (hex) and component_id, the smallest id of its group.
 
@@ -153,20 +165,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = stored(fingerprints(docs, id_col, text_col, width), "simhash")
     firsts = stored(fps.groupBy("fp").agg(F.min("id").alias("first")), "simhash-first")
     linked = components(near_links(firsts, distance, blocks))
-    rooted = linked.join(firsts, linked["node"] == firsts["fp"]).select("fp", "root", "first")
-    lows = rooted.groupBy("root").agg(F.min("first").alias("low")).withColumnRenamed("root", "r")
-    named = rooted.join(lows, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "low")
-    group = firsts.join(named, F.col("fp") == F.col("f"), "left").select(F.col("fp").alias("f"), F.when(F.col("f").isNull(), F.col("first")).otherwise(F.col("low")).alias("component_id"))
+    group = lowest_of(firsts, linked)
     return fps.join(group, F.col("fp") == F.col("f")).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` but one document per near-duplicate group, that of the smallest id.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """The rows of ``docs`` but one document per near-duplicate group of ``groups``, that of the smallest id.
 
     Rows that repeat an id collapse to one. Rows with a null id are kept: they
     can't be told from one another. Columns are those of ``docs``.
     """
-    found = near_duplicates(docs, id_col, text_col)
+    found = groups(docs, id_col, text_col)
     keep = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep")).distinct()
     kept = docs.join(keep, docs[id_col] == keep["__keep"], "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

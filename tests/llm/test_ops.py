@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, html, lm, packing, pii, quality, queries, secrets, simhash, tiff, tokens, urls
+from strandline.llm import bpe, html, lm, packing, pii, quality, queries, secrets, shingles, simhash, tiff, tokens, urls
 from strandline.llm.shared import components, spans_text
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
@@ -236,6 +236,25 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).collect() == []
 
 
+def test_near_dedup_links_shingle_similarity(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(11)
+    texts = [[f"w{rng.randrange(3000)}" for _ in range(200)] for _ in range(15)]
+    texts += [[*t[:at], "changed", *t[at + 1 :]] for t in texts[:10] for at in (30, 60)]  # similarity about 0.95
+    texts += [[*t[:20], "a", *t[21:80], "b", *t[81:150], "c", *t[151:]] for t in texts[:10]]  # about 0.86
+    texts += [t[:100] for t in texts[:5]] + [[], ["x"]]  # about 0.49, and short ones
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    group = list(range(len(texts)))
+    for _ in range(4):
+        for i, a in enumerate(sets):
+            group[i] = min(group[j] for j, b in enumerate(sets) if len(a & b) >= 0.8 * len(a | b))
+    frame = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    for tile in (512, 2):
+        assert {r.doc_id: r.component_id for r in shingles.similar(frame, tile=tile).collect()} == dict(enumerate(group))
+    assert sorted(r.doc_id for r in pipeline.near_dedup(spark, frame, "").collect()) == sorted(set(group))
+    assert shingles.similar(frame.limit(0)).collect() == []
+
+
 def test_large_bucket_and_components(spark):
     rng = random.Random(9)
     fps = [rng.getrandbits(64) for _ in range(40)]
