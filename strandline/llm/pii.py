@@ -2,7 +2,7 @@
 
 DataFrame functions only. For a protected value e (an e-mail address, phone,
 card or IP number) and a term t, P(e|t) = df(e, t) / df(t) is the share of the
-documents with t in which t stands near e. The information that t gives about e
+documents with t that have e. Copies of one text are one document. The information that t gives about e
 is PMI(e; t) = log2(P(e|t) N / df(e)), at most IC(e) = log2(N / df(e)); a term
 whose PMI reaches ``disclosure`` of IC(e) gives e away.
 """
@@ -23,10 +23,6 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = "0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 KINDS = ("email", "ip", "card", "phone")
 
-#: Words on either side of a protected value in which terms are counted.
-REACH = 6
-#: Distinct surroundings in which a term must stand near a value: copies of one text count once.
-SUPPORT = 3
 #: Share of IC(e) that the PMI of a disclosing term reaches.
 DISCLOSURE = 0.9
 
@@ -57,38 +53,34 @@ def _terms(s: Column) -> Column:
     return F.regexp_extract_all(F.lower(s), F.lit(r"\p{L}{2,}"), F.lit(0))
 
 
-def _near(text: Column, span: Column, reach: int) -> Column:
-    """The terms of at most ``reach`` words on either side of a span, read from 24 characters a word."""
-    wide = reach * 24
-    before = _terms(F.substring(text, F.greatest(F.lit(1), span["start"] + 1 - wide), F.least(F.lit(wide), span["start"])))
-    after = _terms(F.substring(text, span["end"] + 1, F.lit(wide)))
-    return F.concat(F.slice(F.reverse(before), 1, reach), F.slice(after, 1, reach))
-
-
-def disclosing_terms(found: DataFrame, text_col: str = "text", reach: int = REACH, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def disclosing_terms(found: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
     """(term, kind) of the terms over the threshold, from a frame with ``text_col`` and ``base`` spans.
 
-    All counts are numbers of documents and cover all of them. A term must also
-    stand near the value in ``support`` different surroundings, so that copies
-    of one text are no evidence. Every count is combined before its shuffle, so
-    no value or term gathers its documents in one task.
+    All counts are numbers of different texts and cover all of them: a term
+    counts wherever it stands in the document, and a value seen once counts
+    like any other. As df(e, t) is at most df(e), a disclosing term has at most
+    df(e) (N / df(e)) ** (1 - disclosure) documents; commoner terms are never
+    paired with values. Every count is combined before its shuffle, so no value
+    or term gathers its documents in one task.
     """
     value = lambda s: F.struct(s["kind"].alias("kind"), F.lower(s["hit"]).alias("value"))
     base, text = F.col("base"), F.col(text_col)
-    around = lambda v: F.array_distinct(F.flatten(F.transform(F.filter(base, lambda s: value(s) == v), lambda s: _near(text, s, reach))))
-    spots = found.where(F.size(base) > 0).select(F.explode(F.transform(F.array_distinct(F.transform(base, value)), lambda v: F.struct(v["kind"].alias("kind"), v["value"].alias("value"), around(v).alias("near")))).alias("v"))
-    spots = stored(spots.select("v.*", F.xxhash64(F.array_sort("v.near")).alias("place")), "pii-spots")
-    by_place = spots.select("kind", "value", "place", F.explode("near").alias("term")).groupBy("kind", "value", "term", "place").count()
-    pairs = by_place.groupBy("kind", "value", "term").agg(F.sum("count").alias("both"), F.count("*").alias("places")).where(F.col("places") >= support)
-    pairs = stored(pairs, "pii-pairs")
-    values = spots.groupBy("kind", "value").agg(F.count("*").alias("df_e"))
-    words = found.select(fixed(F.array_distinct(_terms(text))).alias("t")).select(F.explode("t").alias("term"))
-    seen = words.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_t"))
-    n = F.lit(float(max(found.count(), 1)))
+    copies = stored(found.groupBy(F.xxhash64(text).alias("h")).agg(F.count("*").alias("copies")), "pii-copies")
+    n = max(copies.count(), 1)
+    spots = found.where(F.size(base) > 0).select(F.xxhash64(text).alias("h"), F.array_distinct(F.transform(base, value)).alias("vals"), fixed(F.array_distinct(_terms(text))).alias("t"))
+    spots = stored(spots.dropDuplicates(["h"]), "pii-spots")
+    values = stored(spots.select(F.explode("vals").alias("v")).groupBy("v").agg(F.count("*").alias("df_e")), "pii-values")
+    most = values.agg(F.max(F.col("df_e") * F.pow(n / F.col("df_e"), F.lit(1 - disclosure)))).first()[0] or 0.0
+    repeated = copies.where("copies > 1").withColumnRenamed("h", "r")
+    # each of a text's copies counts as its share
+    words = found.select(F.xxhash64(text).alias("h"), fixed(F.array_distinct(_terms(text))).alias("t")).join(repeated, F.col("h") == F.col("r"), "left")
+    words = words.select(F.explode("t").alias("term"), (1 / F.coalesce("copies", F.lit(1))).alias("share"))
+    rare = words.groupBy("term").agg(F.round(F.sum("share")).alias("df_t")).where(F.col("df_t") <= most + 1e-6)
+    pairs = spots.select("vals", F.explode("t").alias("term")).join(rare, "term").select("term", "df_t", F.explode("vals").alias("v"))
+    pairs = pairs.groupBy("v", "term").agg(F.count("*").alias("both"), F.max("df_t").alias("df_t"))
     ic = F.log2(n / F.col("df_e"))
     pmi = F.log2(F.col("both") * n / (F.col("df_e") * F.col("df_t")))
-    joined = pairs.join(values, ["kind", "value"]).join(seen, "term")
-    return joined.where((ic > 0) & (pmi >= disclosure * ic)).groupBy("term").agg(F.min("kind").alias("kind"))
+    return pairs.join(values, "v").where((ic > 0) & (pmi >= disclosure * ic - 1e-9)).groupBy("term").agg(F.min("v.kind").alias("kind"))
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -97,8 +89,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     ``spans`` adds, as kind ``term``, the words that disclose a protected value
     of the corpus, in every document that has them. A null text is empty. The
     result of a row depends on its text alone besides the corpus counts, so
-    null ids and repeated rows need no care; repeated rows count as often as
-    they occur. Columns ``base``, ``spans`` and ``terms`` are replaced.
+    null ids and repeated rows need no care; repeated texts count once. Columns ``base``, ``spans`` and ``terms`` are replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     by_kind = base_spans(text)
@@ -107,10 +98,11 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     hits = docs.select(F.md5(text).alias("key"), fixed(F.array_distinct(_terms(text))).alias("t")).select("key", F.explode("t").alias("term")).join(terms, "term")
     held = stored(hits.groupBy("key").agg(F.collect_set("term").alias("terms")), "pii-held").withColumnRenamed("key", "__key")
     df = docs.drop("terms").join(held, F.md5(text) == F.col("__key"), "left").drop("__key")
-    term = F.filter(match_spans(text, r"\p{L}{2,}", "term", len(KINDS)), lambda s: F.array_contains(F.col("terms"), F.lower(s["hit"])))
-    df = df.withColumn("base", F.struct(*[c.alias(k) for k, c in by_kind.items()])).withColumn("__t", F.when(F.col("terms").isNotNull(), term).otherwise(no_spans()))
-    everything = F.concat(*[F.col(f"base.{k}") for k in KINDS], F.filter("__t", lambda t: ~F.exists(F.concat(*[F.col(f"base.{k}") for k in KINDS]), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))))
-    return df.withColumn("spans", everything).drop("__t", "terms")
+    term = match_spans(text, r"\p{L}{2,}", "term", len(KINDS), lambda hit: F.array_contains(F.col("terms"), F.lower(hit)))
+    df = df.withColumn("base", fixed(F.struct(*[c.alias(k) for k, c in by_kind.items()]))).withColumn("__t", fixed(F.when(F.col("terms").isNotNull(), term).otherwise(no_spans())))
+    df = df.withColumn("__b", fixed(F.concat(*[F.col(f"base.{k}") for k in KINDS])))
+    everything = F.concat("__b", F.filter("__t", lambda t: ~F.exists("__b", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))))
+    return df.withColumn("spans", everything).drop("__t", "__b", "terms")
 
 
 def sanitised(docs: DataFrame, text_col: str = "text") -> DataFrame:

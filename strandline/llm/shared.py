@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,13 +54,13 @@ def fixed(value: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, value)
 
 
-def match_spans(text: Column, pattern: str, kind: str, rank: int) -> Column:
+def match_spans(text: Column, pattern: str, kind: str, rank: int, keep: Callable[[Column], Column] | None = None) -> Column:
     """Every match of ``pattern`` as struct(start, rank, end, kind, hit), by start.
 
     Matches are leftmost and non-overlapping. The pieces between the matches
     and the matches themselves alternate, so running sums of their lengths are
     the positions (code points, end exclusive). The pattern matches no empty
-    string.
+    string. Of the matches, those are returned whose text passes ``keep``.
     """
     gaps = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -70,7 +71,8 @@ def match_spans(text: Column, pattern: str, kind: str, rank: int) -> Column:
         start = state["at"] + piece["gap"]
         end = start + F.char_length(piece["hit"])
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), piece["hit"].alias("hit"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+        spans = F.concat(state["spans"], F.array(span))
+        return F.struct(end.alias("at"), (F.when(keep(piece["hit"]), spans).otherwise(state["spans"]) if keep else spans).alias("spans"))
 
     return F.aggregate(pieces, zero, step)["spans"]
 

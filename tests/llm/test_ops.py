@@ -167,6 +167,31 @@ def test_pii(docs, none, spark):
     assert pii.scan(none).collect() == []
 
 
+def test_pii_terms_of_values_seen_once(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(60)) for _ in range(200)]
+    texts[7] = "quagmirella " + texts[7] + " reach jon@corp.example.com " + texts[8] + " zanzibarius"  # one value, terms far off
+    texts[9] += " mail ann@corp.example.com"
+    texts[11] += " mail ann@corp.example.com"
+    texts += [texts[7]] * 4 + [texts[9]] * 30 + [f"{texts[20]} sometimes {i}" for i in range(20)]
+    texts[12] += " sometimes 10.1.2.3"
+    got = pii.scan(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    base = {i: {s.hit.lower() for k in pii.KINDS for s in r.base[k]} for i, r in enumerate(got)}
+    one = {r.text: (base[i], set(re.findall(r"[^\W\d_]{2,}", r.text.lower()))) for i, r in enumerate(got)}
+    values, terms = Counter(v for b, _ in one.values() for v in b), Counter(t for _, ts in one.values() for t in ts)
+    both = Counter((v, t) for b, ts in one.values() for v in b for t in ts)
+    n, want = len(one), set()
+    for (v, t), c in both.items():
+        ic = math.log2(n / values[v])
+        if math.log2(c * n / (values[v] * terms[t])) >= pii.DISCLOSURE * ic:
+            want.add(t)
+    assert {"quagmirella", "zanzibarius", "mail"} <= want and not want & {*WORDS, "sometimes"}
+    for r in got:
+        spans = {s.hit for s in r.spans if s.kind == "term"}
+        assert all(t in want for t in spans) and ("zanzibarius" in spans) == ("zanzibarius" in r.text)
+        assert ("mail" in spans) == (" mail " in r.text)
+
+
 def test_packing(docs, none):
     path = queries.vocabulary()
     rows = packing.packed(docs, path).collect()
