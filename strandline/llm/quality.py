@@ -46,9 +46,11 @@ def exploded_buckets(df: DataFrame, text: Column, *keep: str, buckets: int = BUC
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> list[float]:
-    """log(p_target / p_raw) per bucket, each multinomial with one count added per bucket.
+    """log(p_target / p_raw) per bucket; 0 where the raw documents have nothing.
 
-    Raw counts cover all documents. The target is fitted on a sample of
+    The target has ``buckets`` pseudo-counts, dealt in proportion to the raw
+    counts, so what the trusted documents say little about stays near ratio 0,
+    and without trusted documents every ratio is 0. Raw counts cover all documents. The target is fitted on a sample of
     ``trusted`` ids of at most TRUSTED, so that they can be broadcast and no
     text is shuffled. Counting is one partial aggregation onto at most
     ``buckets`` keys, so what reaches the driver is bounded.
@@ -57,12 +59,11 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     slim = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
     marked = slim.join(F.broadcast(ids.withColumn("__good", F.lit(1))), F.col("__doc") == F.col("__id"), "left").select("__text", F.coalesce("__good", F.lit(0)).cast("long").alias("__good"))
     counts = exploded_buckets(marked, F.col("__text"), "__good", buckets=buckets)
-    r, g = [1] * buckets, [1] * buckets
+    r, g = [0] * buckets, [0] * buckets
     for row in counts.groupBy("b").agg(F.count("*").alias("raw"), F.sum("__good").alias("good")).collect():  # at most ``buckets`` rows
-        r[row.b] += row.raw
-        g[row.b] += row.good
-    all_r, all_g = math.log(sum(r)), math.log(sum(g))
-    return [math.log(y) - all_g - math.log(x) + all_r for x, y in zip(r, g, strict=True)]
+        r[row.b], g[row.b] = row.raw, row.good
+    all_r, all_g = max(sum(r), 1), sum(g)
+    return [math.log((y + buckets * x / all_r) / (all_g + buckets) / (x / all_r)) if x else 0.0 for x, y in zip(r, g, strict=True)]
 
 
 def rule_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -99,7 +100,8 @@ def judged(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     """``docs`` with ``rules``, ``base_failed``, ``log_ratio`` (mean per n-gram) and ``kept``.
 
     A document is kept if it passes the rules and its mean log ratio is at least
-    ``threshold``. One without tokens has ratio 0, and the rules reject it.
+    ``threshold``. One without tokens has ratio 0, and the rules reject it. If
+    no document is trusted, all ratios are 0 and the rules alone decide.
     Null ids are judged like others but are never trusted; repeated rows count
     as often as they occur. Columns named like the new ones are replaced.
     """

@@ -76,6 +76,20 @@ def test_quality(docs, none, spark):
     assert quality.judged(none, trusted, buckets=64).collect() == []
 
 
+def test_quality_with_few_or_no_trusted(docs, none, spark):
+    empty = spark.createDataFrame([], "doc_id long")
+    for trusted in (empty, spark.createDataFrame([(None,), (987654,)], "doc_id long")):  # none that there is
+        rows = quality.judged(docs, trusted).collect()
+        assert all(abs(r.log_ratio) < 1e-9 and r.kept == (not r.base_failed) for r in rows) and any(r.kept for r in rows)
+    assert quality.judged(none, empty).collect() == []
+    # one trusted text is little evidence, many are much
+    mixed = spark.createDataFrame([(i, " ".join(f"{'ab'[i % 2]}{(i * 31 + k * k) % 97}" for k in range(60))) for i in range(400)], "doc_id long, text string")
+    few = quality.judged(mixed, spark.createDataFrame([(0,)], "doc_id long")).collect()
+    assert all(r.kept for r in few if not r.base_failed)
+    many = quality.judged(mixed, spark.createDataFrame([(i,) for i in range(0, 400, 2)], "doc_id long"), buckets=4096).collect()
+    assert {r.doc_id % 2 for r in many if r.kept} == {0}
+
+
 def test_lm(docs, none):
     rows = docs.collect()
     train, contexts = Counter(), {}
