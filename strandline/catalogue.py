@@ -155,32 +155,49 @@ sql("region_emit_filter", "", "SELECT doc_id, item_id, qbeg, qend, len AS score
 sql("region_dedup", "", "SELECT DISTINCT a.doc_id, a.qbeg, a.qend FROM spans a LEFT JOIN spans b ON a.doc_id = b.doc_id AND (b.qend - b.qbeg > a.qend - a.qbeg OR (b.qend - b.qbeg = a.qend - a.qbeg AND b.qbeg < a.qbeg)) AND least(a.qend, b.qend) - greatest(a.qbeg, b.qbeg) > 0.95 * (a.qend - a.qbeg) WHERE b.doc_id IS NULL", k=8, parts=SMEMS)
 
 
-def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each best seed, 64 characters of the document and of the item from its beginning."""
-    spark_docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    best = _regions(spark, sf_dir).groupBy("doc_id").agg(F.max_by(F.struct("item_id", "qbeg", "rbeg"), F.struct("score", -F.col("item_id"), -F.col("qbeg"), -F.col("rbeg"))).alias("b")).select("doc_id", "b.*")
-    joined = best.join(spark_docs.select("doc_id", F.col("text").alias("q")), "doc_id").join(items.select("item_id", F.col("text").alias("t")), "item_id")
-    return joined.select("doc_id", "item_id", F.expr("substring(q, int(qbeg + 1), 64)").alias("q"), F.expr("substring(t, int(rbeg + 1), 64)").alias("t"))
+def _seeded(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """Every document with a seed: its id, whole text q, and all its seeds with the whole text t of each one's item."""
+    seeds = seeding.mem_hits(docs, items, k).join(items.select("item_id", F.col("text").alias("t")), "item_id")
+    seeds = seeds.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "qbeg", "rbeg", "len", "t")).alias("seeds"))
+    return seeds.join(docs.select("doc_id", F.col("text").alias("q")), "doc_id").select("doc_id", "q", "seeds")
 
 
-def _kernel(name: str, f: Callable[[str, str], tuple], schema: str) -> None:
-    names = [x.split()[0] for x in schema.split(", ")]
+def _local(q: str, seeds: list) -> list[tuple]:
+    """Each item that has a seed in the text, whole text against whole text."""
+    return [(i, *kernels.local_score(q, t)) for i, t in {s["item_id"]: s["t"] for s in seeds}.items()]
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        def batch(parts):
-            for p in parts:
-                jobs = p[["q", "t"]].drop_duplicates()  # equal jobs are worked out once
-                rows = pd.DataFrame([f(q, t) for q, t in zip(jobs["q"], jobs["t"], strict=True)], columns=names, index=jobs.index)
-                yield p.merge(pd.concat([jobs, rows], axis=1), on=["q", "t"])[["doc_id", "item_id", *names]]
 
-        return _windows(spark, sf_dir).mapInPandas(batch, f"doc_id long, item_id long, {schema}")
+def _extensions(q: str, seeds: list) -> list[tuple]:
+    """Each seed, extended both ways."""
+    every = ((s, kernels.extended_both(q, s["t"], s["qbeg"], s["rbeg"], s["len"])) for s in seeds)
+    return [(s["item_id"], s["qbeg"], s["rbeg"], s["len"], score, qb, qe - qb, rb, re_ - rb) for s, (score, qb, qe, rb, re_) in every]
 
-    QUERIES[name] = run
+
+def _cigars(q: str, seeds: list) -> list[tuple]:
+    """Each different region that a seed extends to, aligned from end to end."""
+    found = {(s["item_id"], *kernels.extended_both(q, s["t"], s["qbeg"], s["rbeg"], s["len"])[1:]): s["t"] for s in seeds}
+    return [(i, qb, qe, rb, re_, *kernels.global_cigar(q[qb:qe], t[rb:re_])) for (i, qb, qe, rb, re_), t in found.items()]
+
+
+def seed_kernel(docs: DataFrame, items: DataFrame, f: Callable[[str, list], list[tuple]], schema: str, k: int = 10) -> DataFrame:
+    """The rows of ``f(text, seeds)`` of every document with a seed, after its id."""
+    names = ["doc_id", *(x.split()[0] for x in schema.split(", "))]
+
+    def batch(parts):
+        for p in parts:
+            for d, q, seeds in zip(p["doc_id"], p["q"], p["seeds"], strict=True):
+                yield pd.DataFrame([(d, *row) for row in f(q, seeds)], columns=names)
+
+    return _seeded(docs, items, k).mapInPandas(batch, f"doc_id long, {schema}")
+
+
+def _kernel(name: str, f: Callable[[str, list], list[tuple]], schema: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: seed_kernel(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), f, schema)
 
 
-_kernel("local_sw", kernels.local_score, "score long, t_end long, q_end long")
-_kernel("extend_score", lambda q, t: kernels.extended(q[10:], t[10:], 10), "score long, t_taken long, q_taken long")
-_kernel("global_cigar", kernels.global_cigar, "cigar string, nm long, score long")
+_kernel("local_sw", _local, "item_id long, score long, t_end long, q_end long")
+_kernel("extend_score", _extensions, "item_id long, qbeg long, rbeg long, len long, score long, q_start long, q_taken long, t_start long, t_taken long")
+_kernel("global_cigar", _cigars, "item_id long, qbeg long, qend long, rbeg long, rend long, cigar string, nm long, score long")
 
 # Scores of numbers
 _MAPQ_ARGS = "CAST(50 + l_partkey % 100 AS DOUBLE) AS span, CAST(40 + (l_orderkey + l_partkey) % 61 AS DOUBLE) AS score, CAST(CASE WHEN l_linenumber % 3 = 0 THEN 0 ELSE 20 + l_suppkey % 60 END AS DOUBLE) AS sub, CAST(l_linenumber % 4 AS DOUBLE) AS sub_n, l_discount AS frac_rep"

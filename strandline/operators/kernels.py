@@ -17,12 +17,12 @@ def local_score(query: str, target: str) -> tuple[int, int, int]:
     """Best local score with affine gaps, and the ends (exclusive) in target and query; ties take the first end."""
     q, t = codes(query), codes(target)
     best = (0, 0, 0)
-    h, e = np.zeros(len(q) + 1, np.int64), np.zeros(len(q) + 1, np.int64)
-    steps = np.arange(len(q) + 1) * EXTEND
+    h, e = np.zeros(len(q) + 1, np.int32), np.zeros(len(q) + 1, np.int32)
+    steps = np.arange(len(q) + 1, dtype=np.int32) * EXTEND
     for i, c in enumerate(t, 1):
         e[1:] = np.maximum(e[1:], h[1:] - OPEN) - EXTEND
         np.maximum(e, 0, out=e)
-        m = np.zeros(len(q) + 1, np.int64)
+        m = np.zeros(len(q) + 1, np.int32)
         m[1:] = np.where(q == c, h[:-1] + MATCH, h[:-1] - MISMATCH)
         m = np.maximum(np.maximum(m, e), 0)
         # a gap in the target reaches column j from the best m[k] - OPEN - EXTEND * (j - k), k < j
@@ -63,21 +63,36 @@ def extended(query: str, target: str, start: int, zdrop: int = 100) -> tuple[int
     return best
 
 
+def reach(length: int, start: int) -> int:
+    """Most characters that an extension from score ``start`` takes of one text, if the other has ``length``: beyond them no score is above 0."""
+    return 2 * MATCH * length + start
+
+
+def extended_both(query: str, target: str, qbeg: int, rbeg: int, size: int) -> tuple[int, int, int, int, int]:
+    """A seed extended to the left, then from that score to the right: score, and begins and ends in query and target."""
+    score, dt, dq = extended(query[max(0, qbeg - reach(rbeg, size)) : qbeg][::-1], target[max(0, rbeg - reach(qbeg, size)) : rbeg][::-1], size)
+    qend, rend = qbeg + size, rbeg + size
+    right_q, right_t = len(query) - qend, len(target) - rend
+    score, et, eq = extended(query[qend : qend + reach(right_t, score)], target[rend : rend + reach(right_q, score)], score)
+    return score, qbeg - dq, qend + eq, rbeg - dt, rend + et
+
+
 def global_cigar(query: str, target: str) -> tuple[str, int, int]:
     """(CIGAR of M, I and D, edit distance, score) of a global alignment; gaps as far left as can be."""
     q, t = codes(query), codes(target)
     n, m, low = len(q), len(t), -(10**9)
-    h = np.full((m + 1, n + 1), low)
+    h = np.full((m + 1, n + 1), low, np.int32)
     e, f = h.copy(), h.copy()  # e: gap in the query (D), f: gap in the target (I)
+    steps = np.arange(n + 1, dtype=np.int32) * EXTEND
+    h[0] = -OPEN - steps
     h[0, 0] = 0
-    for j in range(1, n + 1):
-        f[0, j] = h[0, j] = -OPEN - EXTEND * j
+    f[0, 1:] = h[0, 1:]
     for i in range(1, m + 1):
-        e[i, 0] = h[i, 0] = -OPEN - EXTEND * i
-        for j in range(1, n + 1):
-            e[i, j] = max(e[i - 1, j], h[i - 1, j] - OPEN) - EXTEND
-            f[i, j] = max(f[i, j - 1], h[i, j - 1] - OPEN) - EXTEND
-            h[i, j] = max(h[i - 1, j - 1] + (MATCH if q[j - 1] == t[i - 1] else -MISMATCH), e[i, j], f[i, j])
+        e[i] = np.maximum(e[i - 1], h[i - 1] - OPEN) - EXTEND
+        h[i] = e[i]
+        h[i, 1:] = np.maximum(h[i - 1, :-1] + np.where(q == t[i - 1], MATCH, -MISMATCH), e[i, 1:])
+        f[i, 1:] = np.maximum.accumulate(h[i] + steps)[:-1] - OPEN - steps[1:]
+        h[i, 1:] = np.maximum(h[i, 1:], f[i, 1:])
     ops, i, j, state, edits = [], m, n, "M", 0
     while i or j:
         if state == "M":

@@ -64,6 +64,22 @@ def test_kernels():
         assert kernels.local_score(q, t)[0] == best, h
 
 
+def test_kernels_take_every_seed_both_ways(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(n))
+    items = [(0, word(300)), (1, word(200))]
+    changed = items[0][1][:150] + "?" + items[0][1][151:]  # a mismatch in the middle
+    text = word(90) + changed + word(50) + items[1][1][:120] + items[1][1][125:] + word(40)  # and five characters left out
+    docs = spark.createDataFrame([(5, text), (6, word(100)), (7, items[1][1])], "doc_id long, text string")
+    refs = spark.createDataFrame(items, "item_id long, text string")
+    run = lambda name: catalogue.seed_kernel(docs, refs, *{"sw": (catalogue._local, "item_id long, score long, t_end long, q_end long"), "ext": (catalogue._extensions, "item_id long, qbeg long, rbeg long, len long, score long, q_start long, q_taken long, t_start long, t_taken long"), "cigar": (catalogue._cigars, "item_id long, qbeg long, qend long, rbeg long, rend long, cigar string, nm long, score long")}[name]).collect()
+    second = 90 + 300 + 50
+    assert {tuple(r) for r in run("sw")} == {(5, 0, 295, 300, 390), (5, 1, 195 - 6 - 5, 200, second + 195), (7, 1, 200, 200, 200)}
+    assert {tuple(r)[:2] + tuple(r)[2:4] + tuple(r)[5:] for r in run("ext")} == {(5, 0, 90, 0, 295, 90, 300, 0, 300), (5, 0, 241, 151, 295, 90, 300, 0, 300), (5, 1, second, 0, 184, second, 195, 0, 200), (5, 1, second + 120, 125, 184, second, 195, 0, 200), (7, 1, 0, 0, 200, 0, 200, 0, 200)}
+    assert {tuple(r) for r in run("cigar")} == {(5, 0, 90, 390, 0, 300, "300M", 1, 295), (5, 1, second, second + 195, 0, 200, "120M5D75M", 5, 184), (7, 1, 0, 200, 0, 200, "200M", 0, 200)}
+    assert catalogue.seed_kernel(docs.limit(0), refs, catalogue._local, "item_id long, score long, t_end long, q_end long").collect() == []
+
+
 def test_reader(spark, tmp_path: Path):
     text = "@a/1 one two\nAC\nGT\n+\nII\nII\n>b\nACNNNGT\r\nNA\n"
     (tmp_path / "x.fq").write_text(text)
