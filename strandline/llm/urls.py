@@ -23,10 +23,8 @@ RULES = (
 )
 #: The item that marks a labelled page as unwanted.
 BAD = "label:bad"
-#: Least share of labelled pages that a token set covers, and of its pages that are unwanted.
-SUPPORT, CONFIDENCE = 0.001, 0.8
-#: Most tokens in a rule.
-MOST = 3
+#: Unwanted labelled pages that a token set needs, whatever their total, and the least share of its pages that are unwanted.
+SUPPORT, CONFIDENCE = 5, 0.8
 
 
 def host_of(url: Column) -> Column:
@@ -61,24 +59,29 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.when(host == "", F.concat(segments, keys)).otherwise(F.concat(suffixes, words, segments, keys)))
 
 
-def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, most: int = MOST) -> DataFrame:
+def mined(labelled: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(tokens, anchor, confidence, support) of the rules tokens -> unwanted, from ``labelled(url, bad)``.
 
-    A rule is dropped if a rule with fewer of its tokens has at least its
-    confidence. Labelled rows with a null url or label are left out.
+    A rule needs ``support`` unwanted pages and may have any number of tokens.
+    It is dropped if a rule with one token less has at least its confidence,
+    which matches all its pages. Labelled rows with a null url or label are
+    left out. Tokens of too few unwanted pages are in no rule and not mined.
     """
-    rows = labelled.where("url is not null and bad is not null").select(F.concat(tokens_of(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    rows = stored(rows.where(F.size("items") > 0), "url-items")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(rows)
-    sets = model.freqItemsets
-    found = sets.where(F.array_contains("items", BAD) & F.size("items").between(2, most + 1)).select(F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.col("freq").alias("bad"))
-    whole = sets.where(~F.array_contains("items", BAD) & (F.size("items") <= most)).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("all"))
+    rows = labelled.where("url is not null and bad is not null").select(tokens_of(F.col("url")).alias("tokens"), "bad")
+    rows = stored(rows.where(F.size("tokens") > 0), "url-items").withColumn("row", F.monotonically_increasing_id())
+    often = rows.where("bad").select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= support).select("token")
+    items = stored(rows.select("row", "bad", F.explode("tokens").alias("token")).join(often, "token").groupBy("row", "bad").agg(F.collect_list("token").alias("t")), "url-frequent")
+    items = items.select(F.concat("t", F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    # half a page less, so that rounding doesn't ask for one more
+    share = min(1.0, (support - 0.5) / max(items.count(), 1))
+    sets = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(items).freqItemsets.where(F.col("freq") >= support)
+    found = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.col("freq").alias("bad"))
+    whole = sets.where(~F.array_contains("items", BAD)).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("all"))
     one = whole.where(F.size("tokens") == 1).select(F.col("tokens")[0].alias("token"), F.col("all").alias("n"))
     rules = stored(found.join(whole, "tokens").withColumn("confidence", F.col("bad") / F.col("all")).where(F.col("confidence") >= confidence), "url-rules")
-    smaller = rules.select(F.col("tokens").alias("fewer"), F.col("confidence").alias("c"))
-    part = rules.select("tokens", "confidence", F.explode("tokens").alias("token")).join(smaller.select("fewer", "c", F.explode("fewer").alias("token")), "token")
-    part = part.where((F.size("fewer") < F.size("tokens")) & (F.size(F.array_except("fewer", "tokens")) == 0) & (F.col("c") >= F.col("confidence"))).select("tokens").distinct()
-    kept = rules.join(part, "tokens", "left_anti")
+    fewer = rules.select(F.col("tokens").alias("fewer"), F.col("confidence").alias("c"))
+    less = rules.where(F.size("tokens") > 1).select("tokens", "confidence", F.explode(F.transform("tokens", lambda x: F.array_remove("tokens", x))).alias("fewer"))
+    kept = rules.join(less.join(fewer, "fewer").where(F.col("c") >= F.col("confidence")).select("tokens").distinct(), "tokens", "left_anti")
     rarest = kept.select("tokens", F.explode("tokens").alias("token")).join(one, "token").groupBy("tokens").agg(F.min_by("token", F.struct("n", "token")).alias("anchor"))
     return kept.join(rarest, "tokens").select("tokens", "anchor", "confidence", F.col("bad").alias("support"))
 

@@ -253,6 +253,21 @@ def test_urls(spark):
     assert {r.verdict for r in urls.judged(pages.where("page_id >= 1000"), labels.limit(0)).collect()} == {"allow"}
 
 
+def test_url_rules_need_a_number_of_pages_not_a_share(spark):
+    good = [(f"http://ok{i % 50}.example.biz/x/{i}", False) for i in range(9000)]
+    spam = [(f"http://spam.example.biz/x/{i}", True) for i in range(6)] + [(f"http://rare.example.biz/x/{i}", True) for i in range(4)]
+    # four tokens that are only together unwanted
+    parts = ["aa", "bb", "cc", "dd"]
+    spam += [(f"http://h.example.biz/{'/'.join(parts)}", True)] * 8 + [(f"http://h.example.biz/{'/'.join(p for p in parts if p != gone)}", False) for gone in parts for _ in range(8)]
+    frame = spark.createDataFrame(good + spam, "url string, bad boolean")
+    rules = {tuple(r.tokens): (r.confidence, r.support) for r in urls.mined(frame).collect()}
+    assert rules[("word:spam",)] == (1.0, 6) and rules[tuple(f"path:{p}" for p in parts)] == (1.0, 8)
+    assert not any("rare" in t for tokens in rules for t in tokens)
+    assert {r.url for r in urls.matched(frame.select("url"), urls.mined(frame)).collect()} == {u for u, bad in spam if bad and "rare" not in u}
+    few = frame.where("url like '%spam%' or url like '%rare%'")
+    assert not any("rare" in t for r in urls.mined(few).collect() for t in r.tokens)  # nor where labels are few
+
+
 def _fingerprint(text):
     w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     h = [simhash.xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))] if w else []
