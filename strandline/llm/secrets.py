@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import match_spans, no_spans, replaced
+from strandline.llm.shared import fixed, match_spans, no_spans, replaced
 
 # The kinds in their order, their patterns and least lengths.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -13,15 +13,16 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex")
 
-#: Candidate strings of the entropy scan, and those that are benign whatever their entropy.
+#: Candidate strings of the entropy scan, and those that are benign as a whole.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+WORD = r"([A-Z]?[a-z]+[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[0-9]{1,8})"
 ALLOW = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",  # UUID
-    r"(?i)example|placeholder|changeme|x{6,}|0{8,}",
-    r"(?i)abcdefghij|0123456789|qwertyuiop",
     r"^[0-9_+/=-]+$|^[A-Za-z_+/=-]+$",  # no letters or no digits
-    r"/.*/.*/",  # paths
+    rf"^/?{WORD}([_-]{WORD})*(/{WORD}([_-]{WORD})*){{2,}}/?$",  # paths of words
 )
+#: Parts that are benign themselves, but not what stands beside them.
+FILLER = r"(?i)example|placeholder|changeme|x{6,}|0{8,}|abcdefghij|0123456789|qwertyuiop"
 #: Window in characters, and per character class the entropy in bits that a window must reach.
 SPAN, LEAST = 20, {"hex": 2.9, "lower": 3.75, "mixed": 3.85}
 #: The alphabet whose counts the window keeps.
@@ -61,20 +62,39 @@ def window_entropy(s: Column, span: int = SPAN) -> Column:
 
 
 def _suspicious(s: Column) -> Column:
-    benign = F.lit(False)
-    for pattern in ALLOW:
-        benign = benign | s.rlike(pattern)
-    kind = _class(s)
-    least = F.when(kind == "hex", LEAST["hex"]).when(kind == "lower", LEAST["lower"]).otherwise(LEAST["mixed"])
-    return F.when(benign, False).otherwise(window_entropy(s) >= least)
+    """Whether a piece of at least a window between the fillers of ``s`` has a window of high entropy."""
+    benign = lambda x: F.exists(F.array(*[x.rlike(pattern) for pattern in ALLOW]), lambda hit: hit)
+
+    def high(piece: Column) -> Column:
+        kind = _class(piece)
+        least = F.when(kind == "hex", LEAST["hex"]).when(kind == "lower", LEAST["lower"]).otherwise(LEAST["mixed"])
+        return F.when((F.char_length(piece) < SPAN) | benign(piece), False).otherwise(window_entropy(piece) >= least)
+
+    return F.when(benign(s), False).otherwise(F.exists(F.split(s, FILLER), high))
+
+
+def _uncovered(h: Column, base: Column) -> Column:
+    """The parts of the span ``h`` that no span of ``base`` covers; what stands before an assignment must be suspicious by itself."""
+
+    def part(start: Column, end: Column) -> Column:
+        return F.struct(start.alias("start"), h["rank"].alias("rank"), end.alias("end"), h["kind"].alias("kind"), F.substring(h["hit"], start - h["start"] + 1, end - start).alias("hit"))
+
+    def step(z: Column, b: Column) -> Column:
+        before = part(z["at"], b["start"])
+        keep = (b["start"] > z["at"]) & F.when(b["kind"] == "assign", _suspicious(before["hit"])).otherwise(True)
+        return F.struct(F.greatest(z["at"], b["end"]).alias("at"), F.when(keep, F.concat(z["parts"], F.array(before))).otherwise(z["parts"]).alias("parts"))
+
+    inside = F.filter(base, lambda b: (b["start"] < h["end"]) & (h["start"] < b["end"]))
+    zero = F.struct(h["start"].alias("at"), no_spans().alias("parts"))
+    return F.aggregate(inside, zero, step, lambda z: F.when(z["at"] < h["end"], F.concat(z["parts"], F.array(part(z["at"], h["end"])))).otherwise(z["parts"]))
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``base`` and ``spans``: sorted arrays of struct(start, rank, end, kind, hit).
 
     ``base`` has the fixed kinds; ``spans`` has these and, as kind ``entropy``,
-    candidate strings of high window entropy that no allow-list pattern covers
-    and no base span overlaps. Positions are code points of the whole text.
+    candidate strings of high window entropy that the allow list doesn't have,
+    without what base spans cover of them. Positions are code points of the whole text.
     A null text is empty; rows are independent, so repeated rows and null ids
     need no care. Columns ``base`` and ``spans`` of the input are replaced.
     """
@@ -84,8 +104,8 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     access = F.when(text.contains("AKIA"), match_spans(text, ACCESS, "access", 1)).otherwise(no_spans())
     hexes = F.when(text.rlike(HEX), match_spans(text, HEX, "hex", 2)).otherwise(no_spans())
     high = F.when(text.rlike(CANDIDATE), F.filter(match_spans(text, CANDIDATE, "entropy", 3), lambda s: _suspicious(s["hit"]))).otherwise(no_spans())
-    found = docs.withColumn("base", F.array_sort(F.concat(assign, access, hexes))).withColumn("__high", high)
-    apart = F.filter(F.col("__high"), lambda h: ~F.exists(F.col("base"), lambda b: (b["start"] < h["end"]) & (h["start"] < b["end"])))
+    found = docs.withColumn("base", fixed(F.array_sort(F.concat(assign, access, hexes)))).withColumn("__high", fixed(high))
+    apart = F.flatten(F.transform("__high", lambda h: _uncovered(h, F.col("base"))))
     return found.withColumn("spans", F.array_sort(F.concat("base", apart))).drop("__high")
 
 

@@ -49,6 +49,22 @@ def test_secrets(docs, none):
     assert secrets.redacted(none).collect() == []
 
 
+def test_secrets_of_any_length(spark):
+    rng = random.Random(12)
+    base64 = secrets.ALPHABET[:64]
+    key = lambda n: "".join(rng.choice(base64) for _ in range(n))
+    keys = [f"{key(n)}/{key(9)}/{key(9)}/{key(9)}7" for n in (20, 56, 100, 220, 320) for _ in range(6)]
+    keys += [key(30) + "9" + filler + key(30) for filler in ("xxxxxxx", "00000000", "example", "0123456789")]
+    benign = ["/usr/share/doc2/python3/examples/readme", "src/main/java/org/app_v2/Parser/index10", "0f8fad5b-d9cb-469f-a165-70867728950e", "x" * 40 + "1", "exampleexample0123456789", "0123456789qwertyuiop"]
+    left, right = "Zk3Qp9Xw7RtYs5Lm2VnB", "Hg6Jd4Kf8Sa1Po0IuYtR"
+    split = [f"{left}0123deadbeefcafe9876{right}", f"{left}AKIA{'B7' * 8}_{right}", f"{left}_password={right}"]
+    rows = spark.createDataFrame([(i, f"is {t} so") for i, t in enumerate(keys + benign + split)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redacted(rows).collect()}
+    assert all(got[i] == "is [entropy] so" for i in range(len(keys)))
+    assert all(got[len(keys) + i] == f"is {t} so" for i, t in enumerate(benign))
+    assert [got[len(keys) + len(benign) + i] for i in range(3)] == ["is [entropy][hex][entropy] so", "is [entropy][access][entropy] so", "is [entropy][assign] so"]
+
+
 def test_window_entropy(spark):
     rng = random.Random(2)
     texts = ["".join(rng.choice(secrets.ALPHABET[: rng.randint(1, 60)]) for _ in range(rng.randint(1, 70))) for _ in range(40)]
