@@ -37,18 +37,31 @@ def mem_hits(reads: DataFrame, refs: DataFrame, k: int, read_key: str = "doc_id"
 def round_three(reads: DataFrame, refs: DataFrame, k: int, most: int, read_key: str = "doc_id", text: str = "text") -> DataFrame:
     """(read, qbeg, qend, hits): the forward walk that emits at the first end with fewer than ``most`` places.
 
-    Occurrence counts of every substring of k+1 characters or more come from the
-    k+1-mers; the walk restarts after what it emits. Reads are walked where
-    their counts have been gathered, one read's k-mers at a time.
+    From a place, the walk tries ends from k+1 characters on until one has fewer
+    than ``most`` places; it emits this match if it has any place, and restarts
+    after it either way. Where the k+1-mer has ``most`` places or more, the
+    maximal matches over it tell the end: it is one behind the ``most``-th
+    farthest of theirs. Reads are walked where their counts have been gathered,
+    one read's places at a time.
     """
     grams = kmers(refs, refs.columns[0], text, k + 1).groupBy("kmer").agg(F.count("*").alias("n"))
-    spots = kmers(reads, read_key, text, k + 1).join(grams.where(F.col("n") < most), "kmer")
-    starts = spots.groupBy(read_key).agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("s"))
-    zero = F.struct(F.lit(0).cast("long").alias("next"), F.array().cast("array<struct<qbeg:bigint,n:bigint>>").alias("out"))
+    spots = kmers(reads, read_key, text, k + 1).join(grams, "kmer").select(read_key, "pos", "n")
+    short = spots.where(F.col("n") < most).select(read_key, "pos", (F.col("pos") + k + 1).alias("end"), "n")
+    hot = spots.where(F.col("n") >= most).select(read_key, "pos")
+    mems = mem_hits(reads.join(hot.select(read_key).distinct(), read_key, "left_semi"), refs, k + 1, read_key, refs.columns[0], text)
+    over = mems.select(read_key, "qend", F.explode(F.sequence("qbeg", F.col("qend") - k - 1)).alias("pos")).join(hot, [read_key, "pos"])
+    ends = over.groupBy(read_key, "pos", "qend").agg(F.count("*").alias("c"))
+    farther = F.sum("c").over(Window.partitionBy(read_key, "pos").orderBy(F.desc("qend")))
+    ends = ends.withColumn("upto", farther).where(F.col("upto") >= most).groupBy(read_key, "pos").agg(F.max(F.struct("qend", (F.col("upto") - F.col("c")).alias("n"))).alias("e"))
+    every = short.unionByName(ends.select(read_key, "pos", (F.col("e.qend") + 1).alias("end"), F.col("e.n").alias("n")))
+    starts = every.groupBy(read_key).agg(F.array_sort(F.collect_list(F.struct("pos", "end", "n"))).alias("s"))
+    zero = F.struct(F.lit(0).cast("long").alias("next"), F.array().cast("array<struct<pos:bigint,end:bigint,n:bigint>>").alias("out"))
 
     def step(z, x):
-        hit = x["pos"] >= z["next"]
-        return F.struct(F.when(hit, x["pos"] + k + 1).otherwise(z["next"]).alias("next"), F.when(hit, F.concat(z["out"], F.array(F.struct(x["pos"].alias("qbeg"), x["n"].alias("n"))))).otherwise(z["out"]).alias("out"))
+        # without any place, the walk goes on by k+1 characters
+        at = z["next"] + F.greatest(F.lit(0), F.ceil((x["pos"] - z["next"]) / (k + 1))) * (k + 1)
+        hit = at == x["pos"]
+        return F.struct(F.when(hit, x["end"]).otherwise(at).alias("next"), F.when(hit & (x["n"] > 0), F.concat(z["out"], F.array(x))).otherwise(z["out"]).alias("out"))
 
     walked = starts.select(read_key, F.explode(F.aggregate("s", zero, step)["out"]).alias("w"))
-    return walked.select(read_key, F.col("w.qbeg").alias("qbeg"), (F.col("w.qbeg") + k + 1).alias("qend"), F.col("w.n").alias("hits"))
+    return walked.select(read_key, F.col("w.pos").alias("qbeg"), F.col("w.end").alias("qend"), F.col("w.n").alias("hits"))

@@ -34,6 +34,27 @@ def test_mem_hits_against_brute_force(spark):
     assert len(rows) == len(set(rows)) and set(rows) == want
 
 
+def test_round_three_extends_common_places(spark):
+    rng = random.Random(8)
+    word = lambda n, letters="abcdef": "".join(rng.choice(letters) for _ in range(n))
+    common = word(60)
+    refs = [(i, word(rng.randint(0, 9)) + common[: rng.randint(20, 60)] + word(9)) for i in range(45)] + [(50 + i, word(300, "ab")) for i in range(3)] + [(60, "x" * 50)]
+    docs = [(0, word(7) + common + word(30)), (1, common[5:40]), (2, common), (3, word(400, "ab")), (4, "zz" + "x" * 70), (5, "x" * 60 + "zy"), (6, word(5)), (7, "x" * 20 + "b" + "x" * 12 + common * 2)]
+    docs += [(10 + i, "".join(rng.choice((common[:30], common[20:], word(11), refs[46][1][:50], "q")) for _ in range(12))) for i in range(10)]
+    k, most, want = 8, 20, set()
+    count = lambda s: sum(r.startswith(s, i) for _, r in refs for i in range(len(r) - len(s) + 1))
+    for d, text in docs:
+        x = 0
+        while x + k + 1 <= len(text):
+            end = next((e for e in range(x + k + 1, len(text) + 1) if count(text[x:e]) < most), len(text) + 1)
+            if end <= len(text) and count(text[x:end]):
+                want.add((d, x, end, count(text[x:end])))
+            x = end
+    got = [tuple(r) for r in seeding.round_three(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(refs, "item_id long, text string"), k, most).collect()]
+    assert max(e - b for _, b, e, _ in want) > k + 1
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 @pytest.mark.parametrize("case", [((100, 0, 100, 0, 0), 60), ((20, 0, 20, 0, 0), 6), ((100, 90, 100, 0, 0), 26), ((100, 90, 100, 2, 0), 21), ((100, 90, 100, 2, 0.25), 16), ((50, 45, 50, 0, 0), 18)])
 def test_mapq(spark, case):
     (score, sub, span, n, rep), want = case
