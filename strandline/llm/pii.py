@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import fixed, match_spans, no_spans, replaced, stored
+from strandline.llm.shared import bitmap, fixed, in_bitmap, let, match_spans, no_spans, replaced, running, stored, uncovered
 
 # Kinds in their order and patterns. The look-behinds only keep a failed
 # run from being tried again at each of its characters.
@@ -83,26 +83,47 @@ def disclosing_terms(found: DataFrame, text_col: str = "text", disclosure: float
     return pairs.join(values, "v").where((ic > 0) & (pmi >= disclosure * ic - 1e-9)).groupBy("term").agg(F.min("v.kind").alias("kind"))
 
 
+def _told(words: Column, terms: Column) -> Column:
+    """Those of the ``words`` (spans) whose hit in lower case is one of ``terms``, by start."""
+    # sorted by word, a term stands right before the words that it is
+    mark = lambda word, term, s: F.struct(word.alias("word"), term.isNull().alias("own"), term.alias("term"), s.alias("s"))
+    no_term, no_span = F.lit(None).cast("string"), F.lit(None).cast("struct<start:int,rank:int,end:int,kind:string,hit:string>")
+    events = F.array_sort(F.concat(F.transform(terms, lambda t: mark(t, t, no_span)), F.transform(words, lambda s: mark(F.lower(s["hit"]), no_term, s))))
+
+    def hits(e: Column) -> Column:
+        last = running(F.transform(e, lambda x: x["term"]), lambda x, y: F.coalesce(y, x), no_term)
+        kept = F.filter(F.zip_with(e, last, lambda x, t: F.struct(x.alias("x"), t.alias("t"))), lambda y: y["x"]["own"] & (y["x"]["word"] == y["t"]))
+        return F.array_sort(F.transform(kept, lambda y: y["x"]["s"]))
+
+    return let(events, hits)
+
+
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``base`` (a struct of sorted span arrays, by kind) and ``spans`` (all spans, by kind then start).
 
     ``spans`` adds, as kind ``term``, the words that disclose a protected value
     of the corpus, in every document that has them. A null text is empty. The
     result of a row depends on its text alone besides the corpus counts, so
-    null ids and repeated rows need no care; repeated texts count once. Columns ``base``, ``spans`` and ``terms`` are replaced.
+    null ids and repeated rows need no care; repeated texts count once. Columns
+    ``base``, ``spans`` and ``terms`` are replaced. Only texts that may have a
+    disclosing term are joined with their terms; the others stay where they are.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    by_kind = base_spans(text)
     plain = docs.select(text.alias("text")).withColumn("base", fixed(F.concat(*base_spans(F.col("text")).values())))
     terms = stored(disclosing_terms(plain), "pii-terms")
-    hits = docs.select(F.md5(text).alias("key"), fixed(F.array_distinct(_terms(text))).alias("t")).select("key", F.explode("t").alias("term")).join(terms, "term")
-    held = stored(hits.groupBy("key").agg(F.collect_set("term").alias("terms")), "pii-held").withColumnRenamed("key", "__key")
-    df = docs.drop("terms").join(held, F.md5(text) == F.col("__key"), "left").drop("__key")
-    term = match_spans(text, r"\p{L}{2,}", "term", len(KINDS), lambda hit: F.array_contains(F.col("terms"), F.lower(hit)))
-    df = df.withColumn("base", fixed(F.struct(*[c.alias(k) for k, c in by_kind.items()]))).withColumn("__t", fixed(F.when(F.col("terms").isNotNull(), term).otherwise(no_spans())))
+    rare = bitmap(terms.select(F.xxhash64("term").alias("h")))
+    words = docs.select(F.xxhash64(text).alias("key"), fixed(F.array_distinct(_terms(text))).alias("t")).withColumn("b", rare)
+    some = words.select("key", F.explode(F.filter("t", lambda t: in_bitmap(F.col("b"), F.xxhash64(t)))).alias("term"))
+    held = stored(some.join(terms, "term").groupBy("key").agg(F.collect_set("term").alias("terms")), "pii-held")
+    marked = docs.drop("terms").withColumn("__h", F.xxhash64(text)).withColumn("__m", bitmap(held.select(F.col("key").alias("h"))))
+    may = in_bitmap(F.col("__m"), F.col("__h"))
+    told = marked.where(may).join(held.withColumnRenamed("key", "__key"), F.col("__h") == F.col("__key"), "left").drop("__key")
+    df = told.unionByName(marked.where(~may).withColumn("terms", F.lit(None).cast("array<string>"))).drop("__h", "__m")
+    by_kind = base_spans(text)
+    term = F.when(F.col("terms").isNotNull(), _told(match_spans(text, r"\p{L}{2,}", "term", len(KINDS)), F.col("terms"))).otherwise(no_spans())
+    df = df.withColumn("base", fixed(F.struct(*[c.alias(k) for k, c in by_kind.items()]))).withColumn("__t", fixed(term))
     df = df.withColumn("__b", fixed(F.concat(*[F.col(f"base.{k}") for k in KINDS])))
-    everything = F.concat("__b", F.filter("__t", lambda t: ~F.exists("__b", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))))
-    return df.withColumn("spans", everything).drop("__t", "__b", "terms")
+    return df.withColumn("spans", F.concat("__b", uncovered(F.col("__t"), F.col("__b")))).drop("__t", "__b", "terms")
 
 
 def sanitised(docs: DataFrame, text_col: str = "text") -> DataFrame:

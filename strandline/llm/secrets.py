@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import fixed, match_spans, no_spans, replaced
+from strandline.llm.shared import fixed, let, match_spans, no_spans, replaced, running
 
 # The kinds in their order, their patterns and least lengths.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -73,20 +73,40 @@ def _suspicious(s: Column) -> Column:
     return F.when(benign(s), False).otherwise(F.exists(F.split(s, FILLER), high))
 
 
-def _uncovered(h: Column, base: Column) -> Column:
-    """The parts of the span ``h`` that no span of ``base`` covers; what stands before an assignment must be suspicious by itself."""
+def _uncovered(high: Column, base: Column) -> Column:
+    """The parts of the spans ``high`` that no span of ``base`` covers; what stands before an assignment must be suspicious by itself.
 
-    def part(start: Column, end: Column) -> Column:
-        return F.struct(start.alias("start"), h["rank"].alias("rank"), end.alias("end"), h["kind"].alias("kind"), F.substring(h["hit"], start - h["start"] + 1, end - start).alias("hit"))
+    Both are sorted by start, and ``high`` has no overlaps. Events in the order
+    of the text tell of each span how many of ``base`` start before its start
+    and before its end, and how far those before its start reach.
+    """
+    event = lambda at, turn, one, far: F.struct(at.alias("at"), turn.alias("turn"), one.alias("one"), far.alias("far"))
+    none = F.lit(0)
+    events = F.concat(
+        F.transform(base, lambda b: event(b["start"], F.lit(1), F.lit(1), b["end"])),
+        F.transform(high, lambda h: event(h["start"], F.lit(0), none, none)),
+        F.transform(high, lambda h: event(h["end"], F.lit(-1), none, none)),
+    )
+
+    def told(e: Column) -> Column:
+        seen = running(F.transform(e, lambda x: F.struct(x["one"].alias("n"), x["far"].alias("far"))), lambda x, y: F.struct((x["n"] + y["n"]).alias("n"), F.greatest(x["far"], y["far"]).alias("far")), F.struct(none.alias("n"), none.alias("far")))
+        both = F.zip_with(e, seen, lambda x, s: F.struct(x["turn"].alias("turn"), s["n"].alias("n"), s["far"].alias("far")))
+        return let(both, lambda z: F.zip_with(F.filter(z, lambda x: x["turn"] == 0), F.filter(z, lambda x: x["turn"] == -1), lambda a, b: F.struct(a["n"].alias("first"), (b["n"] - a["n"]).alias("n"), a["far"].alias("far"))))
+
+    def parts(h: Column, near: Column) -> Column:
+        part = lambda start, end: F.struct(start.alias("start"), h["rank"].alias("rank"), end.alias("end"), h["kind"].alias("kind"), F.substring(h["hit"], start - h["start"] + 1, end - start).alias("hit"))
+        inside = F.slice(base, near["first"] + 1, near["n"])
+        ends = lambda b: running(F.transform(b, lambda x: x["end"]), F.greatest, F.greatest(h["start"], near["far"]))
+
+        def cut(b: Column) -> Column:
+            kept = lambda x, at: (x["start"] > at) & F.when(x["kind"] == "assign", _suspicious(part(at, x["start"])["hit"])).otherwise(True)
+            before = F.filter(F.zip_with(b, ends(b), lambda x, at: F.when(kept(x, at), part(at, x["start"]))), lambda x: x.isNotNull())
+            last = F.greatest(h["start"], near["far"], F.array_max(F.transform(b, lambda x: x["end"])))
+            return F.concat(before, F.when(last < h["end"], F.array(part(last, h["end"]))).otherwise(no_spans()))
 
-    def step(z: Column, b: Column) -> Column:
-        before = part(z["at"], b["start"])
-        keep = (b["start"] > z["at"]) & F.when(b["kind"] == "assign", _suspicious(before["hit"])).otherwise(True)
-        return F.struct(F.greatest(z["at"], b["end"]).alias("at"), F.when(keep, F.concat(z["parts"], F.array(before))).otherwise(z["parts"]).alias("parts"))
+        return let(inside, cut)
 
-    inside = F.filter(base, lambda b: (b["start"] < h["end"]) & (h["start"] < b["end"]))
-    zero = F.struct(h["start"].alias("at"), no_spans().alias("parts"))
-    return F.aggregate(inside, zero, step, lambda z: F.when(z["at"] < h["end"], F.concat(z["parts"], F.array(part(z["at"], h["end"])))).otherwise(z["parts"]))
+    return F.when(F.size(high) > 0, F.flatten(F.zip_with(high, let(F.array_sort(events), told), parts))).otherwise(no_spans())
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -105,7 +125,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     hexes = F.when(text.rlike(HEX), match_spans(text, HEX, "hex", 2)).otherwise(no_spans())
     high = F.when(text.rlike(CANDIDATE), F.filter(match_spans(text, CANDIDATE, "entropy", 3), lambda s: _suspicious(s["hit"]))).otherwise(no_spans())
     found = docs.withColumn("base", fixed(F.array_sort(F.concat(assign, access, hexes)))).withColumn("__high", fixed(high))
-    apart = F.flatten(F.transform("__high", lambda h: _uncovered(h, F.col("base"))))
+    apart = _uncovered(F.col("__high"), F.col("base"))
     return found.withColumn("spans", F.array_sort(F.concat("base", apart))).drop("__high")
 
 
