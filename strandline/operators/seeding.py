@@ -65,3 +65,92 @@ def round_three(reads: DataFrame, refs: DataFrame, k: int, most: int, read_key:
 
     walked = starts.select(read_key, F.explode(F.aggregate("s", zero, step)["out"]).alias("w"))
     return walked.select(read_key, F.col("w.pos").alias("qbeg"), F.col("w.end").alias("qend"), F.col("w.n").alias("hits"))
+
+
+def matches(reads: DataFrame, kmer_table: DataFrame, k: int, read_key: str = "read_id", text: str = "seq") -> DataFrame:
+    """(read, rid, rev, qbeg, qend, rbeg) of the maximal exact matches with both strands of an index, ``kmer_table(kmer, rid, rev, rpos)``."""
+    hits = kmers(reads, read_key, text, k).withColumnRenamed("pos", "qpos").join(kmer_table, "kmer").withColumn("diag", F.col("qpos") - F.col("rpos"))
+    order = Window.partitionBy(read_key, "rid", "rev", "diag").orderBy("qpos")
+    isles = hits.withColumn("isle", F.col("qpos") - F.row_number().over(order))
+    return isles.groupBy(read_key, "rid", "rev", "diag", "isle").agg(F.min("qpos").alias("qbeg"), (F.max("qpos") + k).alias("qend"), F.min("rpos").alias("rbeg")).select(read_key, "rid", "rev", "qbeg", "qend", "rbeg")
+
+
+def maximal(mems: DataFrame, read_key: str = "read_id") -> DataFrame:
+    """(read, qbeg, qend, s): round 1, the intervals of a read that no other of its intervals contains, and how often each occurs."""
+    spans = mems.groupBy(read_key, "qbeg", "qend").agg(F.count("*").alias("s"))
+    far = F.max("qend").over(Window.partitionBy(read_key).orderBy("qbeg", F.desc("qend")).rowsBetween(Window.unboundedPreceding, -1))
+    return spans.withColumn("far", far).where("far is null or far < qend").drop("far")
+
+
+def reseeded(mems: DataFrame, first: DataFrame, k: int, split_len: int, split_width: int, read_key: str = "read_id") -> DataFrame:
+    """(read, qbeg, qend): round 2, for each long interval of ``first`` with few places, the maximal intervals through its middle that occur once more than it.
+
+    The t-th farthest end of the matches that cover a start is the end of the
+    longest interval from there with t places.
+    """
+    middles = first.where((F.col("qend") - F.col("qbeg") >= split_len) & (F.col("s") <= split_width)).select(F.col(read_key).alias("r"), (F.col("s") + 1).alias("t"), F.floor((F.col("qbeg") + F.col("qend")) / 2).alias("x"))
+    long = mems.join(middles.select(F.col("r").alias(read_key)).distinct(), read_key, "left_semi")
+    starts = long.select(F.col(read_key).alias("r0"), F.col("qbeg").alias("b")).distinct()
+    ends = starts.join(long, (F.col("r0") == F.col(read_key)) & (F.col("qbeg") <= F.col("b")) & (F.col("qend") >= F.col("b") + k)).select(read_key, F.col("b").alias("qbeg"), "qend")
+    ranked = ends.withColumn("t0", F.row_number().over(Window.partitionBy(read_key, "qbeg").orderBy(F.desc("qend")))).where(F.col("t0") <= split_width + 1)
+    prior = F.max("qend").over(Window.partitionBy(read_key, "t0").orderBy("qbeg").rowsBetween(Window.unboundedPreceding, -1))
+    bounds = ranked.withColumn("prior", prior).where("prior is null or prior < qend")
+    return bounds.join(middles, (F.col(read_key) == F.col("r")) & (F.col("t0") == F.col("t")) & (F.col("qbeg") <= F.col("x")) & (F.col("qend") > F.col("x"))).select(read_key, "qbeg", "qend").distinct()
+
+
+def walked(reads: DataFrame, mems: DataFrame, k: int, most: int, read_key: str = "read_id", text: str = "seq") -> DataFrame:
+    """(read, qbeg, qend): round 3, the forward walk over a read that emits at the first end from k+1 characters on with fewer than ``most`` places.
+
+    After it, the walk goes on behind; where nothing occurs that long, too, and
+    behind anything but A, C, G and T. How often a string of k or more occurs is
+    told by the matches that cover it: at an end, those that reach it. A read is
+    walked by itself, over its matches' begins and ends and how many there are.
+    """
+    import pandas as pd
+
+    spans = mems.groupBy(read_key, "qbeg", "qend").agg(F.count("*").alias("n")).groupBy(read_key).agg(F.collect_list(F.struct("qbeg", "qend", "n")).alias("spans"))
+    joined = reads.select(read_key, F.col(text).alias("seq")).join(spans, read_key)
+
+    def run(parts):
+        for p in parts:
+            out = []
+            for key, seq, found in zip(p[read_key], p["seq"], p["spans"], strict=True):
+                out += [(key, b, e) for b, e in walk(seq, [(s["qbeg"], s["qend"], s["n"]) for s in found], k, most)]
+            yield pd.DataFrame(out, columns=[read_key, "qbeg", "qend"])
+
+    return joined.mapInPandas(run, f"{read_key} long, qbeg long, qend long")
+
+
+def walk(seq: str, spans: list[tuple[int, int, int]], k: int, most: int) -> list[tuple[int, int]]:
+    """The walk of one read, given its matches (begin, end, how many) of k characters and more."""
+    out, x = [], 0
+    while x + k < len(seq):
+        here = sorted(((e, n) for b, e, n in spans if b <= x and e > x + k - 1), reverse=True)
+        stop = next((i for i in range(x, min(len(seq), x + k + 1)) if seq[i] not in "ACGT"), -1)
+        if stop >= 0:
+            x = stop + 1
+            continue
+        # the places left at end e are those of the matches that reach it
+        total, end = 0, x + k + 1
+        for e, n in here:
+            if total + n >= most:
+                end = max(end, e + 1)
+                break
+            total += n
+        stop = next((i for i in range(x, min(end, len(seq))) if seq[i] not in "ACGT"), -1)
+        if stop >= 0:
+            x = stop + 1
+            continue
+        if end > len(seq):
+            break
+        if any(e >= end for e, _ in here):
+            out.append((x, end))
+        x = end
+    return out
+
+
+def places(intervals: DataFrame, mems: DataFrame, read_key: str = "read_id") -> DataFrame:
+    """(read, qbeg, qend, rid, rev, rbeg): every place of each interval, from the matches that cover it."""
+    i = intervals.select(F.col(read_key).alias("r"), F.col("qbeg").alias("b"), F.col("qend").alias("e"))
+    over = i.join(mems, (F.col("r") == F.col(read_key)) & (F.col("qbeg") <= F.col("b")) & (F.col("qend") >= F.col("e")))
+    return over.select(read_key, F.col("b").alias("qbeg"), F.col("e").alias("qend"), "rid", "rev", (F.col("rbeg") + F.col("b") - F.col("qbeg")).alias("rbeg"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local(cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -17,3 +17,11 @@ def local(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once for several uses: a reliable checkpoint where a shared folder is set, else kept by Spark."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None and (where := spark.conf.get("spark.checkpoint.dir", None)):
+        spark.sparkContext.setCheckpointDir(where)
+    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
