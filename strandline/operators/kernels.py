@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 
 MATCH, MISMATCH, OPEN, EXTEND = 1, 4, 6, 1
@@ -116,22 +114,3 @@ def global_cigar(query: str, target: str) -> tuple[str, int, int]:
             out, count = out + f"{count}{last}", 0
         last, count = op, count + 1
     return out, edits, int(h[m, n])
-
-
-def pair_score(s1: int, s2: int, distance: float, mean: float, std: float, match: int = MATCH) -> int:
-    """Score of two mates at a distance; never below 0."""
-    z = abs(distance - mean) / std
-    tail = max(math.erfc(z / math.sqrt(2)), 1e-300)
-    return max(0, int(s1 + s2 + 0.721 * math.log(2 * tail) * match + 0.499))
-
-
-def mixed(key: int) -> int:
-    """A 64-bit integer mix, by shifts and adds modulo 2**64."""
-    whole = (1 << 64) - 1
-    key = (~key + (key << 21)) & whole
-    key ^= key >> 24
-    key = key * 265 & whole
-    key ^= key >> 14
-    key = key * 21 & whole
-    key ^= key >> 28
-    return (key + (key << 31)) & whole

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from strandline.operators import kernels
+from strandline.align.regions import mixed
 
 MASK, DROP, GAP, SEED, CAP = 0.5, 0.5, 10_000, 19, 1 << 30
 
@@ -49,7 +49,7 @@ def marked_primary(regions: DataFrame, key: str = "doc_id", mask: float = MASK,
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["item_id", "rbeg", "qbeg"]).reset_index(drop=True)
-        g["tie"] = [kernels.mixed(int(g[key].iloc[0]) + i) for i in range(len(g))]
+        g["tie"] = [mixed(int(g[key].iloc[0]) + i) for i in range(len(g))]
         g = g.sort_values(["score", "tie"], ascending=[False, True]).reset_index(drop=True)
         sub, sub_n, secondary, heads = [0] * len(g), [0] * len(g), [None] * len(g), []
         b, e, s = g["qbeg"].tolist(), g["qend"].tolist(), g["score"].tolist()

@@ -1,8 +1,9 @@
-"""Readers of FASTA and FASTQ (plain or gzip), ALT and BED sidecars, and a writer of SAM text."""
+"""Readers of FASTA and FASTQ (plain or gzip) and of BED, pairing of reads, and a writer of SAM text."""
 
 from __future__ import annotations
 
 import gzip
+import warnings
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -64,13 +65,60 @@ def read_sequences(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, READ)
 
 
+def read_fastq(spark: SparkSession, path: str) -> DataFrame:
+    """Records of FASTQ files of four lines each, in splits of Spark's own: a large plain file is many tasks.
+
+    A line's number in its file comes from the lines of the splits before its
+    own, which are counted first; the four lines of a record then meet by file
+    and number. Compressed files are one split each, and BGZF is read as gzip.
+    A record that isn't four lines ends the job; ``read_sequences`` reads these.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("m"), F.rtrim(F.col("value"), F.lit("\r")).alias("line"))
+    splits = lines.groupBy("path", "start").agg(F.min("m").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = splits.select(F.col("path").alias("p"), F.col("start").alias("s"), (before - F.col("first")).alias("shift"))
+    numbered = lines.join(F.broadcast(at), (F.col("path") == F.col("p")) & (F.col("start") == F.col("s"))).withColumn("no", F.col("m") + F.col("shift"))
+    part = lambda k: F.max(F.when(F.col("no") % 4 == k, F.col("line")))
+    rows = numbered.groupBy("path", F.floor(F.col("no") / 4).alias("ix")).agg(*[part(k).alias(f"l{k}") for k in range(4)]).where("l0 <> '' or l1 is not null")
+    good = F.col("l0").startswith("@") & F.col("l2").startswith("+") & (F.char_length("l1") == F.char_length("l3"))
+    head = F.when(F.coalesce(good, F.lit(False)), F.substring("l0", F.lit(2), F.char_length("l0"))).otherwise(F.raise_error(F.concat(F.lit("record "), F.col("ix").cast("string"), F.lit(" isn't four lines of FASTQ"))))
+    rows = rows.withColumn("h", F.split(F.regexp_replace(head, "\t", " "), " ", 2))
+    return rows.select("path", "ix", F.col("h")[0].alias("name"), F.coalesce(F.get("h", F.lit(1)), F.lit("")).alias("comment"), F.col("l1").alias("seq"), F.col("l3").alias("qual"))
+
+
 def mates(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Two readings in lockstep, up to the shorter one: pair_id, mate, and the columns of reads."""
-    both = first.select("ix").join(second.select("ix"), "ix")
-    side = lambda df, mate: df.join(both, "ix", "left_semi").select(F.col("ix").alias("pair_id"), F.lit(mate).alias("mate"), "name", "comment", "seq", "qual")
+    """Two readings in lockstep, file by file in the order of their paths, up to the shorter one: pair_id, mate, and the columns of reads.
+
+    pair_id is the file's number times 2^40 and the record's number. Files are
+    few, and only their names are numbered in one place. If one side has more
+    records, a warning says so.
+    """
+
+    def numbered(df: DataFrame) -> DataFrame:
+        files = df.select(F.col("path").alias("p")).distinct().select("p", (F.row_number().over(Window.orderBy("p")) - 1).cast("long").alias("f"))
+        return df.join(F.broadcast(files), F.col("path") == F.col("p")).withColumn("pair_id", F.col("f") * (1 << 40) + F.col("ix")).drop("p", "f")
+
+    first, second = numbered(first), numbered(second)
+    both = first.select("pair_id").join(second.select("pair_id"), "pair_id")
+    counts = [df.count() for df in (first, second, both)]
+    if counts[0] != counts[1]:
+        warnings.warn(f"the {'2nd' if counts[1] < counts[0] else '1st'} side has fewer reads; {max(counts[:2]) - counts[2]} of the other are left out", stacklevel=2)
+    side = lambda df, mate: df.join(both, "pair_id", "left_semi").select("pair_id", F.lit(mate).alias("mate"), "name", "comment", "seq", "qual")
     return side(first, 1).unionByName(side(second, 2))
 
 
+def smart_pairs(reads: DataFrame) -> DataFrame:
+    """Reads of one file each with pair_id and mate: two of one name in a row (``/1`` and ``/2`` taken off) are a pair, the others single, with mate 0."""
+    name = F.regexp_replace("name", "(?<=.)/[0-9]$", "")
+    w = Window.partitionBy("path").orderBy("ix")
+    runs = reads.withColumn("__n", name).withColumn("__new", (F.coalesce(F.lag("__n").over(w), F.lit("\n")) != F.col("__n")).cast("int"))
+    runs = runs.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = Window.partitionBy("path", "__run")
+    placed = runs.withColumn("__k", F.row_number().over(inside.orderBy("ix")) - 1).withColumn("__c", F.count("*").over(inside))
+    single = (F.col("__k") % 2 == 0) & (F.col("__k") == F.col("__c") - 1)
+    return placed.select("path", F.when(F.col("__k") % 2 == 1, F.col("ix") - 1).otherwise(F.col("ix")).alias("pair_id"), F.when(single, 0).otherwise((F.col("__k") % 2 + 1).cast("int")).alias("mate"), "ix", "name", "comment", "seq", "qual")
+
+
 def holes(contigs: DataFrame, name: str = "name", seq: str = "seq") -> DataFrame:
     """(name, pos, len) of the runs of anything but A, C, G, T."""
     gaps, runs = F.split(F.col(seq), "[^ACGTacgt]+", -1), F.regexp_extract_all(F.col(seq), F.lit("[^ACGTacgt]+"), F.lit(0))

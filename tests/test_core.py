@@ -55,7 +55,7 @@ def test_round_three_extends_common_places(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
-@pytest.mark.parametrize("case", [((100, 0, 100, 0, 0), 60), ((20, 0, 20, 0, 0), 6), ((100, 90, 100, 0, 0), 26), ((100, 90, 100, 2, 0), 21), ((100, 90, 100, 2, 0.25), 16), ((50, 45, 50, 0, 0), 18)])
+@pytest.mark.parametrize("case", [((100, 0, 100, 0, 0), 60), ((20, 0, 20, 0, 0), 6), ((100, 90, 100, 0, 0), 26), ((100, 90, 100, 2, 0), 21), ((100, 90, 100, 2, 0.25), 16), ((100, 90, 100, 0, 0.25), 19), ((50, 45, 50, 0, 0), 18), ((90, 85, 110, 0, 0), 11)])
 def test_mapq(spark, case):
     (score, sub, span, n, rep), want = case
     lit = lambda v: F.lit(float(v))
@@ -113,7 +113,47 @@ def test_reader(spark, tmp_path: Path):
     assert {tuple(r) for r in reads.read_bed(spark, str(tmp_path / "r.bed")).collect()} == {("q", 5, 12), ("q", 20, 22)}
 
 
-@pytest.mark.parametrize("name", ["smem_intervals", "insert_size_stats", "pair_top1", "lift_interval", "encode", "meth_index", "chain_cap_topn", "pos_to_bucket_asof", "reseed_intervals"])
+def test_fastq_in_splits(spark, tmp_path: Path):
+    rng = random.Random(4)
+    want = []
+    for name, n in (("a.fq", 700), ("b.fq", 3)):
+        rows = [(f"r{i}", f"c{i}" if i % 3 else "", "".join(rng.choice("ACGT") for _ in range(rng.randint(0, 90)))) for i in range(n)]
+        (tmp_path / name).write_text("".join(f"@{r}{' ' * bool(c)}{c}\n{q}\n+\n{'@' * len(q)}\n" for r, c, q in rows))
+        want += [(name, i, r, c, q, "@" * len(q)) for i, (r, c, q) in enumerate(rows)]
+    (tmp_path / "c.fq.gz").write_bytes(gzip.compress(b"@z\r\nAC\r\n+\r\nII\r\n"))
+    want.append(("c.fq.gz", 0, "z", "", "AC", "II"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        df = reads.read_fastq(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
+        assert sorted((r.path.rsplit("/", 1)[1], *r[1:]) for r in df.collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "bad.fq").write_text("@x\nACG\n+\nII\n")
+    with pytest.raises(Exception, match="four lines"):
+        reads.read_fastq(spark, str(tmp_path / "bad.fq")).collect()
+
+
+def test_mates_of_many_files(spark):
+    schema = "path string, ix long, name string, comment string, seq string, qual string"
+    side = lambda m, sizes: spark.createDataFrame([(f"f{k}_{m}", i, f"p{k}.{i}", "", f"{m}", None) for k, n in enumerate(sizes) for i in range(n)], schema)
+    rows = reads.mates(side(1, (3, 2)), side(2, (3, 2))).collect()
+    pairs = {}
+    for r in rows:
+        pairs.setdefault(r.pair_id, {})[r.mate] = (r.name, r.seq)
+    assert sorted(pairs.values(), key=str) == [{1: (f"p{k}.{i}", "1"), 2: (f"p{k}.{i}", "2")} for k, n in ((0, 3), (1, 2)) for i in range(n)]
+    with pytest.warns(UserWarning, match="2nd side has fewer reads; 1 "):
+        assert reads.mates(side(1, (2,)), side(2, (1,))).count() == 2
+
+
+def test_smart_pairs(spark):
+    names = ["a", "a", "b", "c/1", "c/2", "d", "d", "d", "e"]
+    frame = spark.createDataFrame([("f", i, n, "", "A", None) for i, n in enumerate(names)], "path string, ix long, name string, comment string, seq string, qual string")
+    assert [(r.pair_id, r.mate) for r in reads.smart_pairs(frame).orderBy("ix").collect()] == [(0, 1), (0, 2), (2, 0), (3, 1), (3, 2), (5, 1), (5, 2), (7, 0), (8, 0)]
+
+
+@pytest.mark.parametrize("name", ["smem_intervals", "smem_dedup", "insert_size_stats", "pair_top1", "pair_erfc_score", "lift_interval", "encode", "meth_index", "chain_cap_topn", "chain_weight", "pos_to_bucket_asof", "reseed_intervals", "seed_absorb_count", "region_dedup", "alt_shadow_list", "rescue_skip_anti"])
 def test_queries_against_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     db = duckdb.connect()
