@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 import numpy as np
 
 from strandline.align import kernels
+from strandline.align.chains import Seed
 
 #: Chemistries: whether the converted base is the methylated one.
 CONVERTED_IS_METHYLATED = {"emseq": False, "taps": True, "5base": True}
@@ -30,6 +32,20 @@ def original(name: str) -> tuple[str, str]:
     return name[1:], name[0]
 
 
+def remapped(seeds: list[Seed], names: dict[int, str], rids: dict[str, int], mate: int) -> list[tuple[Seed, str]]:
+    """Seeds on the projected contigs as (seed on the original contig, hypothesis); those of the other chemistry go.
+
+    A read of mate 1 has C as T: forward it fits chain f, turned around chain r;
+    mate 2 the other way round.
+    """
+    out = []
+    for s in seeds:
+        name, chain = original(names[s.rid])
+        if (chain == "f") == ((mate == 1) != bool(s.rev)):
+            out.append((replace(s, rid=rids[name]), chain))
+    return out
+
+
 def matrices(match: int, mismatch: int, context: str = "genomic") -> dict[str, np.ndarray]:
     """Scores by target and read for the two hypotheses: ``f``, C read as T, and ``r``, G read as A.
 

@@ -138,6 +138,41 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
     return isle.groupBy("contig", "isle").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("isle")
 
 
+def lines_of(spark: SparkSession, path: str) -> list[str] | None:
+    """The lines of a small text file (a header or sidecar, as long as the reference has contigs), or None if there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return [r.value.rstrip("\r") for r in spark.read.text(path, wholetext=False).coalesce(1).collect()]
+
+
+def header_sidecar(spark: SparkSession, prefix: str) -> list[str]:
+    """The lines of ``prefix``.hdr, else of the .dict beside it: without a last .gz and then without the last suffix; none if both are missing."""
+    found = lines_of(spark, prefix + ".hdr")
+    if found is None:
+        base = prefix.removesuffix(".gz")
+        folder, _, name = base.rpartition("/")
+        name = name.rsplit(".", 1)[0] if "." in name else name
+        found = lines_of(spark, f"{folder}/{name}.dict" if folder else f"{name}.dict")
+    return [x for x in found or [] if x]
+
+
+def header_lines(spark: SparkSession, given: str) -> list[str]:
+    """Header lines as given, if they begin with @, else those of the file named."""
+    if given.startswith("@"):
+        return given.split("\n")
+    found = lines_of(spark, given)
+    if found is None:
+        raise FileNotFoundError(given)
+    return [x for x in found if x]
+
+
+def without_excluded(contigs: DataFrame, bed: DataFrame) -> DataFrame:
+    """Those of ``contigs(contig, s, e, ...)`` whose whole footprint on the primary no interval of ``bed(contig, s, e)`` touches."""
+    b = bed.select(F.col("contig").alias("__c"), F.col("s").alias("__s"), F.col("e").alias("__e"))
+    return contigs.join(b, (F.col("contig") == F.col("__c")) & (F.col("__s") < F.col("e")) & (F.col("s") < F.col("__e")), "left_anti")
+
+
 def write_sam(lines: DataFrame, header: list[str], path: str) -> None:
     """``lines(read_id, rec_ix, line)`` in read order, below the header, as text files that follow one another."""
     spark = lines.sparkSession

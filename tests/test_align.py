@@ -476,6 +476,9 @@ def test_methylation():
     assert m["f"][1, 3] == 1 and m["f"][3, 1] == -4 and m["r"][2, 0] == 1 and methylation.matrices(1, 4, "collapsed")["f"][3, 1] == 1 and methylation.matrices(1, 4, "neutral")["f"][1, 3] == 0
     assert methylation.unlabelled(methylation.labelled("acgNcNg")) == "ACGNCNG" and methylation.labelled("acg") == "A56"
     assert methylation.tags(2, "f", "z.", ("XR", "XG", "XM")) == ["XR:Z:GA", "XG:Z:CT", "XM:Z:z."]
+    seeds = [Seed(rid, rev, 5, 0, 20) for rid in (0, 1) for rev in (0, 1)]
+    told = methylation.remapped(seeds, {0: "rx", 1: "fx"}, {"x": 7}, 1)
+    assert [(s.rid, s.rev, chain) for s, chain in told] == [(7, 1, "r"), (7, 0, "f")]
     assert methylation.checked(3, 60, "40M60S", 100, "f", chimera=True) == (0x201, 1) and methylation.checked(3, 60, "44M56S", 100, "f", chimera=True) == (3, 60)
     assert methylation.checked(1, 9, "9M", 9, "r", "r") == (0x201, 9) and methylation.spread_failure([0x203, 3]) == [0x201, 0x201]
 

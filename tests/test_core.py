@@ -135,6 +135,17 @@ def test_fastq_in_splits(spark, tmp_path: Path):
         reads.read_fastq(spark, str(tmp_path / "bad.fq")).collect()
 
 
+def test_sidecars(spark, tmp_path: Path):
+    (tmp_path / "ref.dict").write_text("@HD\tVN:1.6\r\n@CO\tx\n\n")
+    prefix = str(tmp_path / "ref.fa.gz")
+    assert reads.header_sidecar(spark, prefix) == ["@HD\tVN:1.6", "@CO\tx"] and reads.header_sidecar(spark, str(tmp_path / "none")) == []
+    (tmp_path / "ref.fa.gz.hdr").write_text("@CO\ty\n")
+    assert reads.header_sidecar(spark, prefix) == ["@CO\ty"] == reads.header_lines(spark, prefix + ".hdr") and reads.header_lines(spark, "@CO\tz") == ["@CO\tz"]
+    foot = spark.createDataFrame([("p", 10, 20, 1), ("p", 30, 40, 2), ("q", 10, 20, 3)], "contig string, s long, e long, alt long")
+    bed = spark.createDataFrame([("p", 19, 30)], "contig string, s long, e long")
+    assert sorted(r.alt for r in reads.without_excluded(foot, bed).collect()) == [2, 3]
+
+
 def test_mates_of_many_files(spark):
     schema = "path string, ix long, name string, comment string, seq string, qual string"
     side = lambda m, sizes: spark.createDataFrame([(f"f{k}_{m}", i, f"p{k}.{i}", "", f"{m}", None) for k, n in enumerate(sizes) for i in range(n)], schema)
