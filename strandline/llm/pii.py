@@ -83,8 +83,17 @@ def disclosing_terms(found: DataFrame, text_col: str = "text", disclosure: float
     return pairs.join(values, "v").where((ic > 0) & (pmi >= disclosure * ic - 1e-9)).groupBy("term").agg(F.min("v.kind").alias("kind"))
 
 
+#: Terms of a text up to which each word is looked up among them; beyond, words and terms are sorted.
+FEW = 32
+
+
 def _told(words: Column, terms: Column) -> Column:
-    """Those of the ``words`` (spans) whose hit in lower case is one of ``terms``, by start."""
+    """Those of the ``words`` (spans) whose hit in lower case is one of ``terms``, by start; time is n log n in both."""
+    some = lambda w: F.filter(w, lambda s: F.array_contains(terms, F.lower(s["hit"])))
+    return let(words, lambda w: F.when(F.size(terms) <= FEW, some(w)).otherwise(_sorted_told(w, terms)))
+
+
+def _sorted_told(words: Column, terms: Column) -> Column:
     # sorted by word, a term stands right before the words that it is
     mark = lambda word, term, s: F.struct(word.alias("word"), term.isNull().alias("own"), term.alias("term"), s.alias("s"))
     no_term, no_span = F.lit(None).cast("string"), F.lit(None).cast("struct<start:int,rank:int,end:int,kind:string,hit:string>")

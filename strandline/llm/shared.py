@@ -11,6 +11,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bits of a table that tells which rows can't be joined; 2 MB, whatever the number of keys.
+BITS = 1 << 24
 #: ASCII white space as the contracts of the queries have it: space and TAB to CR.
 SPACE = r"\x20\x09-\x0D"
 
@@ -113,19 +115,20 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def running(values: Column, op: Callable[[Column, Column], Column], zero: Column, block: int = 64) -> Column:
+def running(values: Column, op: Callable[[Column, Column], Column], zero: Column) -> Column:
     """Of each place of the array ``values``, all values before it folded by the associative ``op``, from its neutral ``zero``.
 
     A fold copies its state at each step, so blocks are folded by themselves,
     then their results, and both are brought together: no state is long.
     """
+    block = lambda v: F.greatest(F.lit(16), F.pow(F.size(v).cast("double"), F.lit(0.4)).cast("int"))
 
     def fold(part: Column) -> Column:
         start = F.struct(zero.alias("at"), F.slice(F.array(zero), 1, 0).alias("out"))
         return F.aggregate(part, start, lambda z, x: F.struct(op(z["at"], x).alias("at"), F.concat(z["out"], F.array(z["at"])).alias("out")))
 
     def scan(v: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int")), lambda b: fold(F.slice(v, b * block + 1, block)))
+        blocks = let(block(v), lambda n: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / n).cast("int")), lambda b: fold(F.slice(v, b * n + 1, n))))
         both = let(blocks, lambda done: F.zip_with(done, fold(F.transform(done, lambda d: d["at"]))["out"], lambda d, at: F.transform(d["out"], lambda x: op(at, x))))
         return F.when(F.size(v) > 0, F.flatten(both)).otherwise(F.slice(F.array(zero), 1, 0))
 
@@ -196,7 +199,7 @@ def replaced(text: Column, spans: Column, cut: int = 256) -> Column:
     return F.when(F.size(spans) > 0, let(parts, lambda p: let(F.array_sort(spans), lambda s: built(p, s)))).otherwise(text)
 
 
-def bitmap(keys: DataFrame, bits: int = 1 << 22) -> Column:
+def bitmap(keys: DataFrame, bits: int = BITS) -> Column:
     """The hashes of ``keys(h)`` as a constant of ``bits`` bits for ``in_bitmap``.
 
     It only spares shuffles: what is not in it is surely no key. With many more
@@ -210,7 +213,7 @@ def bitmap(keys: DataFrame, bits: int = 1 << 22) -> Column:
     return keys.sparkSession.createDataFrame([(words,)], "w array<long>").scalar()
 
 
-def in_bitmap(table: Column, h: Column, bits: int = 1 << 22) -> Column:
+def in_bitmap(table: Column, h: Column, bits: int = BITS) -> Column:
     word = F.get(table, F.shiftright(F.pmod(h, F.lit(bits)), 6).cast("int"))
     return F.getbit(word, F.pmod(h, F.lit(64)).cast("int")) == 1
 
