@@ -19,10 +19,10 @@ from itertools import chain
 import numpy as np
 import regex
 
-#: Words whose ids a worker keeps; beyond, words are encoded anew in each batch.
-CACHE = 1_000_000
+#: Bytes of words and ids that a worker keeps, each with what its entry takes besides; beyond, words are encoded anew in each batch.
+CACHE, ENTRY = 64 << 20, 200
 #: Symbols in one flat array.
-FLAT = 1 << 21
+FLAT = 1 << 17
 # Fixed value: the pattern that splits words.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: White space to str.split(), but not to the vocabulary's normaliser.
@@ -60,6 +60,7 @@ class Encoder:
         for text, i in chain(vocab.items(), added.items()):
             self.token[i] = text.encode()
         self.known: dict[str, bytes] = {}
+        self.room = CACHE
 
     def _find(self, rank: np.ndarray, at: np.ndarray, ids: np.ndarray, word: np.ndarray, places: np.ndarray) -> None:
         """Sets rank and table place of the pairs that start at ``places``; the number of merges means none."""
@@ -127,6 +128,14 @@ class Encoder:
             flush()
         return {c: ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for c, ws in zip(chunks, parts, strict=True)}
 
+    def _keep(self, more: dict[str, bytes]) -> None:
+        """Adds what there is room for."""
+        for word, ids in more.items():
+            self.room -= ENTRY + len(word) + len(ids)
+            if self.room < 0:
+                break
+            self.known[word] = ids
+
     @staticmethod
     def _chunks(text: str) -> list[str]:
         text = unicodedata.normalize("NFC", text)
@@ -146,8 +155,8 @@ class Encoder:
         found = [[p if isinstance(p, bytes) else list(map(get, p)) for p in parts] for parts in cut]
         fresh = {c for parts, ids in zip(cut, found, strict=True) for p, x in zip(parts, ids, strict=True) if not isinstance(p, bytes) and None in x for c, i in zip(p, x, strict=True) if i is None}
         more = self._learn(list(fresh)) if fresh else {}
-        if len(self.known) < CACHE:  # what comes first is what comes often
-            self.known |= more
+        if self.room > 0:  # what comes first is what comes often
+            self._keep(more)
         for parts, ids in zip(cut, found, strict=True):
             yield b"".join([x if isinstance(p, bytes) else b"".join(x if None not in x else [more[c] if i is None else i for c, i in zip(p, x, strict=True)]) for p, x in zip(parts, ids, strict=True)])
 
@@ -161,7 +170,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def batches_of(texts: Iterator[str | None], limit: int = 1 << 22) -> Iterator[list[str]]:
+def batches_of(texts: Iterator[str | None], limit: int = 1 << 20) -> Iterator[list[str]]:
     """Lists of texts (null as empty) of about ``limit`` characters, so that memory follows the longest text alone."""
     held: list[str] = []
     size = 0
