@@ -8,6 +8,7 @@ with a common key are compared, and the Hamming distance is then verified.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import components, stored
+from strandline.llm.shared import bitmap, components, in_bitmap, spread_join, stored, text_id
 
 SEED = 42
 #: Shingles hashed at a time, so that memory doesn't follow the text.
@@ -49,15 +50,15 @@ def fingerprint(text: bytes, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long. A null text has no words."""
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    """(id, tid, fp): fp is the fingerprint as a signed long, tid names the text. A null text has no words."""
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), text_id(F.col(text_col)).alias("tid"), F.col(text_col).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(x.as_py() or b"", width) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+            fps = np.fromiter((fingerprint(x.as_py() or b"", width) for x in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["id", "tid", "fp"])
 
-    return slim.mapInArrow(run, "id long, fp long")
+    return slim.mapInArrow(run, "id long, tid long, fp long")
 
 
 def _stars(x: np.ndarray, distance: int) -> list[tuple[np.uint64, np.ndarray]]:
@@ -129,16 +130,34 @@ def _keys(fp: Column, blocks: int, distance: int) -> Column:
     return F.array(*out)
 
 
-def near_links(fps: DataFrame, distance: int = 4, blocks: int = 6, tile: int = 1024) -> DataFrame:
+def blocks_for(count: int, distance: int = 4) -> int:
+    """The fewest blocks whose keys spread ``count`` fingerprints to about one a bucket.
+
+    More blocks share more bits per key, but file each fingerprint under more
+    keys: with 4 bits, 6 blocks have 15 keys of about 21 bits, 7 blocks 35 of
+    27, 8 blocks 70 of 32.
+    """
+    blocks = distance + 2
+    while blocks < 2 * distance and (blocks - distance) * 64 / blocks < math.log2(max(count, 1)):
+        blocks += 1
+    return blocks
+
+
+def near_links(fps: DataFrame, distance: int = 4, blocks: int | None = None, tile: int = 1024) -> DataFrame:
     """Edges (u, v) that connect all distinct values of ``fps(fp)`` linked through distances up to ``distance``.
 
     No link between components is lost, and a bucket never emits its pairs: a
     unit of at most about two tiles yields a star on the smallest of each of its
     components, so that paths are short from the outset. A bucket of more
     than ``tile`` fingerprints is cut into tiles, and every pair of tiles is a
-    unit of its own, so no task gathers a large bucket.
+    unit of its own, so no task gathers a large bucket. Blocks grow with the
+    number of different fingerprints, so buckets stay small.
     """
-    filed = fps.select("fp").distinct().select("fp", F.explode(_keys(F.col("fp"), blocks, distance)).alias("key"))
+    distinct = fps.select("fp").distinct()
+    if blocks is None:
+        distinct = stored(distinct, "simhash-distinct")
+        blocks = blocks_for(distinct.count(), distance)
+    filed = distinct.select("fp", F.explode(_keys(F.col("fp"), blocks, distance)).alias("key"))
     full = filed.groupBy("key").count().where("count > 1").select(F.col("key").alias("k"), F.ceil(F.col("count") / tile).alias("tiles"))
     dealt = filed.join(full, F.col("key") == F.col("k")).select("fp", "key", "tiles", F.pmod(F.xxhash64("fp"), F.col("tiles")).alias("t"))
     units = dealt.select("fp", "key", "tiles", "t", F.explode(F.expr("sequence(0L, tiles - 1)")).alias("o")).where("tiles = 1 or t <> o")
@@ -146,15 +165,28 @@ def near_links(fps: DataFrame, distance: int = 4, blocks: int = 6, tile: int = 1
     return units.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_links(distance), "u long, v long").distinct()
 
 
-def lowest_of(firsts: DataFrame, linked: DataFrame) -> DataFrame:
-    """(f, component_id) of every fp of ``firsts(fp, first)``: the smallest first of its component in ``linked(node, root)``."""
-    rooted = linked.join(firsts, linked["node"] == firsts["fp"]).select("fp", "root", "first")
-    lows = rooted.groupBy("root").agg(F.min("first").alias("low")).withColumnRenamed("root", "r")
-    named = rooted.join(lows, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "low")
-    return firsts.join(named, F.col("fp") == F.col("f"), "left").select(F.col("fp").alias("f"), F.when(F.col("f").isNull(), F.col("first")).otherwise(F.col("low")).alias("component_id"))
+def groups_of(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows(id, fp, ...)`` with root, which names the row's group, and component_id, its smallest id.
+
+    ``links(u, v)`` connect values of fp. Values and groups that many rows have
+    are counted before any join, and their rows aren't gathered anywhere.
+    """
+    firsts = stored(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "groups-first")
+    linked = components(links)
+    rooted = firsts.join(linked, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("k"), "n", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = stored(rooted, "groups-rooted")
+    lows = rooted.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r")
+    facts = stored(rooted.join(lows, F.col("root") == F.col("r")).select("k", "n", "root", "component_id"), "groups-facts")
+    return spread_join(rows, facts, "fp").drop("k", "n")
+
 
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4, blocks: int | None = None) -> DataFrame:
+    """(id, tid, fp, root, component_id) of every row of ``docs``; see ``near_duplicates``."""
+    fps = stored(fingerprints(docs, id_col, text_col, width), "simhash")
+    return groups_of(fps, near_links(fps, distance, blocks))
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4, blocks: int = 6) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4, blocks: int | None = None) -> DataFrame:
     """One row per row of ``docs``: id, fingerprint (hex) and component_id, the smallest id of its group.
 
     Words are ASCII-lower-cased and cut at ASCII white space. Null and empty
@@ -162,20 +194,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated; a null id is never the smallest unless the group has no other
     (then component_id is null). Extra columns are ignored.
     """
-    fps = stored(fingerprints(docs, id_col, text_col, width), "simhash")
-    firsts = stored(fps.groupBy("fp").agg(F.min("id").alias("first")), "simhash-first")
-    linked = components(near_links(firsts, distance, blocks))
-    group = lowest_of(firsts, linked)
-    return fps.join(group, F.col("fp") == F.col("f")).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    group = near_groups(docs, id_col, text_col, width, distance, blocks)
+    return group.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: Callable[..., DataFrame] = near_groups) -> DataFrame:
     """The rows of ``docs`` but one document per near-duplicate group of ``groups``, that of the smallest id.
 
-    Rows that repeat an id collapse to one. Rows with a null id are kept: they
-    can't be told from one another. Columns are those of ``docs``.
+    A row is named by its id and its text: rows of one id with texts of
+    different groups all stay, and of rows that repeat both, one stays. A null
+    id is chosen only where the group has no other. Columns are those of
+    ``docs``. What is shuffled is names, and texts only where the names of the
+    rows to go are too many to broadcast.
     """
-    found = groups(docs, id_col, text_col)
-    keep = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep")).distinct()
-    kept = docs.join(keep, docs[id_col] == keep["__keep"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    named = stored(groups(docs, id_col, text_col).select("id", "tid", "root"), "keep-named")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "tid")
+    chosen = named.groupBy("root").agg(F.min(order).alias("c"), F.count("*").alias("n")).select(F.col("root").alias("k"), "n", "c")
+    marked = spread_join(named, stored(chosen.where("n > 1"), "keep-chosen"), "root")
+    same = F.col("id").eqNullSafe(F.col("c.id")) & (F.col("tid") == F.col("c.tid"))
+    marks = marked.groupBy(F.col("id").alias("__i"), F.col("tid").alias("__t")).agg(F.max(same).alias("__stays"), F.count("*").alias("__times"))
+    marks = stored(marks.where("not __stays or __times > 1"), "keep-marks")
+    named = docs.withColumn("__d", docs[id_col].cast("long")).withColumn("__x", text_id(docs[text_col])).withColumn("__b", bitmap(marks.select(F.xxhash64("__i", "__t").alias("h"))))
+    may = in_bitmap(F.col("__b"), F.xxhash64("__d", "__x"))
+    met = named.where(may).drop("__b").join(marks, F.col("__d").eqNullSafe(F.col("__i")) & (F.col("__x") == F.col("__t")), "left")
+    met = stored(met.where("__stays is null or __stays"), "keep-met")
+    again = met.where("__stays").dropDuplicates(["__d", "__x"])
+    return named.where(~may).select(docs.columns).unionByName(met.where("__stays is null").select(docs.columns)).unionByName(again.select(docs.columns))
