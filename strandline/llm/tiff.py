@@ -149,6 +149,10 @@ def _packed(raw: bytes, compression: int) -> bytes:
     return {PLAIN: bytes, PACKBITS: pack_bits, LZW: lzw_encode}[compression](raw)
 
 
+#: Bytes that one stored byte stands for at most; it bounds what a damaged size may ask for.
+MOST = {PLAIN: 1, PACKBITS: 128, LZW: 4096, DEFLATE: 1100, OLD_DEFLATE: 1100}
+
+
 def _unpacked(data: bytes, compression: int, size: int) -> bytes:
     if compression in (DEFLATE, OLD_DEFLATE):
         return zlib.decompressobj().decompress(data, size)
@@ -234,6 +238,9 @@ def _page(data: bytes, order: str, tags: dict[int, tuple[int, ...]]) -> np.ndarr
     high, wide = (first(TILE_HEIGHT, 0), first(TILE_WIDTH, 0)) if tiled else (min(first(ROWS, height), height), width)
     offsets, sizes = (tags[TILES], tags[TILE_BYTES]) if tiled else (tags[STRIPS], tags[STRIP_BYTES])
     across, down, deep = -(-width // wide), -(-height // high), 1 if planar else samples
+    here = sum(max(0, min(size, len(data) - offset)) for offset, size in zip(offsets, sizes, strict=True))
+    if len(offsets) != across * down * (samples if planar else 1) or height * width * samples * kind.itemsize > MOST.get(first(COMPRESSION, 1), 1) * here:
+        raise BadTiff("the file is too short for its size")
     image = np.zeros((height, width, samples), kind.newbyteorder("="))
     for k, (offset, size) in enumerate(zip(offsets, sizes, strict=True)):
         plane, rest = divmod(k, across * down)
@@ -272,7 +279,7 @@ def page_rows(files: DataFrame, id_col: str, data_col: str) -> DataFrame:
                 raise BadTiff("null")
             for k, p in enumerate(pages(data)):
                 yield k, p.shape[1], p.shape[0], p.shape[2], 8 * p.dtype.itemsize, p.tobytes(), None
-        except (BadTiff, struct.error, zlib.error, ValueError, KeyError, ZeroDivisionError) as e:
+        except (BadTiff, struct.error, zlib.error, ValueError, LookupError, ZeroDivisionError, OverflowError, MemoryError) as e:
             yield None, None, None, None, None, None, str(e)[:200]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
