@@ -3,8 +3,10 @@
 Text nodes are grouped by their root-to-leaf tag path. Per path, the text length
 and the punctuation per node are two ratios; both are smoothed over the sequence
 of nodes, fused, and the paths whose fused ratio passes a threshold are content.
-The content paths name the page's main container, and what stands in it, apart
-from boilerplate, is the text.
+A path of content makes the box that it stands in (the nearest article or main
+above it, else the nearest section, division or cell) content, with all short
+headings and items that are in it; every such box is kept. Elements that say by
+their name, class or role that they are boilerplate are left out beforehand.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -24,6 +27,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "xmp", "noembed", "noframes")
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 BOXES = frozenset("html body main article section div td".split())
+#: With boxes, the elements beyond which a start tag ends nothing.
+LISTS = frozenset("table ul ol".split())
 #: Elements that a start tag of the key ends, if they are open within the nearest box.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Never content, whatever their ratios.
@@ -75,21 +80,61 @@ class Paths:
             self.firm.append(self.firm[parent] or name in ("article", "main"))
         return found
 
-    def within(self, top: int) -> list[bool]:
-        """Of each path, whether it is ``top`` or below it; parents have smaller numbers."""
-        out = [top == 0]
+    def within(self, tops: set[int]) -> list[bool]:
+        """Of each path, whether it is one of ``tops`` or below one; parents have smaller numbers."""
+        out = [0 in tops]
         for k in range(1, len(self.parent)):
-            out.append(k == top or out[self.parent[k]])
+            out.append(k in tops or out[self.parent[k]])
         return out
 
 
+class Open:
+    """The open elements; where those of a name and the boundaries stand is known, so no tag looks through all of them."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, bool]] = [("", 0, False)]
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.boxes: list[int] = [0]
+        self.bounds: list[int] = [0]
+
+    def push(self, name: str, path: int, apart: bool) -> None:
+        at = len(self.stack)
+        self.stack.append((name, path, apart))
+        self.places[name].append(at)
+        if name in BOXES:
+            self.boxes.append(at)
+        if name in BOXES or name in LISTS:
+            self.bounds.append(at)
+
+    def cut(self, at: int) -> None:
+        """Ends the elements from place ``at`` on."""
+        while len(self.stack) > at:
+            self.places[self.stack.pop()[0]].pop()
+        for marks in (self.boxes, self.bounds):
+            while marks[-1] >= at:
+                marks.pop()
+
+    def end(self, name: str) -> None:
+        """An end tag; one that has no start, or only outside the box that an inline element is in, ends nothing."""
+        places = self.places.get(name)
+        if places and (name in BLOCK or places[-1] >= self.boxes[-1]):
+            self.cut(places[-1])
+
+    def implied(self, names: set[str] | frozenset[str]) -> None:
+        """Ends what a start tag ends that may not stand within ``names``, up to the nearest boundary."""
+        bound = self.bounds[-1]
+        first = [p[bisect_left(p, bound)] for n in names if (p := self.places.get(n)) and p[-1] >= bound]
+        if first:
+            self.cut(min(first))
+
+
 def nodes(source: str, paths: Paths) -> Iterator[tuple[int, str, bool, bool]]:
     """(path, raw text, apart, new) of every text node: apart marks boilerplate, new that a block begins or ends before it."""
-    stack: list[tuple[str, int, bool]] = [("", 0, False)]
+    tree = Open()
     new, at = True, 0
     while at < len(source):
         m = TAG.search(source, at)
-        _, path, apart = stack[-1]
+        _, path, apart = tree.stack[-1]
         if text := source[at : m.start() if m else len(source)]:
             yield path, text, apart, new
             new = False
@@ -104,23 +149,15 @@ def nodes(source: str, paths: Paths) -> Iterator[tuple[int, str, bool, bool]]:
         if name == "br" and not new:
             yield path, " ", apart, False
         if source.startswith("</", m.start()):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if stack[k][0] in BOXES and name not in BLOCK:
-                    break
+            tree.end(name)
         elif name in RAW:
             end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(source, at)
             at = end.end() if end else len(source)
         elif name not in VOID:
-            closes = ENDS.get(name, frozenset()) | ({"p"} if name in BLOCK else set())
-            for k in range(len(stack) - 1, 0, -1) if closes else ():
-                if stack[k][0] in closes:
-                    del stack[k:]
-                elif stack[k][0] in BOXES or stack[k][0] in ("table", "ul", "ol"):
-                    break
-            stack.append((name, paths.below(stack[-1][1], name), stack[-1][2] or _apart(name, m[2] or m[4] or "")))
+            if closes := ENDS.get(name, frozenset()) | ({"p"} if name in BLOCK else set()):
+                tree.implied(closes)
+            _, path, apart = tree.stack[-1]
+            tree.push(name, paths.below(path, name), apart or _apart(name, m[2] or m[4] or ""))
 
 
 def _smooth(values: list[float], sigma: float) -> list[float]:
@@ -162,14 +199,7 @@ def main_text(source: str) -> str:
     """Blocks of the main text in page order, joined by an empty line; empty if there is none."""
     paths = Paths()
     found = list(nodes(source, paths))
-    chosen = content_paths(found)
-    size: dict[int, int] = defaultdict(int)
-    for path, text, apart, _ in found:
-        if not apart and path in chosen:
-            size[paths.box[path]] += len(text)
-    if not size:
-        return ""
-    inside = paths.within(max(size, key=lambda c: (size[c], -c)))
+    inside = paths.within({paths.box[path] for path in content_paths(found)})
     blocks: list[list[str]] = [[]]
     for path, text, apart, new in found:
         if new:
