@@ -1,8 +1,8 @@
 """URL filter: host and path rules, and association rules mined by FP-growth from labelled pages.
 
 DataFrame functions and Spark's own FP-growth only. Mined rules are held in an
-inverted index under their rarest token; a URL's tokens look them up by an
-equi-join, and a rule matches if the URL has all its tokens.
+inverted index under the tokens of one of their items; a URL's tokens look them
+up by an equi-join, and a rule matches if the URL has a token of each item.
 """
 
 from __future__ import annotations
@@ -60,36 +60,54 @@ def tokens_of(url: Column) -> Column:
 
 
 def mined(labelled: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """(tokens, anchor, confidence, support) of the rules tokens -> unwanted, from ``labelled(url, bad)``.
-
-    A rule needs ``support`` unwanted pages and may have any number of tokens.
-    It is dropped if a rule with one token less has at least its confidence,
-    which matches all its pages. Labelled rows with a null url or label are
-    left out. Tokens of too few unwanted pages are in no rule and not mined.
+    """(tokens, confidence, support) of the rules tokens -> unwanted, from ``labelled(url, bad)``.
+
+    ``tokens`` is an array of arrays: a rule asks for one token of each. Tokens
+    that stand in just the same labelled pages say the same and are one item, so
+    a page of n such tokens is one item and not 2^n sets. (Sets of pages are
+    compared by their size and two 64-bit sums.) A rule needs ``support``
+    unwanted pages and may have any number of items. It is dropped if a rule
+    with one item less has at least its confidence, which matches all its
+    pages; so an item that is unwanted in all of its pages is a rule by itself
+    and needs no mining. Labelled rows with a null url or label are left out.
+    Tokens of too few unwanted pages are in no rule and not mined.
     """
     rows = labelled.where("url is not null and bad is not null").select(tokens_of(F.col("url")).alias("tokens"), "bad")
-    rows = stored(rows.where(F.size("tokens") > 0), "url-items").withColumn("row", F.monotonically_increasing_id())
-    often = rows.where("bad").select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= support).select("token")
-    items = stored(rows.select("row", "bad", F.explode("tokens").alias("token")).join(often, "token").groupBy("row", "bad").agg(F.collect_list("token").alias("t")), "url-frequent")
-    items = items.select(F.concat("t", F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    rows = stored(rows.where(F.size("tokens") > 0).withColumn("row", F.monotonically_increasing_id()), "url-items")
+    where = [F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"s{k}") for k in (1, 2)]
+    each = rows.select("row", "bad", F.explode("tokens").alias("token"))
+    tokens = each.groupBy("token").agg(F.count("*").alias("all"), F.count_if("bad").alias("bad"), *where).where(F.col("bad") >= support)
+    items = stored(tokens.groupBy("all", "bad", "s1", "s2").agg(F.min("token").alias("item"), F.array_sort(F.collect_list("token")).alias("any")).drop("s1", "s2"), "url-frequent")
+    sure = items.where("bad = all").select(F.array("any").alias("tokens"), F.lit(1.0).alias("confidence"), F.col("bad").alias("support"))
+    open_items = items.where("bad < all")
+    held = each.join(open_items.select(F.col("item").alias("token")), "token").groupBy("row", "bad").agg(F.collect_list("token").alias("t"))
+    held = held.select(F.concat("t", F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    held = stored(held, "url-transactions")
     # half a page less, so that rounding doesn't ask for one more
-    share = min(1.0, (support - 0.5) / max(items.count(), 1))
-    sets = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(items).freqItemsets.where(F.col("freq") >= support)
+    share = min(1.0, (support - 0.5) / max(held.count(), 1))
+    sets = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(held).freqItemsets.where(F.col("freq") >= support)
     found = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.col("freq").alias("bad"))
     whole = sets.where(~F.array_contains("items", BAD)).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("all"))
-    one = whole.where(F.size("tokens") == 1).select(F.col("tokens")[0].alias("token"), F.col("all").alias("n"))
     rules = stored(found.join(whole, "tokens").withColumn("confidence", F.col("bad") / F.col("all")).where(F.col("confidence") >= confidence), "url-rules")
     fewer = rules.select(F.col("tokens").alias("fewer"), F.col("confidence").alias("c"))
     less = rules.where(F.size("tokens") > 1).select("tokens", "confidence", F.explode(F.transform("tokens", lambda x: F.array_remove("tokens", x))).alias("fewer"))
     kept = rules.join(less.join(fewer, "fewer").where(F.col("c") >= F.col("confidence")).select("tokens").distinct(), "tokens", "left_anti")
-    rarest = kept.select("tokens", F.explode("tokens").alias("token")).join(one, "token").groupBy("tokens").agg(F.min_by("token", F.struct("n", "token")).alias("anchor"))
-    return kept.join(rarest, "tokens").select("tokens", "anchor", "confidence", F.col("bad").alias("support"))
+    named = kept.select("tokens", "confidence", "bad", F.explode("tokens").alias("item")).join(open_items.select("item", "any"), "item")
+    named = named.groupBy(F.col("tokens").alias("rule")).agg(F.array_sort(F.collect_list("any")).alias("tokens"), F.first("confidence").alias("confidence"), F.first("bad").alias("support"))
+    return sure.unionByName(named.drop("rule"))
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """The distinct urls of ``urls(url)`` that a mined rule matches."""
+    """The distinct urls of ``urls(url)`` that a mined rule matches.
+
+    Rules are filed under the tokens of one of their items, that of the fewest
+    tokens; a url's tokens look them up.
+    """
+    least = F.array_min(F.transform("tokens", lambda t: F.struct(F.size(t).alias("n"), t.alias("t"))))["t"]
+    index = rules.select("tokens", F.explode(least).alias("anchor"))
     plain = urls.where("url is not null").distinct().withColumn("has", tokens_of(F.col("url")))
-    return plain.select("url", "has", F.explode("has").alias("anchor")).join(rules, "anchor").where(F.size(F.array_except("tokens", "has")) == 0).select("url").distinct()
+    found = plain.select("url", "has", F.explode("has").alias("anchor")).join(index, "anchor")
+    return found.where(F.forall("tokens", lambda t: F.arrays_overlap(t, F.col("has")))).select("url").distinct()
 
 
 def judged(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
