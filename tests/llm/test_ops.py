@@ -1,9 +1,12 @@
 """Each operator against a plain version, with nulls, empty and long texts, repeated rows, empty tables and extra columns."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
+import struct
+import time
 import zlib
 from collections import Counter
 
@@ -12,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm import bpe, html, lm, packing, pii, quality, queries, secrets, shingles, simhash, tiff, tokens, urls
-from strandline.llm.shared import components, spans_text
+from strandline.llm.shared import components, spans_text, spread_join
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
 SCHEMA = "doc_id long, text string, rules string, spans string, fp string, base string"
@@ -112,7 +115,7 @@ def test_lm(docs, none):
     coded = lambda t: bytes([254] * lm.DEPTH) + (t or "").encode().lower() + b"\xff"
     for r in rows:
         if not lm.held_out(r.doc_id):
-            train.update([*(r.text or "").encode().lower().split(), lm.STOP])
+            train.update([*(r.text or "").encode().lower().split(), b" "])
             b = coded(r.text)
             for i in range(lm.DEPTH, len(b)):
                 for o in range(lm.DEPTH + 1):
@@ -122,7 +125,7 @@ def test_lm(docs, none):
     got = lm.scored(docs).collect()
     want = Counter()
     for r in rows:
-        w = [*(r.text or "").encode().lower().split(), lm.STOP]
+        w = [*(r.text or "").encode().lower().split(), b" "]
         b, score = coded(r.text), 0.0
         for i in range(lm.DEPTH, len(b)):
             gone: set = set()
@@ -157,6 +160,22 @@ def test_html(spark):
     assert html.extracted(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_html_keeps_every_block():
+    para = "A sentence, long enough to count; it has marks, too. And another one."
+    page = f"<body><div><div><p>{para}</p></div><section><p>{para} B</p></section><h2>Head</h2><p>{para} C</p></body>"
+    assert html.main_text(page) == "\n\n".join([para, para + " B", "Head", para + " C"])
+    split = f"<body><main><h1>T</h1><div><p>{para}</p></div><ul><li>short</ul><div><p>{para} D</p></div></main><aside><p>{para}</p></aside></body>"
+    assert html.main_text(split) == "\n\n".join(["T", para, "short", para + " D"])
+
+
+def test_html_of_many_open_tags():
+    n = 50_000
+    began = time.monotonic()
+    for page in ("<div>" * n + "</p>" * n, "<span>" * n + "<p>a" * n, "<b><div>" + "<i>" * n + "</b>" * n + "x", "<ul>" + "<li>a<b>" * n, "<td>" * n + "</tr>" * n):
+        html.main_text(page)
+    assert time.monotonic() - began < 60
+
+
 def test_bpe(docs, none):
     tokenizers = pytest.importorskip("tokenizers")
     path = queries.vocabulary()
@@ -276,12 +295,43 @@ def test_url_rules_need_a_number_of_pages_not_a_share(spark):
     parts = ["aa", "bb", "cc", "dd"]
     spam += [(f"http://h.example.biz/{'/'.join(parts)}", True)] * 8 + [(f"http://h.example.biz/{'/'.join(p for p in parts if p != gone)}", False) for gone in parts for _ in range(8)]
     frame = spark.createDataFrame(good + spam, "url string, bad boolean")
-    rules = {tuple(r.tokens): (r.confidence, r.support) for r in urls.mined(frame).collect()}
-    assert rules[("word:spam",)] == (1.0, 6) and rules[tuple(f"path:{p}" for p in parts)] == (1.0, 8)
-    assert not any("rare" in t for tokens in rules for t in tokens)
+    rules = {tuple(map(tuple, r.tokens)): (r.confidence, r.support) for r in urls.mined(frame).collect()}
+    assert rules[("host:spam.example.biz", "word:spam"),] == (1.0, 6) and rules[tuple((f"path:{p}",) for p in parts)] == (1.0, 8)
+    assert not any("rare" in t for tokens in rules for item in tokens for t in item)
     assert {r.url for r in urls.matched(frame.select("url"), urls.mined(frame)).collect()} == {u for u, bad in spam if bad and "rare" not in u}
     few = frame.where("url like '%spam%' or url like '%rare%'")
-    assert not any("rare" in t for r in urls.mined(few).collect() for t in r.tokens)  # nor where labels are few
+    assert not any("rare" in t for r in urls.mined(few).collect() for item in r.tokens for t in item)  # nor where labels are few
+
+
+def test_url_rules_against_all_sets(spark):
+    rng = random.Random(2)
+    pages = [("http://h.biz/" + "/".join(sorted({rng.choice("abcdef") * 2 for _ in range(rng.randint(1, 5))})), rng.random() < 0.5) for _ in range(300)]
+    pages = [(u, bad or "/aa/cc" in u or u.count("/ee/ff") > 0) for u, bad in pages]
+    frame = spark.createDataFrame(pages, "url string, bad boolean")
+    has = [{"path:" + p for p in u.split("/")[3:]} | {"host:biz", "host:h.biz", "word:h", "word:biz"} for u, _ in pages]
+    tokens = sorted(set().union(*has))
+    rules: dict = {}
+    for n in range(1, 4):
+        for some in itertools.combinations(tokens, n):
+            of = [bad for h, (_, bad) in zip(has, pages, strict=True) if h.issuperset(some)]
+            if sum(of) >= 5 and sum(of) >= 0.8 * len(of):
+                rules[some] = sum(of) / len(of)
+    want = {u for h, (u, _) in zip(has, pages, strict=True) if any(h.issuperset(r) for r in rules)}
+    assert 0 < len(want) < 300
+    mined = urls.mined(frame)
+    assert {r.url for r in urls.matched(frame.select("url"), mined).collect()} == want
+    for r in mined.collect():
+        for some in itertools.product(*r.tokens):
+            of = [bad for h, (_, bad) in zip(has, pages, strict=True) if h.issuperset(some)]
+            assert (sum(of), sum(of) / len(of)) == (r.support, r.confidence)
+
+
+def test_url_of_many_segments(spark):
+    long = "http://h.biz/" + "/".join(f"s{chr(97 + i % 26)}{'x' * (i // 26)}" for i in range(40))
+    frame = spark.createDataFrame([(long, True)] * 9 + [(long, False)] + [("http://h.biz/other", False)] * 9, "url string, bad boolean")
+    (rule,) = urls.mined(frame).collect()
+    assert rule.support == 9 and rule.confidence == 0.9 and [len(t) for t in rule.tokens] == [40]
+    assert [r.url for r in urls.matched(frame.select("url"), urls.mined(frame)).collect()] == [long]
 
 
 def _fingerprint(text):
@@ -303,6 +353,7 @@ def test_simhash(docs, none):
     assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == group
     kept = simhash.keep_one(docs)
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(set(group.values())) and kept.columns == docs.columns
+    assert [simhash.blocks_for(n) for n in (0, 1 << 20, 1 << 25, 1 << 40)] == [6, 6, 7, 8]
     assert simhash.near_duplicates(none).collect() == []
 
 
@@ -325,6 +376,22 @@ def test_near_dedup_links_shingle_similarity(spark):
     assert shingles.similar(frame.limit(0)).collect() == []
 
 
+def test_keep_one_loses_no_text(spark):
+    copy, other, third = "one two three four five six seven eight", "totally other words here that are quite unlike the rest", "third text of another sort with its own words in it"
+    rows = [(1, copy), (1, other), (2, third), (3, copy), (3, copy), (4, "x y z"), (4, "x y z"), (None, "x y z"), (None, "only without id"), (None, "only without id"), (5, None), (6, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for groups in (simhash.near_groups, shingles.similar_groups):
+        kept = simhash.keep_one(frame, groups=groups)
+        assert Counter(map(tuple, kept.collect())) == Counter([(1, copy), (1, other), (2, third), (4, "x y z"), (None, "only without id"), (5, None)])
+
+
+def test_spread_join(spark):
+    rows = spark.createDataFrame([(k, i) for i in range(300) for k in ([0] if i % 3 else [i])], "key long, i long")
+    facts = rows.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n"), F.min("i").alias("low"))
+    got = spread_join(rows, facts, "key", shares=8)
+    assert sorted(map(tuple, got.select("key", "i", "low").collect())) == sorted(map(tuple, rows.join(facts, rows.key == facts.k).select("key", "i", "low").collect()))
+
+
 def test_large_bucket_and_components(spark):
     rng = random.Random(9)
     fps = [rng.getrandbits(64) for _ in range(40)]
@@ -356,6 +423,45 @@ def test_tiff(docs, none, spark):
     assert tiff.digests(none).collect() == []
 
 
+def test_tiff_of_other_writers():
+    """Files written out byte by byte, after the format's description."""
+
+    def file(order, entries, *blocks):
+        out, spots = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 8)), []
+        at = 8 + 2 + 12 * len(entries) + 4
+        for b in blocks:
+            spots.append(at)
+            at += len(b)
+        out += struct.pack(order + "H", len(entries))
+        for tag, kind, value in entries:
+            value = spots[0] if value == "here" else value
+            out += struct.pack(order + "HHI", tag, kind, 1) + (struct.pack(order + "HH", value, 0) if kind == 3 else struct.pack(order + "I", value))
+        return bytes(out + b"\0\0\0\0" + b"".join(blocks))
+
+    def entries(width, height, compression, size, bits=8):
+        return [(256, 3, width), (257, 3, height), (258, 3, bits), (259, 3, compression), (262, 3, 1), (273, 4, "here"), (277, 3, 1), (278, 3, height), (279, 4, size)]
+
+    # runs and plain bytes in turn
+    bits = bytes([0xFE, 0xAA, 0x02, 0x80, 0x00, 0x2A, 0xFD, 0xAA, 0x03, 0x80, 0x00, 0x2A, 0x22, 0xF7, 0xAA])
+    raw = bytes([0xAA] * 3 + [0x80, 0x00, 0x2A] + [0xAA] * 4 + [0x80, 0x00, 0x2A, 0x22] + [0xAA] * 10)
+    for order in "<>":
+        assert [p.tobytes() for p in tiff.pages(file(order, entries(6, 4, 32773, len(bits)), bits))] == [raw]
+    # clear, 7, 258 (77), 8, 8, 258, 6, 6, end: nine-bit codes, high bits first
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    number = int("".join(f"{c:09b}" for c in codes).ljust(88, "0"), 2).to_bytes(11, "big")
+    assert [p.tobytes() for p in tiff.pages(file(">", entries(3, 3, 5, 11), number))] == [bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])]
+    plain = struct.pack(">4H", 1, 258, 65535, 0)
+    assert next(tiff.pages(file(">", entries(2, 2, 1, 8, 16), plain))).ravel().tolist() == [1, 258, 65535, 0]
+
+
+def test_tiff_of_false_sizes(spark):
+    good = bytearray(tiff.write(bytes(range(64)) * 4))
+    bad = bytes(good).replace(struct.pack("<HHII", 256, 4, 1, 64), struct.pack("<HHII", 256, 4, 1, 1 << 22)).replace(struct.pack("<HHII", 257, 4, 1, 4), struct.pack("<HHII", 257, 4, 1, 1 << 22))
+    assert bad != bytes(good)
+    (row,) = tiff.page_rows(spark.createDataFrame([(1, bad)], "id long, data binary"), "id", "data").collect()
+    assert row.page is None and row.error
+
+
 def test_pipeline(spark, tmp_path, docs):
     pipeline = pytest.importorskip("corpus_pipeline")
     tables = docs.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
