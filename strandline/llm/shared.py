@@ -200,21 +200,22 @@ def replaced(text: Column, spans: Column, cut: int = 256) -> Column:
 
 
 def bitmap(keys: DataFrame, bits: int = BITS) -> Column:
-    """The hashes of ``keys(h)`` as a constant of ``bits`` bits for ``in_bitmap``.
+    """The hashes of ``keys(h)`` as a constant of up to ``bits`` bits for ``in_bitmap``, smaller where they are few.
 
     It only spares shuffles: what is not in it is surely no key. With many more
     keys than bits it lets everything pass.
     """
     spot = F.pmod("h", F.lit(bits))
     rows = keys.select(F.shiftright(spot, 6).cast("int").alias("w"), F.expr("shiftleft(1L, CAST(pmod(h, 64) AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()  # at most bits / 64 rows
-    words = [0] * (bits // 64)
+    size = min(bits // 64, 1 << (16 * len(rows)).bit_length())
+    words = [0] * size
     for r in rows:
-        words[r.w] = r.b
+        words[r.w % size] |= r.b
     return keys.sparkSession.createDataFrame([(words,)], "w array<long>").scalar()
 
 
-def in_bitmap(table: Column, h: Column, bits: int = BITS) -> Column:
-    word = F.get(table, F.shiftright(F.pmod(h, F.lit(bits)), 6).cast("int"))
+def in_bitmap(table: Column, h: Column) -> Column:
+    word = F.get(table, F.pmod(F.shiftright(h, 6), F.size(table)).cast("int"))
     return F.getbit(word, F.pmod(h, F.lit(64)).cast("int")) == 1
 
 

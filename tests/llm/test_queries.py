@@ -127,3 +127,13 @@ def test_running_folds(spark):
     spans_of = F.array(*[F.struct(F.lit(b).alias("start"), F.lit(0).alias("rank"), F.lit(e).alias("end"), F.lit("k").alias("kind"), F.lit("").alias("hit")) for b, e in cuts])
     want = "[k]" + text[3:255] + "[k]" + text[300:511] + "[k]" + text[512:999] + "[k]"
     assert spark.range(1).select(replaced(F.lit(text), spans_of)).first()[0] == want
+
+
+def test_bitmaps_pass_every_key(spark):
+    from strandline.llm.shared import bitmap, in_bitmap
+
+    for n, bits in ((0, 1 << 24), (1, 1 << 24), (3000, 1 << 24), (5000, 1 << 12)):
+        keys = spark.range(n).select(F.xxhash64("id").alias("h"))
+        rows = spark.range(20_000).select("id", F.xxhash64("id").alias("h")).withColumn("b", bitmap(keys, bits))
+        passed = {r.id for r in rows.where(in_bitmap(F.col("b"), F.col("h"))).select("id").collect()}
+        assert passed >= set(range(n)) and (bits < 1 << 24 or len(passed) < n + 2500)
