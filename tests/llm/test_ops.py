@@ -376,6 +376,52 @@ def test_near_dedup_links_shingle_similarity(spark):
     assert shingles.similar(frame.limit(0)).collect() == []
 
 
+def test_near_dedup_candidates_by_simhash(spark, monkeypatch):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(17)
+    texts = [[f"w{rng.randrange(3000)}" for _ in range(rng.choice((8, 60, 300)))] for _ in range(20)]
+    texts += [[*t[:at], "changed", *t[at + 1 :]] for t in texts for at in (len(t) // 2, 0)] + [t[:-1] for t in texts] + [[]]
+    lines = [" ".join(t) for t in texts]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(lines)], "doc_id long, text string, lang string, source string, n_chars long")
+    signed = shingles.signatures(frame.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("tid"), F.col("text").cast("binary").alias("text")))
+    rows = signed.collect()
+    for r in rows:  # a fingerprint bit is that of more than half of the distinct shingles; blocks are cut from it in order
+        x = [int(h) for h in shingles.shingle_set(lines[r.id].encode())]
+        mixed = []
+        for h in x:
+            hashes = [h * int(f) % 2**64 for f in shingles.FACTORS[:8]]
+            hashes = [(y ^ y >> 32) * int(shingles.FACTORS[-1]) % 2**64 for y in hashes]
+            mixed.append(sum((y ^ y >> 29) << 64 * k for k, y in enumerate(hashes)))
+        print_ = sum(1 << b for b in range(512) if 2 * sum(m >> b & 1 for m in mixed) > len(x))
+        assert [w % 2**64 for w in r.words] == [print_ >> 64 * k & (2**64 - 1) for k in range(3)]
+        assert r.keys == [(k << 8) + (print_ >> 8 * k & 255) for k in range(58)]
+    assert shingles.blocks_for(85) == (8, 58) and shingles.blocks_for(15 << 20)[0] == 12
+    for apart, tile in ((shingles.APART, 4), (30, 4096)):
+        root = {r.node: r.root for r in components(shingles.near_links(signed, apart, tile)).collect()}
+        prints = {r.fp: (sum((w % 2**64) << 64 * k for k, w in enumerate(r.words)), set(r.keys)) for r in rows}
+        group = {x: x for x in prints}
+        for _ in range(6):
+            for x, (a, keys) in prints.items():
+                group[x] = min(group[y] for y, (b, others) in prints.items() if x == y or (a ^ b).bit_count() <= apart and keys & others)
+        assert {x: root.get(x, x) for x in prints} == group
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    group = list(range(len(texts)))
+    for _ in range(4):
+        for i, a in enumerate(sets):
+            group[i] = min(group[j] for j, b in enumerate(sets) if i == j or len(a & b) >= 0.8 * len(a | b))
+    assert sorted(r.doc_id for r in pipeline.near_dedup(spark, frame, "").collect()) == sorted(set(group))
+    links = shingles.near_links
+    monkeypatch.setattr(shingles, "near_links", lambda signed: links(signed, apart=-1))
+    firsts = {frozenset(x): i for i, x in reversed(list(enumerate(sets)))}  # without fingerprints near each other only equal sets are linked
+    assert sorted(r.doc_id for r in pipeline.near_dedup(spark, frame, "").collect()) == sorted(firsts.values())
+
+
+def test_tiny_shingle_sets(spark):
+    texts = [t for k in range(300) for t in (f"a{k} b{k} c{k} d{k} e{k} f{k} g{k} h{k}", f"a{k} b{k} c{k} d{k} e{k} f{k} g{k} h{k} i{k}")]  # 4 of 5 shingles
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in shingles.similar(frame).collect()} == {i: i - i % 2 for i in range(600)}
+
+
 def test_keep_one_loses_no_text(spark):
     copy, other, third = "one two three four five six seven eight", "totally other words here that are quite unlike the rest", "third text of another sort with its own words in it"
     rows = [(1, copy), (1, other), (2, third), (3, copy), (3, copy), (4, "x y z"), (4, "x y z"), (None, "x y z"), (None, "only without id"), (None, "only without id"), (5, None), (6, "")]
