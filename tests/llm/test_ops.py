@@ -194,6 +194,15 @@ def test_bpe(docs, none):
     assert tokens.digests(none, path).collect() == []
 
 
+def test_bpe_merges_no_known_word_again(monkeypatch):
+    enc, merged = bpe.Encoder(queries.vocabulary()), []
+    merge = enc.merge
+    monkeypatch.setattr(enc, "merge", lambda *args: merged.append(len(args[-1])) or merge(*args))
+    first, second = next(enc.encode(["Hello world"])), next(enc.encode(["hello. (world), hello"]))
+    assert merged == [2, 3]  # the second text has three new words: a stop, a bracket, a bracket with a comma
+    assert first[:4] == second[:4] == second[-4:]
+
+
 def test_pii(docs, none, spark):
     def luhn(d):
         return sum(x - 9 if x > 9 else x for x in (int(c) * (1 + i % 2) for i, c in enumerate(reversed(d)))) % 10 == 0
