@@ -148,11 +148,36 @@ def _close(apart: int):
     return run
 
 
+def _stars_of(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest, other) for each node but the smallest of each component of the edges."""
+    names, ends = np.unique(np.concatenate((u, v)), return_inverse=True)
+    root = np.arange(len(names))
+    a, b = np.split(ends, 2)
+    while (apart := a != b).any():
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+        a, b = root[a], root[b]
+    other = root != np.arange(len(names))
+    return names[root[other]], names[other]
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) that connect what all edges of the task connect, fewer than their nodes."""
+    held = [np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns]) for b in batches if b.num_rows]
+    if held:
+        u, v = _stars_of(*np.concatenate(held, axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+
 def near_links(signed: DataFrame, apart: int = APART, tile: int = BUCKET) -> DataFrame:
     """Edges (u, v) that connect all values of ``signed(fp, words, keys)`` linked by a common block and a distance up to ``apart``.
 
     A bucket of more than ``tile`` fingerprints is cut into tiles, every pair of
     which is a unit of its own, and a unit yields stars and never its pairs.
+    A fingerprint of a large group is in stars of many blocks, on as many others;
+    where its edges meet, one for each fingerprint there is left.
     """
     distinct = stored(signed.select("fp", "words", "keys").dropDuplicates(["fp"]), "shingle-distinct")
     filed = distinct.select("fp", *[F.col("words")[i].alias(f"w{i}") for i in range(WORDS)], F.explode("keys").alias("key"))
@@ -160,7 +185,7 @@ def near_links(signed: DataFrame, apart: int = APART, tile: int = BUCKET) -> Dat
     dealt = filed.join(full, F.col("key") == F.col("k")).withColumn("t", F.pmod(F.xxhash64("fp"), F.col("tiles")))
     units = dealt.select("*", F.explode(F.expr("sequence(0L, tiles - 1)")).alias("o")).where("tiles = 1 or t <> o")
     units = units.select("key", F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b"), "fp", *[f"w{i}" for i in range(WORDS)])
-    return units.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_close(apart), "u long, v long").distinct()
+    return units.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_close(apart), "u long, v long").repartition("v").mapInArrow(_joined, "u long, v long")
 
 
 def _stars(names: np.ndarray, sets: list[np.ndarray], least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:

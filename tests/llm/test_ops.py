@@ -7,6 +7,7 @@ import random
 import re
 import struct
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -176,6 +177,34 @@ def test_html_of_many_open_tags():
     assert time.monotonic() - began < 60
 
 
+def test_shingle_links_of_a_large_group(spark):
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = [" ".join(w if rng.random() < 0.99 else f"x{rng.randrange(10**6)}" for w in words) for _ in range(300)]
+    texts += [" ".join(f"y{rng.randrange(10**6)}" for _ in range(50)) for _ in range(100)]
+    rows = spark.createDataFrame([(i, i, t.encode()) for i, t in enumerate(texts)], "id long, tid long, text binary")
+    signed = shingles.signatures(rows).collect()
+    links = shingles.near_links(spark.createDataFrame(signed)).distinct().collect()
+    near = lambda x, y: sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(x.words, y.words, strict=True)) <= shingles.APART
+    root = {r.fp: r.fp for r in signed}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(signed):
+        for y in signed[:i]:
+            if set(x["keys"]) & set(y["keys"]) and near(x, y):
+                root[top(x.fp)] = top(y.fp)
+    want = Counter(top(r.fp) for r in signed)
+    root = {r.fp: r.fp for r in signed}
+    for u, v in links:
+        root[top(u)] = top(v)
+    assert sorted(want.values()) == sorted(Counter(top(r.fp) for r in signed).values()) and max(want.values()) > 200
+    assert len(links) < 3 * len(texts)
+
+
 def test_bpe(docs, none):
     tokenizers = pytest.importorskip("tokenizers")
     path = queries.vocabulary()
@@ -194,6 +223,19 @@ def test_bpe(docs, none):
     assert tokens.digests(none, path).collect() == []
 
 
+def test_bpe_memory_of_long_texts():
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choices(["on", "sch", "tion", "que", "er"], k=rng.randint(2, 5))) for _ in range(400_000)) * 3
+    enc = bpe.Encoder(queries.vocabulary())
+    tracemalloc.start()
+    try:
+        ids = next(enc.encode([text]))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 2 * len(text) + 2 * len(ids) + (48 << 20)  # the text and its ids, and work on a part of it
+
+
 def test_bpe_merges_no_known_word_again(monkeypatch):
     enc, merged = bpe.Encoder(queries.vocabulary()), []
     merge = enc.merge
