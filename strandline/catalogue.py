@@ -10,14 +10,15 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable
+from functools import partial
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.align import flow, index, pairs
 from strandline.functions import sequences
-from strandline.operators import kernels, regions, seeding
+from strandline.operators import kernels, matching, regions, seeding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -71,10 +72,15 @@ chains AS (SELECT s.doc_id, s.item_id, s.band, min(qbeg) AS qbeg, max(qend) AS q
  FROM seeds s JOIN onq USING (doc_id, item_id, band) JOIN onr USING (doc_id, item_id, band) GROUP BY s.doc_id, s.item_id, s.band)"""
 
 
-def sql(name: str, tables: str, body: str, k: int = 0, parts: str = "", oracle: str = "", oracle_parts: str | None = None) -> None:
-    """Registers a query in SQL; ``k`` makes the view ``mems`` first. ``oracle`` and ``oracle_parts`` are the oracle's own form of it."""
+def sql(name: str, tables: str, body: str, k: int = 0, parts: str = "", oracle: str = "", oracle_parts: str | None = None, fold: Callable[[matching.Found], tuple] | None = None, names: str = "") -> None:
+    """Registers a query in SQL; ``k`` makes the view ``mems`` first. ``oracle`` and ``oracle_parts`` are the oracle's own form of it.
+
+    ``fold`` gives the columns ``names`` of the matches of a read, where the reference is of bounded size.
+    """
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if fold and (found := matching.per_read(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k, fold, names)) is not None:
+            return found
         for t in tables.split():
             table(spark, sf_dir, t).createOrReplaceTempView(t)
         if k:
@@ -118,6 +124,21 @@ second AS (SELECT s.doc_id, s.qbeg, (SELECT list_sort(list(b.qend), 'DESC')[2] F
 sql("occ_cap_stride", "", "SELECT doc_id, qbeg, qend, item_id, rbeg FROM numbered WHERE (rn - 1) % step = 0 AND floor((rn - 1) / (step * 1.0)) < 2", k=8, parts="""counted AS (SELECT *, count(*) OVER (PARTITION BY doc_id, qbeg, qend) AS s, row_number() OVER (PARTITION BY doc_id, qbeg, qend ORDER BY item_id, rbeg) AS rn FROM mems),
 numbered AS (SELECT *, CASE WHEN s > 2 THEN CAST(floor(s / 2.0) AS BIGINT) ELSE 1 END AS step FROM counted)""")
 sql("distinct_interval_resolve", "documents", "SELECT m.doc_id, m.qbeg, m.qend, r.places FROM (SELECT DISTINCT doc_id, qbeg, qend, seed FROM named) m JOIN (SELECT seed, CAST(count(DISTINCT concat(CAST(item_id AS VARCHAR(20)), ':', CAST(rbeg AS VARCHAR(20)))) AS BIGINT) AS places FROM named GROUP BY seed) r ON m.seed = r.seed", k=8, parts="named AS (SELECT m.*, substr(d.text, CAST(m.qbeg + 1 AS INT), CAST(m.len AS INT)) AS seed FROM mems m JOIN documents d ON m.doc_id = d.doc_id)")
+
+
+def _resolved(spark: SparkSession, sf_dir: str, plain: Callable[[SparkSession, str], DataFrame] = QUERIES["distinct_interval_resolve"]) -> DataFrame:
+    """A match's text is the reference's, so its places are counted among the reference's places that any read has, which are as many as the reference allows."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    at = ["item_id", "rbeg", "len"]
+    if (found := matching.per_read(docs, items, 8, matching.places, ", ".join(at))) is None:
+        return plain(spark, sf_dir)
+    seed = F.substring("text", (F.col("rbeg") + 1).cast("int"), F.col("len").cast("int"))
+    named = found.select(*at).distinct().join(items.select("item_id", "text"), "item_id").select(*at, seed.alias("seed"))
+    counted = named.select(*at, F.count("*").over(Window.partitionBy("seed")).alias("places"))
+    return matching.per_read(docs, items, 8, matching.intervals, f"qbeg, qend, {', '.join(at)}").join(counted, at).select("doc_id", "qbeg", "qend", "places")
+
+
+QUERIES["distinct_interval_resolve"] = _resolved
 sql("seed_order_global", "", "SELECT doc_id, item_id, qbeg, qend, rbeg, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY len DESC, qbeg, item_id, rbeg) AS BIGINT) AS seed_ix FROM mems", k=10, oracle="SELECT a.doc_id, a.item_id, a.qbeg, a.qend, a.rbeg, CAST((SELECT count(*) FROM mems b WHERE b.doc_id = a.doc_id AND (-b.len, b.qbeg, b.item_id, b.rbeg) < (-a.len, a.qbeg, a.item_id, a.rbeg)) + 1 AS BIGINT) AS seed_ix FROM mems a")
 sql("seed_order_local", "", "SELECT doc_id, item_id, qbeg, qend, rbeg, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY qbeg, len DESC, item_id, rbeg) AS BIGINT) AS seed_ix FROM mems", k=10, oracle="SELECT a.doc_id, a.item_id, a.qbeg, a.qend, a.rbeg, CAST((SELECT count(*) FROM mems b WHERE b.doc_id = a.doc_id AND (b.qbeg, -b.len, b.item_id, b.rbeg) < (a.qbeg, -a.len, a.item_id, a.rbeg)) + 1 AS BIGINT) AS seed_ix FROM mems a")
 sql("seed_absorb_count", "", "SELECT a.doc_id, a.item_id, a.qbeg, a.qend, a.rbeg, CAST(count(b.qbeg) AS BIGINT) AS absorbed FROM ix a LEFT JOIN ix b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND b.qbeg >= a.qbeg AND b.qend <= a.qend AND b.rbeg >= a.rbeg AND b.rbeg + b.len <= a.rbeg + a.len AND (b.len < a.len OR (b.len = a.len AND b.ix > a.ix)) GROUP BY a.doc_id, a.item_id, a.qbeg, a.qend, a.rbeg", k=10, parts="ix AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY qbeg, item_id, rbeg, len) AS ix FROM mems)", oracle_parts="", oracle="SELECT a.doc_id, a.item_id, a.qbeg, a.qend, a.rbeg, CAST((SELECT count(*) FROM mems b WHERE b.doc_id = a.doc_id AND b.item_id = a.item_id AND b.qbeg BETWEEN a.qbeg AND a.qend AND b.qend <= a.qend AND b.rbeg BETWEEN a.rbeg AND a.rbeg + a.len AND b.rbeg + b.len <= a.rbeg + a.len AND (b.len < a.len OR (b.len = a.len AND (b.qbeg, b.rbeg) > (a.qbeg, a.rbeg)))) AS BIGINT) AS absorbed FROM mems a")

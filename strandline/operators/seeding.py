@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators import matching
+
 #: Characters of a piece that k-mers are cut from; cutting from whole texts would count characters anew for each.
 PIECE = 256
 
@@ -20,6 +24,15 @@ def kmers(texts: DataFrame, key: str, text: str, k: int) -> DataFrame:
 def mem_hits(reads: DataFrame, refs: DataFrame, k: int, read_key: str = "doc_id", ref_key: str = "item_id", text: str = "text") -> DataFrame:
     """Maximal exact matches of length k or more: read, ref, qbeg, qend, rbeg, len (0-based, end exclusive).
 
+    A reference of bounded size goes to where reads are read; a larger one is joined.
+    """
+    found = matching.per_read(reads, refs, k, matching.mems, f"{ref_key}, qbeg, qend, rbeg, len", read_key, ref_key, text)
+    return joined_hits(reads, refs, k, read_key, ref_key, text) if found is None else found
+
+
+def joined_hits(reads: DataFrame, refs: DataFrame, k: int, read_key: str = "doc_id", ref_key: str = "item_id", text: str = "text") -> DataFrame:
+    """``mem_hits`` of a reference of any size.
+
     A match of length L shares L-k+1 k-mers in a row on one diagonal, so islands
     on (read, ref, diagonal) are the maximal matches. The reference side is
     broadcast only if the planner finds it small; k-mers that many reads share
@@ -39,7 +52,8 @@ def round_three(reads: DataFrame, refs: DataFrame, k: int, most: int, read_key:
 
     From a place, the walk tries ends from k+1 characters on until one has fewer
     than ``most`` places; it emits this match if it has any place, and restarts
-    after it either way. Where the k+1-mer has ``most`` places or more, the
+    after it either way. A reference of bounded size goes to where reads are
+    read; for a larger one, where the k+1-mer has ``most`` places or more, the
     maximal matches over it tell the end: it is one behind the ``most``-th
     farthest of theirs. Reads are walked where their counts have been gathered,
     one read's places at a time.
@@ -48,7 +62,7 @@ def round_three(reads: DataFrame, refs: DataFrame, k: int, most: int, read_key:
     spots = kmers(reads, read_key, text, k + 1).join(grams, "kmer").select(read_key, "pos", "n")
     short = spots.where(F.col("n") < most).select(read_key, "pos", (F.col("pos") + k + 1).alias("end"), "n")
     hot = spots.where(F.col("n") >= most).select(read_key, "pos")
-    mems = mem_hits(reads.join(hot.select(read_key).distinct(), read_key, "left_semi"), refs, k + 1, read_key, refs.columns[0], text)
+    mems = joined_hits(reads.join(hot.select(read_key).distinct(), read_key, "left_semi"), refs, k + 1, read_key, refs.columns[0], text)
     over = mems.select(read_key, "qend", F.explode(F.sequence("qbeg", F.col("qend") - k - 1)).alias("pos")).join(hot, [read_key, "pos"])
     ends = over.groupBy(read_key, "pos", "qend").agg(F.count("*").alias("c"))
     farther = F.sum("c").over(Window.partitionBy(read_key, "pos").orderBy(F.desc("qend")))
