@@ -174,6 +174,9 @@ sql("repeat_fraction", "documents", "SELECT d.doc_id, CAST(coalesce(sum(greatest
 
 @query("chain_filter")
 def _chain_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = partial(matching.filtered_chains, mask=regions.MASK, drop=regions.DROP, gap=regions.GAP, seed=1)
+    if (found := matching.per_read(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 8, fold, "qbeg, qend, w, kept")) is not None:
+        return found
     return regions.filtered_chains(_view(spark, sf_dir, 8, CHAINS, "SELECT doc_id, qbeg, qend, w FROM chains"), seed=1)
 
 

@@ -5,7 +5,7 @@ import pytest
 from strandline import catalogue
 from strandline.operators import matching, seeding
 
-FOLDED = ["distinct_interval_resolve"]
+FOLDED = ["distinct_interval_resolve", "chain_filter"]
 
 
 def _texts(rng, letters, n, most):
