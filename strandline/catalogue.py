@@ -187,6 +187,9 @@ def _regions(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
 
 @query("primary_mark")
 def _primary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = partial(matching.marked_primary, mask=regions.MASK, near=7)
+    if (found := matching.per_read(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10, fold, "item_id, qbeg, qend, score, secondary, sub, sub_n")) is not None:
+        return found
     return regions.marked_primary(_regions(spark, sf_dir))
 
 
