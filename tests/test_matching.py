@@ -5,7 +5,7 @@ import pytest
 from strandline import catalogue
 from strandline.operators import matching, seeding
 
-FOLDED = ["distinct_interval_resolve", "chain_filter", "primary_mark"]
+FOLDED = ["distinct_interval_resolve", "seed_absorb_count", "chain_filter", "primary_mark"]
 
 
 def _texts(rng, letters, n, most):
