@@ -120,7 +120,7 @@ places AS (SELECT a.doc_id, a.qbeg, b.qend FROM (SELECT DISTINCT doc_id, qbeg FR
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, qbeg ORDER BY qend DESC) AS t FROM places),
 bounds AS (SELECT doc_id, qbeg, qend, max(qend) OVER (PARTITION BY doc_id ORDER BY qbeg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM ranked WHERE t = 2)""", oracle_parts=SMEMS_PLAIN + """,
 starts AS (SELECT DISTINCT doc_id, qbeg FROM mems),
-second AS (SELECT s.doc_id, s.qbeg, (SELECT list_sort(list(b.qend), 'DESC')[2] FROM mems b WHERE b.doc_id = s.doc_id AND b.qbeg <= s.qbeg AND b.qend >= s.qbeg + 8) AS qend FROM starts s)""", oracle="SELECT DISTINCT b.doc_id, b.qbeg, b.qend FROM second b, smems m WHERE b.qend IS NOT NULL AND NOT EXISTS (SELECT 1 FROM second o WHERE o.doc_id = b.doc_id AND o.qbeg < b.qbeg AND o.qend >= b.qend) AND b.doc_id = m.doc_id AND m.s = 1 AND m.qend - m.qbeg >= 9 AND b.qbeg <= (m.qbeg + m.qend + 1) // 2 AND b.qend > (m.qbeg + m.qend + 1) // 2")
+second AS (SELECT s.doc_id, s.qbeg, (SELECT list_sort(list(b.qend), 'DESC')[2] FROM mems b WHERE b.doc_id = s.doc_id AND b.qbeg <= s.qbeg AND b.qend >= s.qbeg + 8) AS qend FROM starts s)""", oracle="SELECT DISTINCT b.doc_id, b.qbeg, b.qend FROM second b, smems m WHERE b.qend IS NOT NULL AND NOT EXISTS (SELECT 1 FROM second o WHERE o.doc_id = b.doc_id AND o.qbeg < b.qbeg AND o.qend >= b.qend) AND b.doc_id = m.doc_id AND m.s = 1 AND m.qend - m.qbeg >= 9 AND b.qbeg <= (m.qbeg + m.qend + 1) // 2 AND b.qend > (m.qbeg + m.qend + 1) // 2", fold=matching.reseeded, names="qbeg, qend")
 sql("occ_cap_stride", "", "SELECT doc_id, qbeg, qend, item_id, rbeg FROM numbered WHERE (rn - 1) % step = 0 AND floor((rn - 1) / (step * 1.0)) < 2", k=8, parts="""counted AS (SELECT *, count(*) OVER (PARTITION BY doc_id, qbeg, qend) AS s, row_number() OVER (PARTITION BY doc_id, qbeg, qend ORDER BY item_id, rbeg) AS rn FROM mems),
 numbered AS (SELECT *, CASE WHEN s > 2 THEN CAST(floor(s / 2.0) AS BIGINT) ELSE 1 END AS step FROM counted)""", fold=matching.strided, names="qbeg, qend, item_id, rbeg")
 sql("distinct_interval_resolve", "documents", "SELECT m.doc_id, m.qbeg, m.qend, r.places FROM (SELECT DISTINCT doc_id, qbeg, qend, seed FROM named) m JOIN (SELECT seed, CAST(count(DISTINCT concat(CAST(item_id AS VARCHAR(20)), ':', CAST(rbeg AS VARCHAR(20)))) AS BIGINT) AS places FROM named GROUP BY seed) r ON m.seed = r.seed", k=8, parts="named AS (SELECT m.*, substr(d.text, CAST(m.qbeg + 1 AS INT), CAST(m.len AS INT)) AS seed FROM mems m JOIN documents d ON m.doc_id = d.doc_id)")
