@@ -5,7 +5,7 @@ import pytest
 from strandline import catalogue
 from strandline.operators import matching, seeding
 
-FOLDED = ["reseed_intervals", "occ_cap_stride", "distinct_interval_resolve", "seed_absorb_count", "chain_weight", "min_chain_weight", "chain_cap_topn", "chain_tie_frac", "capped_sub", "chain_filter", "primary_mark", "region_dedup"]
+FOLDED = ["smem_intervals", "reseed_intervals", "occ_cap_stride", "distinct_interval_resolve", "seed_absorb_count", "chain_weight", "min_chain_weight", "chain_cap_topn", "chain_tie_frac", "capped_sub", "chain_filter", "primary_mark", "region_dedup"]
 
 
 def _texts(rng, letters, n, most):
