@@ -114,7 +114,7 @@ def _view(spark: SparkSession, sf_dir: str, k: int, parts: str, body: str) -> Da
 for _k in (19, 10, 8):
     sql(f"mem_hits_k{_k}", "", "SELECT doc_id, item_id, qbeg, qend, rbeg, len FROM mems", k=_k)
 sql("smem_intervals", "", "SELECT doc_id, qbeg, qend, s FROM smems", k=8, parts=SMEMS, oracle_parts=SMEMS_PLAIN, fold=matching.smems, names="qbeg, qend, s")
-sql("smem_dedup", "", "SELECT doc_id, qbeg, qend, s FROM smems UNION SELECT doc_id, qbeg, qend, s FROM spans WHERE qend - qbeg >= 9", k=8, parts=SMEMS, oracle_parts=SMEMS_PLAIN, oracle="SELECT * FROM spans a WHERE qend - qbeg >= 9 OR NOT EXISTS (SELECT 1 FROM smems b WHERE b.doc_id = a.doc_id AND b.qbeg <= a.qbeg AND b.qend >= a.qend AND b.qend - b.qbeg > a.qend - a.qbeg)")
+sql("smem_dedup", "", "SELECT doc_id, qbeg, qend, s FROM smems UNION SELECT doc_id, qbeg, qend, s FROM spans WHERE qend - qbeg >= 9", k=8, parts=SMEMS, oracle_parts=SMEMS_PLAIN, oracle="SELECT * FROM spans a WHERE qend - qbeg >= 9 OR NOT EXISTS (SELECT 1 FROM smems b WHERE b.doc_id = a.doc_id AND b.qbeg <= a.qbeg AND b.qend >= a.qend AND b.qend - b.qbeg > a.qend - a.qbeg)", fold=partial(matching.smems, least=9), names="qbeg, qend, s")
 sql("reseed_intervals", "", "SELECT DISTINCT b.doc_id, b.qbeg, b.qend FROM bounds b JOIN smems m ON b.doc_id = m.doc_id AND m.s = 1 AND m.qend - m.qbeg >= 9 AND b.qbeg <= floor((m.qbeg + m.qend + 1) / 2.0) AND b.qend > floor((m.qbeg + m.qend + 1) / 2.0) WHERE b.prior IS NULL OR b.prior < b.qend", k=8, parts=SMEMS + """,
 places AS (SELECT a.doc_id, a.qbeg, b.qend FROM (SELECT DISTINCT doc_id, qbeg FROM mems) a JOIN mems b ON a.doc_id = b.doc_id AND b.qbeg <= a.qbeg AND b.qend >= a.qbeg + 8),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, qbeg ORDER BY qend DESC) AS t FROM places),
