@@ -58,6 +58,9 @@ def round_three(reads: DataFrame, refs: DataFrame, k: int, most: int, read_key:
     farthest of theirs. Reads are walked where their counts have been gathered,
     one read's places at a time.
     """
+    found = matching.per_read(reads, refs, k + 1, partial(matching.walked, most=most), "qbeg, qend, hits", read_key, refs.columns[0], text)
+    if found is not None:
+        return found
     grams = kmers(refs, refs.columns[0], text, k + 1).groupBy("kmer").agg(F.count("*").alias("n"))
     spots = kmers(reads, read_key, text, k + 1).join(grams, "kmer").select(read_key, "pos", "n")
     short = spots.where(F.col("n") < most).select(read_key, "pos", (F.col("pos") + k + 1).alias("end"), "n")
