@@ -165,7 +165,7 @@ def _base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Chains
 sql("chain_weight", "", "SELECT doc_id, item_id, band, qbeg, qend, n_seeds, w FROM chains", k=8, parts=CHAINS, oracle_parts=CHAINS_PLAIN, fold=partial(matching.chain_columns, names=("id", "band", "qbeg", "qend", "n_seeds", "w")), names="item_id, band, qbeg, qend, n_seeds, w")
 sql("min_chain_weight", "", "SELECT doc_id, item_id, band, w FROM chains WHERE w >= 12", k=8, parts=CHAINS, oracle_parts=CHAINS_PLAIN, fold=partial(matching.chain_columns, names=("id", "band", "w"), least=12), names="item_id, band, w")
-sql("min_ext_len", "", "SELECT m.doc_id, m.item_id, m.qbeg, m.qend, m.rbeg FROM mems m JOIN chains c ON m.doc_id = c.doc_id AND m.item_id = c.item_id AND floor((m.qbeg - m.rbeg) / 64.0) = c.band WHERE c.anchor < 12 OR m.len >= 12", k=8, parts=CHAINS, oracle_parts=CHAINS_PLAIN)
+sql("min_ext_len", "", "SELECT m.doc_id, m.item_id, m.qbeg, m.qend, m.rbeg FROM mems m JOIN chains c ON m.doc_id = c.doc_id AND m.item_id = c.item_id AND floor((m.qbeg - m.rbeg) / 64.0) = c.band WHERE c.anchor < 12 OR m.len >= 12", k=8, parts=CHAINS, oracle_parts=CHAINS_PLAIN, fold=matching.anchored, names="item_id, qbeg, qend, rbeg")
 sql("chain_cap_topn", "", "SELECT doc_id, item_id, band, w, capped_w FROM (SELECT *, CAST(coalesce(max(CASE WHEN rn > 3 THEN w END) OVER (PARTITION BY doc_id), 0) AS BIGINT) AS capped_w FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, item_id, band) AS rn FROM chains) x) y WHERE rn <= 3", k=8, parts=CHAINS, oracle_parts=CHAINS_PLAIN + ", lists AS (SELECT doc_id, list(struct_pack(v := -w, item_id := item_id, band := band) ORDER BY w DESC, item_id, band) AS l FROM chains GROUP BY doc_id)", oracle="SELECT doc_id, c.item_id AS item_id, c.band AS band, -c.v AS w, CAST(coalesce(-l[4].v, 0) AS BIGINT) AS capped_w FROM (SELECT doc_id, l, unnest(l[1:3]) AS c FROM lists)", fold=matching.top_chains, names="item_id, band, w, capped_w")
 sql("chain_tie_frac", "", "SELECT doc_id, item_id, band, w FROM (SELECT *, max(w) OVER (PARTITION BY doc_id) AS best FROM chains) x WHERE w >= floor(0.95 * best)", k=8, parts=CHAINS, oracle_parts=CHAINS_PLAIN, fold=matching.near_best, names="item_id, band, w")
 sql("capped_sub", "", "SELECT doc_id, CAST(max(CASE WHEN rn = 1 THEN w END) AS BIGINT) AS score, CAST(least(coalesce(max(CASE WHEN rn > 3 THEN w END), 0), max(CASE WHEN rn = 1 THEN w END) - 1) AS BIGINT) AS csub FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, item_id, band) AS rn FROM chains) x GROUP BY doc_id", k=8, parts=CHAINS, oracle_parts=CHAINS_PLAIN, fold=matching.capped_sub, names="score, csub")
