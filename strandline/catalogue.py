@@ -193,7 +193,7 @@ def _primary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.marked_primary(_regions(spark, sf_dir))
 
 
-sql("region_rank", "", "SELECT doc_id, item_id, qbeg, qend, len AS score, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY len DESC, rbeg, qbeg, item_id) AS BIGINT) AS rank_ix FROM mems", k=10, oracle="SELECT a.doc_id, a.item_id, a.qbeg, a.qend, a.len AS score, CAST((SELECT count(*) FROM mems b WHERE b.doc_id = a.doc_id AND (-b.len, b.rbeg, b.qbeg, b.item_id) < (-a.len, a.rbeg, a.qbeg, a.item_id)) + 1 AS BIGINT) AS rank_ix FROM mems a")
+sql("region_rank", "", "SELECT doc_id, item_id, qbeg, qend, len AS score, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY len DESC, rbeg, qbeg, item_id) AS BIGINT) AS rank_ix FROM mems", k=10, oracle="SELECT a.doc_id, a.item_id, a.qbeg, a.qend, a.len AS score, CAST((SELECT count(*) FROM mems b WHERE b.doc_id = a.doc_id AND (-b.len, b.rbeg, b.qbeg, b.item_id) < (-a.len, a.rbeg, a.qbeg, a.item_id)) + 1 AS BIGINT) AS rank_ix FROM mems a", fold=matching.region_rank, names="item_id, qbeg, qend, score, rank_ix")
 sql("region_emit_filter", "", "SELECT doc_id, item_id, qbeg, qend, len AS score FROM mems WHERE len >= 12", k=10)
 sql("region_dedup", "", "SELECT a.doc_id, a.item_id, a.qbeg, a.qend, a.rbeg FROM mems a LEFT ANTI JOIN mems b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND (b.len > a.len OR (b.len = a.len AND (b.rbeg > a.rbeg OR (b.rbeg = a.rbeg AND b.qbeg > a.qbeg)))) AND least(a.qend, b.qend) - greatest(a.qbeg, b.qbeg) > 0.7 * least(a.len, b.len) AND least(a.rbeg + a.len, b.rbeg + b.len) - greatest(a.rbeg, b.rbeg) > 0.7 * least(a.len, b.len)", k=8, oracle="SELECT a.doc_id, a.item_id, a.qbeg, a.qend, a.rbeg FROM mems a WHERE NOT EXISTS (SELECT 1 FROM mems b WHERE b.doc_id = a.doc_id AND b.item_id = a.item_id AND (b.len, b.rbeg, b.qbeg) > (a.len, a.rbeg, a.qbeg) AND 10 * (least(a.qend, b.qend) - greatest(a.qbeg, b.qbeg)) > 7 * least(a.len, b.len) AND 10 * (least(a.rbeg + a.len, b.rbeg + b.len) - greatest(a.rbeg, b.rbeg)) > 7 * least(a.len, b.len))", fold=matching.deduped, names="item_id, qbeg, qend, rbeg")
 
