@@ -169,7 +169,7 @@ sql("min_ext_len", "", "SELECT m.doc_id, m.item_id, m.qbeg, m.qend, m.rbeg FROM
 sql("chain_cap_topn", "", "SELECT doc_id, item_id, band, w, capped_w FROM (SELECT *, CAST(coalesce(max(CASE WHEN rn > 3 THEN w END) OVER (PARTITION BY doc_id), 0) AS BIGINT) AS capped_w FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, item_id, band) AS rn FROM chains) x) y WHERE rn <= 3", k=8, parts=CHAINS, oracle_parts=CHAINS_PLAIN + ", lists AS (SELECT doc_id, list(struct_pack(v := -w, item_id := item_id, band := band) ORDER BY w DESC, item_id, band) AS l FROM chains GROUP BY doc_id)", oracle="SELECT doc_id, c.item_id AS item_id, c.band AS band, -c.v AS w, CAST(coalesce(-l[4].v, 0) AS BIGINT) AS capped_w FROM (SELECT doc_id, l, unnest(l[1:3]) AS c FROM lists)", fold=matching.top_chains, names="item_id, band, w, capped_w")
 sql("chain_tie_frac", "", "SELECT doc_id, item_id, band, w FROM (SELECT *, max(w) OVER (PARTITION BY doc_id) AS best FROM chains) x WHERE w >= floor(0.95 * best)", k=8, parts=CHAINS, oracle_parts=CHAINS_PLAIN, fold=matching.near_best, names="item_id, band, w")
 sql("capped_sub", "", "SELECT doc_id, CAST(max(CASE WHEN rn = 1 THEN w END) AS BIGINT) AS score, CAST(least(coalesce(max(CASE WHEN rn > 3 THEN w END), 0), max(CASE WHEN rn = 1 THEN w END) - 1) AS BIGINT) AS csub FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, item_id, band) AS rn FROM chains) x GROUP BY doc_id", k=8, parts=CHAINS, oracle_parts=CHAINS_PLAIN, fold=matching.capped_sub, names="score, csub")
-sql("repeat_fraction", "documents", "SELECT d.doc_id, CAST(coalesce(sum(greatest(0, x.qend - greatest(x.qbeg, coalesce(x.far, 0)))), 0) AS BIGINT) AS covered, CAST(length(max(d.text)) AS BIGINT) AS total FROM documents d LEFT JOIN (SELECT doc_id, qbeg, qend, max(qend) OVER (PARTITION BY doc_id ORDER BY qbeg, qend ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM spans WHERE s >= 2) x ON d.doc_id = x.doc_id GROUP BY d.doc_id", k=8, parts=SMEMS, oracle_parts=SMEMS_PLAIN, oracle="SELECT d.doc_id, CAST(coalesce(any_value(x.n), 0) AS BIGINT) AS covered, CAST(length(any_value(d.text)) AS BIGINT) AS total FROM documents d LEFT JOIN (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(qbeg, qend)) AS p FROM spans WHERE s >= 2) GROUP BY doc_id) x ON d.doc_id = x.doc_id GROUP BY d.doc_id")
+sql("repeat_fraction", "documents", "SELECT d.doc_id, CAST(coalesce(sum(greatest(0, x.qend - greatest(x.qbeg, coalesce(x.far, 0)))), 0) AS BIGINT) AS covered, CAST(length(max(d.text)) AS BIGINT) AS total FROM documents d LEFT JOIN (SELECT doc_id, qbeg, qend, max(qend) OVER (PARTITION BY doc_id ORDER BY qbeg, qend ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM spans WHERE s >= 2) x ON d.doc_id = x.doc_id GROUP BY d.doc_id", k=8, parts=SMEMS, oracle_parts=SMEMS_PLAIN, oracle="SELECT d.doc_id, CAST(coalesce(any_value(x.n), 0) AS BIGINT) AS covered, CAST(length(any_value(d.text)) AS BIGINT) AS total FROM documents d LEFT JOIN (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(qbeg, qend)) AS p FROM spans WHERE s >= 2) GROUP BY doc_id) x ON d.doc_id = x.doc_id GROUP BY d.doc_id", fold=matching.repeat_fraction, names="covered, total")
 
 
 @query("chain_filter")
