@@ -139,8 +139,8 @@ def _resolved(spark: SparkSession, sf_dir: str, plain: Callable[[SparkSession, s
 
 
 QUERIES["distinct_interval_resolve"] = _resolved
-sql("seed_order_global", "", "SELECT doc_id, item_id, qbeg, qend, rbeg, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY len DESC, qbeg, item_id, rbeg) AS BIGINT) AS seed_ix FROM mems", k=10, oracle="SELECT a.doc_id, a.item_id, a.qbeg, a.qend, a.rbeg, CAST((SELECT count(*) FROM mems b WHERE b.doc_id = a.doc_id AND (-b.len, b.qbeg, b.item_id, b.rbeg) < (-a.len, a.qbeg, a.item_id, a.rbeg)) + 1 AS BIGINT) AS seed_ix FROM mems a")
-sql("seed_order_local", "", "SELECT doc_id, item_id, qbeg, qend, rbeg, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY qbeg, len DESC, item_id, rbeg) AS BIGINT) AS seed_ix FROM mems", k=10, oracle="SELECT a.doc_id, a.item_id, a.qbeg, a.qend, a.rbeg, CAST((SELECT count(*) FROM mems b WHERE b.doc_id = a.doc_id AND (b.qbeg, -b.len, b.item_id, b.rbeg) < (a.qbeg, -a.len, a.item_id, a.rbeg)) + 1 AS BIGINT) AS seed_ix FROM mems a")
+sql("seed_order_global", "", "SELECT doc_id, item_id, qbeg, qend, rbeg, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY len DESC, qbeg, item_id, rbeg) AS BIGINT) AS seed_ix FROM mems", k=10, oracle="SELECT a.doc_id, a.item_id, a.qbeg, a.qend, a.rbeg, CAST((SELECT count(*) FROM mems b WHERE b.doc_id = a.doc_id AND (-b.len, b.qbeg, b.item_id, b.rbeg) < (-a.len, a.qbeg, a.item_id, a.rbeg)) + 1 AS BIGINT) AS seed_ix FROM mems a", fold=partial(matching.seed_order, keys=("-n", "qbeg", "id", "rbeg")), names="item_id, qbeg, qend, rbeg, seed_ix")
+sql("seed_order_local", "", "SELECT doc_id, item_id, qbeg, qend, rbeg, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY qbeg, len DESC, item_id, rbeg) AS BIGINT) AS seed_ix FROM mems", k=10, oracle="SELECT a.doc_id, a.item_id, a.qbeg, a.qend, a.rbeg, CAST((SELECT count(*) FROM mems b WHERE b.doc_id = a.doc_id AND (b.qbeg, -b.len, b.item_id, b.rbeg) < (a.qbeg, -a.len, a.item_id, a.rbeg)) + 1 AS BIGINT) AS seed_ix FROM mems a", fold=partial(matching.seed_order, keys=("qbeg", "-n", "id", "rbeg")), names="item_id, qbeg, qend, rbeg, seed_ix")
 sql("seed_absorb_count", "", "SELECT a.doc_id, a.item_id, a.qbeg, a.qend, a.rbeg, CAST(count(b.qbeg) AS BIGINT) AS absorbed FROM ix a LEFT JOIN ix b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND b.qbeg >= a.qbeg AND b.qend <= a.qend AND b.rbeg >= a.rbeg AND b.rbeg + b.len <= a.rbeg + a.len AND (b.len < a.len OR (b.len = a.len AND b.ix > a.ix)) GROUP BY a.doc_id, a.item_id, a.qbeg, a.qend, a.rbeg", k=10, parts="ix AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY qbeg, item_id, rbeg, len) AS ix FROM mems)", oracle_parts="", oracle="SELECT a.doc_id, a.item_id, a.qbeg, a.qend, a.rbeg, CAST((SELECT count(*) FROM mems b WHERE b.doc_id = a.doc_id AND b.item_id = a.item_id AND b.qbeg BETWEEN a.qbeg AND a.qend AND b.qend <= a.qend AND b.rbeg BETWEEN a.rbeg AND a.rbeg + a.len AND b.rbeg + b.len <= a.rbeg + a.len AND (b.len < a.len OR (b.len = a.len AND (b.qbeg, b.rbeg) > (a.qbeg, a.rbeg)))) AS BIGINT) AS absorbed FROM mems a", fold=matching.absorbed, names="item_id, qbeg, qend, rbeg, absorbed")
 sql("seed_prune_spec30", "", "SELECT doc_id, item_id, qbeg, qend, rbeg, len FROM (SELECT *, max(len) OVER (PARTITION BY doc_id) AS longest, count(*) OVER (PARTITION BY doc_id, qbeg, qend) AS s FROM mems) x WHERE longest < 12 OR len = longest OR len >= 11 OR (s = 1 AND len >= 10)", k=8)
 sql("kmer_diagonal_votes", "", "SELECT doc_id, item_id, diag, votes FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY votes DESC, diag) AS rn FROM (SELECT doc_id, item_id, qbeg - rbeg AS diag, CAST(sum(len - 7) AS BIGINT) AS votes FROM mems GROUP BY doc_id, item_id, qbeg - rbeg) v) x WHERE rn = 1 AND votes >= 3", k=8, fold=matching.diagonal_votes, names="item_id, diag, votes")
