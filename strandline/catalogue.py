@@ -234,13 +234,20 @@ def seed_kernel(docs: DataFrame, items: DataFrame, f: Callable[[str, list], list
     return _seeded(docs, items, k).mapInPandas(batch, f"doc_id long, {schema}")
 
 
-def _kernel(name: str, f: Callable[[str, list], list[tuple]], schema: str) -> None:
-    QUERIES[name] = lambda spark, sf_dir: seed_kernel(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), f, schema)
+def _kernel(name: str, f: Callable[[str, list], list[tuple]], schema: str, fold: Callable[[DataFrame], Callable[[matching.Found], tuple] | None]) -> None:
+    """Registers ``f``; ``fold(items)`` is the same over all seeds of a batch, where the items are of bounded size."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+        found = matching.per_read(docs, items, 10, of, schema) if (of := fold(items)) else None
+        return seed_kernel(docs, items, f, schema) if found is None else found
+
+    QUERIES[name] = run
 
 
-_kernel("local_sw", _local, "item_id long, score long, t_end long, q_end long")
-_kernel("extend_score", _extensions, "item_id long, qbeg long, rbeg long, len long, score long, q_start long, q_taken long, t_start long, t_taken long")
-_kernel("global_cigar", _cigars, "item_id long, qbeg long, qend long, rbeg long, rend long, cigar string, nm long, score long")
+_kernel("local_sw", _local, "item_id long, score long, t_end long, q_end long", lambda items: None)
+_kernel("extend_score", _extensions, "item_id long, qbeg long, rbeg long, len long, score long, q_start long, q_taken long, t_start long, t_taken long", lambda items: None)
+_kernel("global_cigar", _cigars, "item_id long, qbeg long, qend long, rbeg long, rend long, cigar string, nm long, score long", lambda items: matching.cigars)
 
 # Documents as reads of a reference that the benchmark makes
 #: Reads that a document is cut into, and the letters that stand for bases.

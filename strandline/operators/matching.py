@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.operators import kernels
+
 #: Characters of a reference that tasks have whole, of reads matched at once, and hits or pairs held at once.
 MOST, CHUNK, HELD = 1 << 20, 1 << 18, 1 << 21
 #: Odd multipliers of the words of a k-mer.
@@ -65,7 +67,8 @@ class Matcher:
     def __init__(self, ids: list[int], texts: list[str], k: int) -> None:
         self.k, self.texts, self.ids = k, texts, np.array(ids, np.int64)
         lens = np.array([len(t) for t in texts], np.int64)
-        self.starts = np.cumsum(lens + 1) - lens - 1  # an item is followed by one code that no read has
+        self.ends = np.cumsum(lens + 1) - 1  # an item is followed by one code that no read has
+        self.starts = self.ends - lens
         points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
         letters = np.unique(points)
         self.bits = next(b for b in (8, 16, 32) if len(letters) + 2 < 1 << b)
@@ -148,6 +151,7 @@ class Matcher:
         f.row, f.item = f.rows(f.b), np.searchsorted(self.starts, f.r, "right") - 1
         f.qbeg, f.rbeg = f.b - f.starts[f.row], f.r - self.starts[f.item]
         f.qend, f.id, f.ids, f.refs, f.k = f.qbeg + f.n, self.ids[f.item], self.ids, self.texts, k
+        f.q, f.codes, f.item_starts, f.item_ends = q, self.codes, self.starts, self.ends
         f.pair = f.row * max(len(self.ids), 1) + f.item
         return f
 
@@ -556,3 +560,62 @@ def walked(f: Found, most: int) -> tuple:
                     out.append((np.array([s]), np.array([end + 1]), np.array([more])))
                 at = end + 1
     return _spans_out(f, *(np.concatenate(x) for x in zip(*out, strict=True)))
+
+
+def _extended(f: Found) -> tuple[np.ndarray, ...]:
+    """Each match extended to the left, then from that score to the right: score, and begins and lengths in the read and the item."""
+    score, dt, dq = kernels.extended_many(f.q, f.b - 1, f.qbeg, f.codes, f.r - 1, f.rbeg, f.n, -1)
+    b, r = f.b + f.n, f.r + f.n
+    score, et, eq = kernels.extended_many(f.q, b, f.ends[f.row] - b, f.codes, r, f.item_ends[f.item] - r, score)
+    return score, f.qbeg - dq, dq + f.n + eq, f.rbeg - dt, dt + f.n + et
+
+
+def extensions(f: Found) -> tuple:
+    return f.row, [f.id, f.qbeg, f.rbeg, f.n, *_extended(f)]
+
+
+def cigars(f: Found) -> tuple:
+    """Each different region that a match extends to, aligned from end to end; equal texts have but matches."""
+    _, qb, qn, rb, rn = _extended(f)
+    order = np.lexsort((rn, rb, qn, qb, f.pair))
+    o = order[news(*(x[order] for x in (f.pair, qb, qn, rb, rn)))]
+    row, item, qb, qn, rb, rn = (x[o] for x in (f.row, f.item, qb, qn, rb, rn))
+    same = qn == rn
+    q0, r0 = f.starts[row] + qb, f.item_starts[item] + rb
+    differ = np.zeros(len(o) + 1, np.int64)
+    for s in blocks(qn * same, HELD):
+        n = qn[s] * same[s]
+        unlike = f.q[ranges(q0[s], n)] != f.codes[ranges(r0[s], n)]
+        differ[1:][s] = np.bincount(np.repeat(np.arange(len(n)), n), unlike, len(n))
+    differ, known, told = differ[1:], {}, []
+    for k, (d, i, n) in enumerate(zip(row.tolist(), item.tolist(), qn.tolist(), strict=True)):
+        if same[k] and not differ[k]:
+            told.append((f"{n}M", 0, n * kernels.MATCH))
+            continue
+        two = f.texts[d][qb[k] : qb[k] + n], f.refs[i][rb[k] : rb[k] + rn[k]]
+        if two not in known:
+            known[two] = kernels.global_cigar(*two)
+        told.append(known[two])
+    return row, [f.ids[item], qb, qb + qn, rb, rb + rn, *(list(x) for x in (zip(*told, strict=True) if told else ([], [], [])))]
+
+
+def local(f: Found, short: Matcher) -> tuple:
+    """Best local score of a read and each item that it has a match with, and its ends; of equal ones, the first in the item, then in the read.
+
+    All that a best alignment begins with is above 0, so it begins with more
+    matches than a mismatch costs, and at the begin of a run of them: from
+    every such run's begin on, all that stays above 0 is followed.
+    """
+    g = short.find(Found(f.keys, f.texts, f.null))
+    pairs = np.unique(f.pair)
+    at = np.searchsorted(pairs, g.pair)
+    on = pairs[np.minimum(at, max(len(pairs) - 1, 0))] == g.pair if len(pairs) else np.zeros(len(at), bool)
+    at, k = at[on], short.k
+    q0, r0 = g.b[on] + k, g.r[on] + k
+    start = np.full(len(at), k * kernels.MATCH)
+    score, dt, dq = kernels.extended_many(g.q, q0, g.ends[g.row[on]] - q0, g.codes, r0, g.item_ends[g.item[on]] - r0, start, zdrop=1 << 40)
+    t_end, q_end = r0 + dt - g.item_starts[g.item[on]], q0 + dq - g.starts[g.row[on]]
+    order = np.lexsort((q_end, t_end, -score, at))
+    o = order[news(at[order])] if len(order) else order
+    items = max(len(f.ids), 1)
+    return pairs // items, [f.ids[pairs % items], score[o], t_end[o], q_end[o]]
