@@ -246,7 +246,7 @@ def _kernel(name: str, f: Callable[[str, list], list[tuple]], schema: str, fold:
 
 
 _kernel("local_sw", _local, "item_id long, score long, t_end long, q_end long", lambda items: None)
-_kernel("extend_score", _extensions, "item_id long, qbeg long, rbeg long, len long, score long, q_start long, q_taken long, t_start long, t_taken long", lambda items: None)
+_kernel("extend_score", _extensions, "item_id long, qbeg long, rbeg long, len long, score long, q_start long, q_taken long, t_start long, t_taken long", lambda items: matching.extensions)
 _kernel("global_cigar", _cigars, "item_id long, qbeg long, qend long, rbeg long, rend long, cigar string, nm long, score long", lambda items: matching.cigars)
 
 # Documents as reads of a reference that the benchmark makes

@@ -5,7 +5,7 @@ import pytest
 from strandline import catalogue
 from strandline.operators import matching, seeding
 
-FOLDED = ["smem_intervals", "smem_dedup", "reseed_intervals", "occ_cap_stride", "distinct_interval_resolve", "seed_order_global", "seed_order_local", "seed_absorb_count", "kmer_diagonal_votes", "round3_walk", "chain_weight", "min_chain_weight", "min_ext_len", "chain_cap_topn", "chain_tie_frac", "capped_sub", "repeat_fraction", "chain_filter", "primary_mark", "region_rank", "region_dedup", "region_emit_filter", "global_cigar"]
+FOLDED = ["smem_intervals", "smem_dedup", "reseed_intervals", "occ_cap_stride", "distinct_interval_resolve", "seed_order_global", "seed_order_local", "seed_absorb_count", "kmer_diagonal_votes", "round3_walk", "chain_weight", "min_chain_weight", "min_ext_len", "chain_cap_topn", "chain_tie_frac", "capped_sub", "repeat_fraction", "chain_filter", "primary_mark", "region_rank", "region_dedup", "region_emit_filter", "extend_score", "global_cigar"]
 
 
 def _texts(rng, letters, n, most):
