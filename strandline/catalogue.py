@@ -245,7 +245,12 @@ def _kernel(name: str, f: Callable[[str, list], list[tuple]], schema: str, fold:
     QUERIES[name] = run
 
 
-_kernel("local_sw", _local, "item_id long, score long, t_end long, q_end long", lambda items: None)
+def _local_fold(items: DataFrame) -> Callable[[matching.Found], tuple] | None:
+    short = matching.matcher(items, kernels.MISMATCH // kernels.MATCH + 1)
+    return partial(matching.local, short=short) if short else None
+
+
+_kernel("local_sw", _local, "item_id long, score long, t_end long, q_end long", _local_fold)
 _kernel("extend_score", _extensions, "item_id long, qbeg long, rbeg long, len long, score long, q_start long, q_taken long, t_start long, t_taken long", lambda items: matching.extensions)
 _kernel("global_cigar", _cigars, "item_id long, qbeg long, qend long, rbeg long, rend long, cigar string, nm long, score long", lambda items: matching.cigars)
 

@@ -114,13 +114,14 @@ class Matcher:
             h = (h ^ (h >> np.uint64(29))) + w * m
         return h
 
-    def find(self, f: Found) -> Found:
+    def seen(self, f: Found) -> np.ndarray:
+        """The k-mers that the places ``f.pos`` have, of all that stand in the reference."""
         text = "".join(f.texts)
         if text.isascii():
             q = self.coded[np.frombuffer(text.encode("ascii"), np.uint8)]
         else:
             q = self.coded[np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), len(self.coded) - 1)]
-        k, n = self.k, len(q)
+        k = self.k
         words = self.words(q)
         h = self.hashed(words)
         pos = np.flatnonzero(self.some[h >> self.shift])
@@ -133,6 +134,12 @@ class Matcher:
             ok &= w[pos] == g[gram]
         pos, row, gram = pos[ok], row[ok], gram[ok]
         f.pos, f.pos_row, f.pos_count = pos, row, self.count[gram]
+        f.q = q
+        return gram
+
+    def find(self, f: Found) -> Found:
+        gram = self.seen(f)
+        q, k, n, pos, row = f.q, self.k, len(f.q), f.pos, f.pos_row
         left, right = np.concatenate([q[:1] * 0, q]), np.concatenate([q, q[:1] * 0])
         before = np.concatenate([self.codes[-1:], self.codes])  # what stands before a place of the reference
         begin, end = pos == f.starts[row], pos + k == f.ends[row]
@@ -151,11 +158,36 @@ class Matcher:
         f.row, f.item = f.rows(f.b), np.searchsorted(self.starts, f.r, "right") - 1
         f.qbeg, f.rbeg = f.b - f.starts[f.row], f.r - self.starts[f.item]
         f.qend, f.id, f.ids, f.refs, f.k = f.qbeg + f.n, self.ids[f.item], self.ids, self.texts, k
-        f.q, f.codes, f.item_starts, f.item_ends = q, self.codes, self.starts, self.ends
+        f.codes, f.item_starts, f.item_ends = self.codes, self.starts, self.ends
         f.pair = f.row * max(len(self.ids), 1) + f.item
         return f
 
 
+    def begins(self, f: Found) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places in reads and items, and the pair, where runs of k matches and more begin from which an alignment can get far.
+
+        One of so few that no gap can follow (OPEN + EXTEND) has to match on
+        behind a mismatch until it can afford another; if not, it scores less
+        than it would cost.
+        """
+        gram = self.seen(f)
+        pos, row, gap = f.pos, f.pos_row, kernels.OPEN + kernels.EXTEND
+        far = 2 * kernels.MISMATCH + 2
+        left, q = np.concatenate([f.q[:1] * 0, f.q]), np.concatenate([f.q, np.zeros(far, f.q.dtype)])
+        before, codes = np.concatenate([self.codes[-1:], self.codes]), np.concatenate([self.codes, np.repeat(self.codes[-1:], far)])
+        whose = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.ends - self.starts + 1)
+        begin, items = pos == f.starts[row], max(len(self.ids), 1)
+        for s in blocks(f.pos_count, HELD >> 3):
+            c = f.pos_count[s]
+            at, rp = np.repeat(np.arange(s.start, s.stop), c), self.at[ranges(self.first[gram[s]], c)]
+            qp = pos[at]
+            unlike = [q[qp + i] != codes[rp + i] for i in range(self.k, far)]
+            on = (sum(x.view(np.int8) for x in unlike) <= 1) | ~np.logical_or.reduce(unlike[: gap + 1 - self.k])
+            on &= begin[at] | (left[qp] != before[rp])
+            qp, rp = qp[on], rp[on]
+            yield qp, rp, row[at[on]] * items + whose[rp]
+
+
 def matcher(refs: DataFrame, k: int, ref_key: str = "item_id", text: str = "text") -> Matcher | None:
     """The reference, if it has ``MOST`` characters at most and whole, different ids."""
     if not isinstance(refs.schema[ref_key].dataType, T.LongType):
@@ -604,18 +636,22 @@ def local(f: Found, short: Matcher) -> tuple:
 
     All that a best alignment begins with is above 0, so it begins with more
     matches than a mismatch costs, and at the begin of a run of them: from
-    every such run's begin on, all that stays above 0 is followed.
+    every such run's begin on, all that stays above 0 is followed. ``f`` has
+    matches longer than what ``begins`` leaves out can score.
     """
-    g = short.find(Found(f.keys, f.texts, f.null))
-    pairs = np.unique(f.pair)
-    at = np.searchsorted(pairs, g.pair)
-    on = pairs[np.minimum(at, max(len(pairs) - 1, 0))] == g.pair if len(pairs) else np.zeros(len(at), bool)
-    at, k = at[on], short.k
-    q0, r0 = g.b[on] + k, g.r[on] + k
-    start = np.full(len(at), k * kernels.MATCH)
-    score, dt, dq = kernels.extended_many(g.q, q0, g.ends[g.row[on]] - q0, g.codes, r0, g.item_ends[g.item[on]] - r0, start, zdrop=1 << 40)
-    t_end, q_end = r0 + dt - g.item_starts[g.item[on]], q0 + dq - g.starts[g.row[on]]
+    if f.k * kernels.MATCH <= kernels.OPEN + kernels.EXTEND:
+        raise ValueError("matches are too short")
+    g, items, k = Found(f.keys, f.texts, f.null), max(len(f.ids), 1), short.k
+    pairs, found = np.unique(f.pair), [(np.zeros(0, np.int64),) * 3]
+    for q0, r0, pair in short.begins(g):
+        at = np.minimum(np.searchsorted(pairs, pair), max(len(pairs) - 1, 0))
+        on = pairs[at] == pair if len(pairs) else np.zeros(len(pair), bool)
+        found.append((q0[on], r0[on], at[on]))
+    q0, r0, at = (np.concatenate(x) for x in zip(*found, strict=True))
+    row, item = pairs[at] // items, pairs[at] % items
+    q0, r0, start = q0 + k, r0 + k, np.full(len(at), k * kernels.MATCH)
+    score, dt, dq = kernels.extended_many(g.q, q0, g.ends[row] - q0, short.codes, r0, short.ends[item] - r0, start, zdrop=1 << 40)
+    t_end, q_end = r0 + dt - short.starts[item], q0 + dq - g.starts[row]
     order = np.lexsort((q_end, t_end, -score, at))
     o = order[news(at[order])] if len(order) else order
-    items = max(len(f.ids), 1)
     return pairs // items, [f.ids[pairs % items], score[o], t_end[o], q_end[o]]

@@ -3,9 +3,9 @@ import random
 import pytest
 
 from strandline import catalogue
-from strandline.operators import matching, seeding
+from strandline.operators import kernels, matching, seeding
 
-FOLDED = ["smem_intervals", "smem_dedup", "reseed_intervals", "occ_cap_stride", "distinct_interval_resolve", "seed_order_global", "seed_order_local", "seed_absorb_count", "kmer_diagonal_votes", "round3_walk", "chain_weight", "min_chain_weight", "min_ext_len", "chain_cap_topn", "chain_tie_frac", "capped_sub", "repeat_fraction", "chain_filter", "primary_mark", "region_rank", "region_dedup", "region_emit_filter", "extend_score", "global_cigar"]
+FOLDED = ["smem_intervals", "smem_dedup", "reseed_intervals", "occ_cap_stride", "distinct_interval_resolve", "seed_order_global", "seed_order_local", "seed_absorb_count", "kmer_diagonal_votes", "round3_walk", "chain_weight", "min_chain_weight", "min_ext_len", "chain_cap_topn", "chain_tie_frac", "capped_sub", "repeat_fraction", "chain_filter", "primary_mark", "region_rank", "region_dedup", "region_emit_filter", "local_sw", "extend_score", "global_cigar"]
 
 
 def _texts(rng, letters, n, most):
@@ -66,3 +66,17 @@ def test_ids_that_repeat_or_are_null_are_joined(spark):
         assert matching.per_read(docs, items, 8, matching.mems, "item_id, qbeg, qend, rbeg, len") is None
         assert seeding.mem_hits(docs, items, 8).count() == seeding.joined_hits(docs, items, 8).count() > 0
     assert matching.matcher(items.union(items), 8) is None and matching.matcher(items, 8).k == 8
+
+
+def test_best_local_alignments_against_whole_tables():
+    np = __import__("numpy")
+    rng = random.Random(9)
+    items = _texts(rng, "ab", 8, 90) + _texts(rng, "abcd", 8, 120)
+    change = lambda t: "".join(rng.choice((c, c, c, c, c, c, c, c, c, c, c, rng.choice("abcd"), "", c + rng.choice("abcdab"))) for c in t)
+    docs = [change("".join(rng.choice(items)[rng.randint(0, 20) :] for _ in range(4))) for _ in range(40)]
+    ids = list(range(len(items)))
+    found = matching.Matcher(ids, items, 10).find(matching.Found(np.arange(len(docs)), docs, np.zeros(len(docs), bool)))
+    row, columns = matching.local(found, matching.Matcher(ids, items, 5))
+    got = {(d, i): told for d, i, *told in zip(row.tolist(), *(c.tolist() for c in columns), strict=True)}
+    assert len(got) > 200 and set(got) == set(zip(found.row.tolist(), found.item.tolist(), strict=True))
+    assert got == {(d, i): list(kernels.local_score(docs[d], items[i])) for d, i in got}
