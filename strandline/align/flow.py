@@ -19,7 +19,7 @@ from strandline.align import alt, chains, index, pairs, records, regions
 from strandline.align.chains import Seed
 from strandline.align.options import DEFAULTS, Options
 from strandline.align.regions import Region
-from strandline.operators import seeding
+from strandline.operators import matching, seeding
 from strandline.session import settled
 
 
@@ -28,17 +28,35 @@ def seeds_of(reads: DataFrame, ref: index.Index, o: Options = DEFAULTS) -> DataF
 
     An interval that occurs s times, more than that, gives every s // max_occ-th of its places in order.
     """
-    upper = reads.select("read_id", F.upper("seq").alias("seq"))
-    mems = settled(seeding.matches(upper, ref.kmers, ref.k, "read_id", "seq"))
+    return _seeded(reads, ref, o)[0]
+
+
+def _matched(reads: DataFrame, ref: index.Index) -> tuple[DataFrame, DataFrame]:
+    """The maximal matches, and (read_id, upper, seq) of the reads that may have any: those of a small reference are found where reads are read, of a larger one by a join of k-mers."""
+    upper = reads.select("read_id", F.upper("seq").alias("upper"), "seq")
+    size = ref.contigs.agg(F.sum("len")).first()[0] or 0
+    if 2 * size <= matching.MOST and reads.schema["read_id"].dataType.simpleString() == "bigint":
+        known = matching.Matcher(*index.both_strands(ref), ref.k)
+        known.coded[ord(index.NO_BASE) :] = 0
+        found = settled(matching.tagged(upper, known, "read_id", "upper", "seq"))
+        # matches of two reads of one id, or of none, belong together
+        if found.groupBy("read_id").agg(F.min("tag").alias("a"), F.max("tag").alias("b")).where("a < b or read_id is null").isEmpty():
+            return found.drop("tag", "upper", "seq"), found.where("upper is not null").select("read_id", "upper", "seq")
+    return settled(seeding.matches(upper, ref.kmers, ref.k, "read_id", "upper")), upper
+
+
+def _seeded(reads: DataFrame, ref: index.Index, o: Options) -> tuple[DataFrame, DataFrame]:
+    """The seeds, and (read_id, seq) of the reads that may have any."""
+    mems, some = _matched(reads, ref)
     first = settled(seeding.maximal(mems))
     found = first.select("read_id", "qbeg", "qend").unionByName(seeding.reseeded(mems, first, ref.k, o.split_len, o.split_width))
     if o.round3:
-        found = found.unionByName(seeding.walked(upper, mems, ref.k, o.round3))
+        found = found.unionByName(seeding.walked(some, mems, ref.k, o.round3, "read_id", "upper"))
     spots = seeding.places(found.distinct(), mems)
     w = Window.partitionBy("read_id", "qbeg", "qend")
     spots = spots.withColumn("s", F.count("*").over(w)).withColumn("n", F.row_number().over(w.orderBy("rid", "rev", "rbeg")) - 1)
     step = F.when(F.col("s") > o.max_occ, F.floor(F.col("s") / o.max_occ)).otherwise(1)
-    return spots.where((F.col("n") % step == 0) & (F.floor(F.col("n") / step) < o.max_occ)).drop("n")
+    return spots.where((F.col("n") % step == 0) & (F.floor(F.col("n") / step) < o.max_occ)).drop("n"), some.select("read_id", "seq")
 
 
 def _mapped(df: DataFrame, f: Callable[..., Iterator[tuple]], schema: str) -> DataFrame:
@@ -179,7 +197,8 @@ def align(reads: DataFrame, ref: index.Index, o: Options = DEFAULTS, lifts: dict
     pair_ids follow the input's order. A read without sequence is unmapped.
     """
     reads = reads.withColumn("seq", F.coalesce("seq", F.lit("")))
-    found = regions_of(reads, chains_of(reads, seeds_of(reads, ref, o), ref, o), ref, o)
+    seeds, some = _seeded(reads, ref, o)
+    found = regions_of(some, chains_of(some, seeds, ref, o), ref, o)
     if o.project and lifts:
         found = projected(found, ref, lifts, o)
     whole = settled(reads.join(found, "read_id", "left"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +15,8 @@ from strandline.sources import reads
 
 #: Characters of a piece of reference text.
 PIECE = 1024
+#: A code point that is no character.
+NO_BASE = "\U0010ffff"
 
 
 @dataclass
@@ -73,6 +76,17 @@ def load(spark: SparkSession, path: str) -> Index:
     return Index(k, *(spark.read.parquet(f"{path}/{name}") for name in ("contigs", "holes", "pieces", "kmers")))
 
 
+def both_strands(index: Index) -> tuple[list[int], list[str]]:
+    """2 * rid + rev and text of both strands of every contig, with what is no base as a character that no read has; for small references."""
+    pieces: dict[int, list[tuple[int, str]]] = {}
+    for r in index.pieces.select("rid", "ix", "text").collect():
+        pieces.setdefault(r.rid, []).append((r.ix, r.text))
+    whole = {rid: re.sub("[^ACGT]", NO_BASE, "".join(t for _, t in sorted(p))) for rid, p in sorted(pieces.items())}
+    turn = str.maketrans("ACGT", "TGCA")
+    two = [(2 * rid + rev, t[::-1].translate(turn) if rev else t) for rid, t in whole.items() for rev in (0, 1)]
+    return [i for i, _ in two], [t for _, t in two]
+
+
 def slices(jobs: DataFrame, index: Index, *keys: str) -> DataFrame:
     """``keys`` and ``text`` for each of ``jobs(keys, rid, rev, rb, re)``: the reference from rb to re in the frame of the strand, clamped to the contig.
 

@@ -232,6 +232,37 @@ def per_read(reads: DataFrame, refs: DataFrame, k: int, f: Callable[[Found], tup
     return reads.select(read_key, text).mapInArrow(run, schema)
 
 
+def tagged(reads: DataFrame, known: Matcher, read_key: str, text: str, carry: str) -> DataFrame:
+    """(read, rid, rev, qbeg, qend, rbeg, tag, ``text``, ``carry``) of the matches of ``reads(read, text, carry)`` with items whose ids are 2 * rid + rev.
+
+    A tag is a row of ``reads``: ids may repeat. Its texts stand on the first of its matches.
+    """
+    types = {read_key: pa.int64(), "rid": pa.int32(), "rev": pa.int32(), "qbeg": pa.int64(), "qend": pa.int64(), "rbeg": pa.int64(), "tag": pa.int64(), text: pa.string(), carry: pa.string()}
+
+    def batch(p: pa.RecordBatch, tag: int) -> pa.RecordBatch:
+        texts = p.column(1).to_pylist()
+        f = known.find(Found(np.zeros(len(texts), np.int64), ["" if t is None else t for t in texts], np.zeros(len(texts), bool)))
+        o = np.lexsort((f.r, f.b))
+        row = pa.array(f.row[o], pa.int64())
+        once = pa.array(np.where(news(f.row[o]), f.row[o], 0), pa.int64(), mask=~news(f.row[o]))
+        ids = f.id[o]
+        arrays = [p.column(0).take(row), ids >> 1, ids & 1, f.qbeg[o], f.qend[o], f.rbeg[o], f.row[o] + tag, p.column(1).take(once), p.column(2).take(once)]
+        return pa.RecordBatch.from_arrays([(a if isinstance(a, pa.Array) else pa.array(a)).cast(t) for a, t in zip(arrays, types.values(), strict=True)], names=list(types))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        tag = TaskContext.get().partitionId() << 40
+        for p in parts:
+            size = max(1, CHUNK * p.num_rows // max(1, p.column(1).nbytes))
+            for at in range(0, p.num_rows, size):
+                part = p.slice(at, size)
+                yield batch(part, tag)
+                tag += part.num_rows
+
+    return reads.select(read_key, text, carry).mapInArrow(run, f"{read_key} long, rid int, rev int, qbeg long, qend long, rbeg long, tag long, {text} string, {carry} string")
+
+
 # What the matches of a batch give. Each takes ``Found`` and returns rows and columns.
 
 

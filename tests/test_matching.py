@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandline import catalogue
+from strandline.align import flow, index
 from strandline.operators import kernels, matching, seeding
 
 FOLDED = ["smem_intervals", "smem_dedup", "reseed_intervals", "occ_cap_stride", "distinct_interval_resolve", "seed_order_global", "seed_order_local", "seed_absorb_count", "kmer_diagonal_votes", "round3_walk", "chain_weight", "min_chain_weight", "min_ext_len", "chain_cap_topn", "chain_tie_frac", "capped_sub", "repeat_fraction", "chain_filter", "primary_mark", "region_rank", "region_dedup", "region_emit_filter", "local_sw", "extend_score", "global_cigar"]
@@ -80,3 +82,23 @@ def test_best_local_alignments_against_whole_tables():
     got = {(d, i): told for d, i, *told in zip(row.tolist(), *(c.tolist() for c in columns), strict=True)}
     assert len(got) > 200 and set(got) == set(zip(found.row.tolist(), found.item.tolist(), strict=True))
     assert got == {(d, i): list(kernels.local_score(docs[d], items[i])) for d, i in got}
+
+
+def test_reads_meet_a_small_index_where_they_are_read(spark):
+    rng = random.Random(12)
+    contigs = [t + "NNN" + t[:40] + "RN" for t in _texts(rng, "ACGT", 4, 1500)]
+    refs = spark.createDataFrame([("f", i, f"c{i}", "", t) for i, t in enumerate([*contigs, ""])], "path string, ix long, name string, comment string, seq string")
+    ref = index.build(refs, 9)
+    turned = lambda t: t[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    cut = lambda t: t[(i := rng.randint(0, len(t))) : i + rng.randint(0, 90)]
+    seqs = [cut(rng.choice([t, turned(t), t.lower(), t + "".join(contigs)])) + rng.choice(["", "N", "NNN", "\U0010ffff", "ß"]) for t in contigs for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate([*seqs, "", None, "ACG", "N" * 30, "\U0010ffff" * 30])]
+    key = ["read_id", "rid", "rev", "qbeg", "qend", "rbeg"]
+    for more, tags in (([], True), ([(3, seqs[0])], False), ([(None, seqs[1])], False)):
+        reads = spark.createDataFrame(rows + more, "read_id long, seq string").repartition(3)
+        got, some = flow._matched(reads, ref)
+        want = seeding.matches(reads.select("read_id", F.upper("seq").alias("seq")), ref.kmers, 9).select(*key)
+        assert ("Join" not in got._jdf.queryExecution().optimizedPlan().toString()) and sorted(map(repr, got.select(*key).collect())) == sorted(map(repr, want.collect()))
+        with_any = {r.read_id for r in want.collect()}
+        kept = {(r.read_id, r.seq) for r in some.select("read_id", "seq").collect()}
+        assert kept >= {r for r in rows + more if r[0] in with_any} and (not tags or len(kept) == len(with_any) > 50)
