@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -270,8 +271,21 @@ def text_index(items: DataFrame, k: int = 19) -> index.Index:
 
 def text_reads(docs: DataFrame) -> DataFrame:
     """Each document's bases, cut into reads one after another; read_id is the document's id times 2^20 and the read's number."""
-    cut = F.regexp_extract_all(_bases(F.col("text")), F.lit(f".{{1,{_READ}}}"), F.lit(0))
-    reads = docs.where("text is not null").select("doc_id", F.posexplode(cut).alias("n", "seq"))
+    small = str.maketrans(dict(zip(_LETTERS, "ACGT" * 7)))
+    table, rest = bytes(ord(chr(i).translate(small)) for i in range(128)) + bytes(128), bytes(set(range(256)) - set(_LETTERS.encode()))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in parts:
+            # the same letters as of _bases: what is no letter after lower() goes
+            seqs = [t.lower().encode("ascii", "ignore").translate(table, rest).decode() for t in p.column(1).to_pylist()]
+            row, n = [], []
+            for i, s in enumerate(seqs):
+                row += [i] * -(-len(s) // _READ)
+                n += range(-(-len(s) // _READ))
+            cut = [seqs[i][k * _READ : (k + 1) * _READ] for i, k in zip(row, n, strict=True)]
+            yield pa.RecordBatch.from_arrays([p.column(0).take(pa.array(row, pa.int64())), pa.array(n, pa.int32()), pa.array(cut, pa.string())], names=["doc_id", "n", "seq"])
+
+    reads = docs.where("text is not null").select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n int, seq string")
     key = F.col("doc_id") * (1 << 20) + F.col("n")
     return reads.select(key.alias("read_id"), key.alias("pair_id"), F.lit(0).alias("mate"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("."), F.col("n").cast("string")).alias("name"), F.lit("").alias("comment"), "seq", F.lit(None).cast("string").alias("qual"))
 

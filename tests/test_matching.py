@@ -102,3 +102,13 @@ def test_reads_meet_a_small_index_where_they_are_read(spark):
         with_any = {r.read_id for r in want.collect()}
         kept = {(r.read_id, r.seq) for r in some.select("read_id", "seq").collect()}
         assert kept >= {r for r in rows + more if r[0] in with_any} and (not tags or len(kept) == len(with_any) > 50)
+
+
+def test_reads_are_cut_from_the_letters(spark):
+    texts = ["Kelvin \u212a \u0130stanbul \xdf\u017f ACGT acgt \x00", "", None, "...", "abc" * 80, "z" * 120, "é" * 200 + "q"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "abc")], "doc_id long, text string")
+    want = {(d, n, x) for d, t in docs.select("doc_id", catalogue._bases(F.col("text"))).collect() if t for n, x in enumerate(t[i : i + 120] for i in range(0, len(t), 120))}
+    reads = catalogue.text_reads(docs)
+    got = [(None if r.read_id is None else r.read_id >> 20, 0 if r.read_id is None else r.read_id % (1 << 20), r.seq) for r in reads.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert "regexp" not in reads._jdf.queryExecution().toString()
