@@ -180,7 +180,7 @@ def insert_models(found: DataFrame, ref: index.Index, o: Options, batch: DataFra
         if got:
             yield pair_id, *got
 
-    sizes = _mapped(found.select("pair_id", "r1", "r2"), run, PAIR).join(batch, "pair_id")
+    sizes = _mapped(found.where("r1 is not null and r2 is not null").select("pair_id", "r1", "r2"), run, PAIR).join(batch, "pair_id")
     counts = sizes.groupBy("batch_id", "way", "size").count().groupBy("batch_id").agg(F.collect_list(F.struct("way", "size", "count")).alias("c"))  # 4 x max_ins at most
 
     def fit(batch_id: int, counted: list | None) -> Iterator[tuple]:
@@ -246,7 +246,7 @@ def _paired(whole: DataFrame, ref: index.Index, o: Options) -> DataFrame:
     if o.no_rescue:
         told = both.select("pair_id", F.lit(None).cast("array<struct<rid:int,rev:int,rb:long,re:long,text:string>>").alias("t"))
     else:
-        jobs = _mapped(columns, wanted, "pair_id long, rid int, rev int, rb long, re long").selectExpr("pair_id", "rid", "rev", "rb", "re", "rid AS a", "rev AS b", "rb AS c", "re AS d")
+        jobs = _mapped(columns.where("r1 is not null or r2 is not null"), wanted, "pair_id long, rid int, rev int, rb long, re long").selectExpr("pair_id", "rid", "rev", "rb", "re", "rid AS a", "rev AS b", "rb AS c", "re AS d")
         told = index.slices(jobs, ref, "pair_id", "a", "b", "c", "d").groupBy("pair_id").agg(F.collect_list(F.struct(F.col("a").alias("rid"), F.col("b").alias("rev"), F.col("c").alias("rb"), F.col("d").alias("re"), "text")).alias("t"))
 
     def run(pair_id: int, d1: dict, d2: dict, one: str | None, two: str | None, told: str, texts: list | None) -> Iterator[tuple]:
