@@ -163,8 +163,8 @@ class Matcher:
         return f
 
 
-    def begins(self, f: Found) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Places in reads and items, and the pair, where runs of k matches and more begin from which an alignment can get far.
+    def begins(self, f: Found, pairs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places in reads and items, and the pair, one of ``pairs``, where runs of k matches and more begin from which an alignment can get far.
 
         One of so few that no gap can follow (OPEN + EXTEND) has to match on
         behind a mismatch until it can afford another; if not, it scores less
@@ -176,16 +176,21 @@ class Matcher:
         left, q = np.concatenate([f.q[:1] * 0, f.q]), np.concatenate([f.q, np.zeros(far, f.q.dtype)])
         before, codes = np.concatenate([self.codes[-1:], self.codes]), np.concatenate([self.codes, np.repeat(self.codes[-1:], far)])
         whose = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.ends - self.starts + 1)
-        begin, items = pos == f.starts[row], max(len(self.ids), 1)
+        begin, items, wanted = pos == f.starts[row], max(len(self.ids), 1), None
+        if len(f.starts) * items <= 8 * HELD:  # else other pairs come, too
+            wanted = np.zeros(len(f.starts) * items, bool)
+            wanted[pairs] = True
         for s in blocks(f.pos_count, HELD >> 3):
             c = f.pos_count[s]
             at, rp = np.repeat(np.arange(s.start, s.stop), c), self.at[ranges(self.first[gram[s]], c)]
-            qp = pos[at]
+            qp, pair = pos[at], row[at] * items + whose[rp]
+            on = begin[at] | (left[qp] != before[rp])
+            if wanted is not None:
+                on &= wanted[pair]
+            qp, rp, pair = qp[on], rp[on], pair[on]
             unlike = [q[qp + i] != codes[rp + i] for i in range(self.k, far)]
             on = (sum(x.view(np.int8) for x in unlike) <= 1) | ~np.logical_or.reduce(unlike[: gap + 1 - self.k])
-            on &= begin[at] | (left[qp] != before[rp])
-            qp, rp = qp[on], rp[on]
-            yield qp, rp, row[at[on]] * items + whose[rp]
+            yield qp[on], rp[on], pair[on]
 
 
 def matcher(refs: DataFrame, k: int, ref_key: str = "item_id", text: str = "text") -> Matcher | None:
@@ -674,7 +679,7 @@ def local(f: Found, short: Matcher) -> tuple:
         raise ValueError("matches are too short")
     g, items, k = Found(f.keys, f.texts, f.null), max(len(f.ids), 1), short.k
     pairs, found = np.unique(f.pair), [(np.zeros(0, np.int64),) * 3]
-    for q0, r0, pair in short.begins(g):
+    for q0, r0, pair in short.begins(g, pairs):
         at = np.minimum(np.searchsorted(pairs, pair), max(len(pairs) - 1, 0))
         on = pairs[at] == pair if len(pairs) else np.zeros(len(pair), bool)
         found.append((q0[on], r0[on], at[on]))
